@@ -146,3 +146,10 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 def month_index(d: Column) -> Column:
     """Months since year 0; differences are whole calendar months."""
     return F.year(d) * 12 + F.month(d)
+
+
+def pearson_r(x: Column, y: Column) -> Column:
+    """Pearson r over rows where both are set; null if one side is constant."""
+    a, b = x.cast("double"), y.cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    return safe_divide(F.covar_samp(a, b), F.stddev_samp(F.when(both, a)) * F.stddev_samp(F.when(both, b)))

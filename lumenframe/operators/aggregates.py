@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.functions.scalars import safe_divide
+from lumenframe.functions.scalars import pearson_r, safe_divide
 from lumenframe.operators.scaling import attach_row, exact_quantiles, join_nullsafe, quantile_values, top_per_group
 
 
@@ -86,7 +86,7 @@ def top_items_array(df: DataFrame, key: str, value: str, item: str, n: int = 10)
 def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson r of every column pair (upper triangle), all in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[pearson_r(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
                      for i, (a, b) in enumerate(pairs)])
     return one.select(F.inline(rows))
@@ -175,7 +175,7 @@ def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def fit_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-                               F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
+                               pearson_r(F.col(x), F.col(y)).alias("r"))
 
 
 def top_k_other(df: DataFrame, col: str, value: str, k: int = 7) -> DataFrame:

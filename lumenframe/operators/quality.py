@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.functions.scalars import parsed_datetime, safe_divide
+from lumenframe.functions.scalars import parsed_datetime, pearson_r, safe_divide
 from lumenframe.operators.aggregates import numeric_columns, per_period, period_spine
 from lumenframe.operators.scaling import attach_row
 
@@ -321,7 +321,7 @@ def split_overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
 
 
 def leaking_features(df: DataFrame, features: Sequence[str], target: str, limit: float = 0.95) -> DataFrame:
-    one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in features])
+    one = df.agg(*[pearson_r(F.col(c), F.col(target)).alias(c) for c in features])
     return one.unpivot([], list(features), "feature", "r").withColumn("leaks", F.coalesce(F.abs("r") > limit, F.lit(False)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import pvalues as pv
-from lumenframe.functions.scalars import safe_divide
+from lumenframe.functions.scalars import pearson_r, safe_divide
 from lumenframe.operators.scaling import attach_row, exact_quantiles, quantile_values, running, value_counts_prefix
 
 
@@ -138,7 +138,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    row = d.agg(F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"), F.count("*").alias("n")).first()
+    row = d.agg(F.coalesce(pearson_r(F.col(x), F.col(y)), F.lit(0.0)).alias("r"), F.count("*").alias("n")).first()
     r, n = row["r"], row["n"]
     t = r * math.sqrt((n - 2) / (1 - r * r)) if abs(r) < 1 else math.inf
     return _one(df, {"r": r, "n": n, "p_value": pv.t_two_sided(t, n - 2) if math.isfinite(t) else 0.0})
