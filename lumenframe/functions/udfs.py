@@ -32,7 +32,8 @@ def custom_aggregate(df: DataFrame, by: Sequence[str], columns: Sequence[str], p
             return pd.DataFrame([fn(pdf)])
         rows = []
         for key, part in pdf.groupby(by, dropna=False, sort=False):
-            rows.append({**dict(zip(by, key if isinstance(key, tuple) else (key,))), **fn(part)})
+            named = {c: None if pd.isna(k) else k for c, k in zip(by, key)}
+            rows.append({**named, **fn(part)})
         return pd.DataFrame(rows)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

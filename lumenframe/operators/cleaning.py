@@ -154,7 +154,7 @@ def clean_table(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFram
         raise ValueError(f"missing columns: {missing}")
     start = df.count()
     report = [("original_rows", start)]
-    out = drop_duplicates(df, cfg.subset, cfg.order)
+    out = cut_lineage(drop_duplicates(df, cfg.subset, cfg.order))  # several statistics passes follow
     rows = out.count()
     report.append(("duplicates_removed", start - rows))
     if cfg.fix_types:

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from lumenframe.functions.scalars import clip, cyclical, is_weekend, safe_divide, seconds_between, weekday
 from lumenframe.operators.aggregates import corr_pairs, value_counts
-from lumenframe.operators.scaling import (attach_row, join_nullsafe, neighbours, quantile_values, running, trailing,
-                                          with_totals)
+from lumenframe.operators.scaling import (attach_row, join_nullsafe, neighbours, quantile_values, running, spread,
+                                          trailing, with_totals)
 
 # numeric
 
@@ -203,7 +203,7 @@ def terms(text: Column) -> Column:
 
 
 def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return df.select(id_col, F.explode(terms(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return spread(df.select(id_col, text)).select(id_col, F.explode(terms(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(df: DataFrame, id_col: str, text: str) -> DataFrame:

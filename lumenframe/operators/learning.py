@@ -236,10 +236,14 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: in
     """Anomaly score per row. Each tree grows in its own task on ``sample`` rows; scoring is one pass with the small trees."""
     feats = list(features)
     n = df.count()
-    share = min(1.0, 4.0 * sample / max(n, 1))
     rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in feats])
-    per_tree = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("_u", hash_unit(F.lit(seed), F.col("tree"), F.col(key)))
-    picked = top_per_group(per_tree.where(F.col("_u") < share), ["tree"], ["_u"], sample)
+    if n > 8 * trees * sample:  # plenty of rows: each row can serve at most one tree
+        picked = rows.where(hash_unit(F.lit(seed), F.col(key)) < 4.0 * trees * sample / n).withColumn(
+            "tree", F.floor(hash_unit(F.lit(seed + 1), F.col(key)) * trees).cast("int")).withColumn("_u", hash_unit(F.lit(seed + 2), F.col(key)))
+    else:
+        picked = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn(
+            "_u", hash_unit(F.lit(seed), F.col("tree"), F.col(key)))
+    picked = top_per_group(picked, ["tree"], ["_u"], sample)
     limit = math.ceil(math.log2(max(sample, 2)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

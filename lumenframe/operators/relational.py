@@ -82,6 +82,8 @@ def walk_hierarchy(nodes: DataFrame, id_col: str, parent_col: str, name_col: str
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        raise RuntimeError("hierarchy deeper than max_depth, or a cycle")
     return out
 
 

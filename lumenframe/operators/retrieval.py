@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import safe_divide
 from lumenframe.operators.features import term_counts, terms
-from lumenframe.operators.scaling import attach_row, top_per_group
+from lumenframe.operators.scaling import attach_row, spread, top_per_group
 from lumenframe.session import cut_lineage
 
 BLOCK_ROWS = 2_048
@@ -123,7 +123,7 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, max_queries: int =
             if len(ii):
                 yield pd.DataFrame({"query_id": np.repeat(qi[n], len(ii)), "item_id": ii, "score": sc})
 
-    near = items.select("id", "vector").mapInPandas(scan, "query_id bigint, item_id bigint, score double")
+    near = spread(items.select("id", "vector")).mapInPandas(scan, "query_id bigint, item_id bigint, score double")
     return top_per_group(near, ["query_id"], ["-score", "item_id"], k, "rank").select("query_id", "item_id", "score", "rank")
 
 
@@ -179,6 +179,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: f
     """
     qterms = queries.select(F.col("id").alias("qid"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     vocabulary = qterms.select("term").distinct()
+    docs = spread(docs.select("id", "text"))
     words = docs.select("id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     df = words.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("avg")).first()

@@ -17,7 +17,7 @@ BLK = "_blk"
 HOT = "_hot"
 HOT_ROWS_KEY = "lumenframe.hotRows"
 HOT_ROWS_DEFAULT = 2_000_000
-MAX_HOT_KEYS = 10_000
+MAX_HOT_KEYS = 10_000  # any key beyond the 10,000 largest holds less than 1/10,000 of the rows
 BLOCKS = 64
 
 
@@ -46,6 +46,17 @@ def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return left.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on a small scan: a single file would otherwise be one task.
+
+    Inputs with at least as many splits as cores stay as they are, so large data is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row as fixed values."""
     row = one.first()
@@ -301,17 +312,20 @@ def value_counts_prefix(df: DataFrame, keys: Sequence[str], value: str, weights:
                    {f"cum_{n}": ("sum", n) for n in weights}, hot_rows)
 
 
-EXACT_VALUES = 1_000_000
+EXACT_VALUES_KEY = "lumenframe.exactValues"
+EXACT_VALUES_DEFAULT = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                    max_values: int = EXACT_VALUES, hot_rows: int | None = None) -> DataFrame:
+                    max_values: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Interpolated quantiles as ``array<double>`` per column.
 
     ``percentile`` holds one counter per distinct value of a group, so it is used only where the
     number of values is checked to be small; beyond that the quantile is read off running counts.
     """
     by = list(by)
+    if max_values is None:
+        max_values = int(df.sparkSession.conf.get(EXACT_VALUES_KEY, str(EXACT_VALUES_DEFAULT)))
     sized = df.groupBy(*by).agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
     most = sized.agg(F.max(F.greatest(*[F.col(c) for c in cols], F.lit(0)))).first()[0] or 0
     if most <= max_values:

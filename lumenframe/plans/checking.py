@@ -96,9 +96,12 @@ def completeness_grade(t):
     return qa.completeness_grade(dirty(t))
 
 
-@plan("K11", f"""WITH {DIRTY} SELECT * FROM (SELECT 'c_nationkey' AS "column", 0.0::DOUBLE AS sentinel, count_if(c_nationkey = 0) AS n, count(*) AS a FROM dirty UNION ALL
-  SELECT 'c_acctbal', -1.0, count_if(c_acctbal = -1), count(*) FROM dirty) SELECT "column", sentinel, n WHERE n > 0.01 * a""".replace(
-      "SELECT * FROM (SELECT 'c_nationkey'", "FROM (SELECT 'c_nationkey'"))
+SENTINEL_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {v}::DOUBLE AS sentinel, count_if({c} = {v}) AS n, count(*) AS a FROM dirty"
+    for c in ("c_custkey", "c_nationkey", "c_acctbal") for v in qa.SENTINELS)
+
+
+@plan("K11", f'WITH {DIRTY} SELECT "column", sentinel, n FROM ({SENTINEL_SQL}) WHERE n > 0.01 * a')
 def sentinel_flags(t):
     return qa.sentinel_flags(dirty(t))
 

@@ -196,7 +196,11 @@ class _Velocity(StatefulProcessor):
             hour, day = (np.searchsorted(us, us[due] - h, side="left") for h in (self.HOUR, self.DAY))
             out = pd.DataFrame({"user_id": int(key[0]), "event_id": [held[i][1] for i in due], "n_1h": last - hour,
                                 "n_24h": last - day, "s_24h": sums[last] - sums[day]}).astype(self.OUT)
-            self.events.put([e for e in held if e[0] >= upto - self.DAY])
+            kept = [e for e in held if e[0] >= upto - self.DAY]
+            if kept:
+                self.events.put(kept)
+            else:
+                self.events.clear()
             self.sent.update((int(upto),))
         yield out
 
