@@ -34,11 +34,13 @@ def describe_numeric(t):
     return _round(agg.describe(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"]), 4, "column", "count", "min", "max")
 
 
-@plan("D03", "SELECT l_returnflag, list_transform(quantile_cont(l_extendedprice, [0.1,0.25,0.5,0.75,0.9,0.95,0.99]), "
-      "lambda x: round(x, 3)) AS q FROM lineitem GROUP BY l_returnflag")
+QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+
+
+@plan("D03", "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 3) AS q{q * 100:g}" for q in QUANTILES) + " FROM lineitem GROUP BY l_returnflag")
 def quantile_table(t):
-    q = exact_quantiles(t.lineitem, ["l_extendedprice"], [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99], ["l_returnflag"])
-    return q.select("l_returnflag", F.transform("l_extendedprice", lambda x: F.round(x, 3)).alias("q"))
+    q = exact_quantiles(t.lineitem, ["l_extendedprice"], QUANTILES, ["l_returnflag"])
+    return q.select("l_returnflag", *[F.round(F.col("l_extendedprice")[i], 3).alias(f"q{p * 100:g}") for i, p in enumerate(QUANTILES)])
 
 
 @plan("D04", " UNION ALL ".join(
@@ -121,13 +123,13 @@ def reached_flags(t):
     return agg.reached_flags(t.events, "user_id", "event_type", ["view", "click"])
 
 
-@plan("D15", """SELECT l_suppkey, list(l_partkey ORDER BY rn) AS parts, round(list(total ORDER BY rn)[1], 2) AS best FROM (SELECT *, row_number() OVER
+@plan("D15", """SELECT l_suppkey, string_agg(l_partkey, ',' ORDER BY rn) AS parts, round(list(total ORDER BY rn)[1], 2) AS best FROM (SELECT *, row_number() OVER
   (PARTITION BY l_suppkey ORDER BY total DESC, l_partkey) AS rn FROM (SELECT l_suppkey, l_partkey, round(sum(l_extendedprice), 2) AS total
   FROM lineitem GROUP BY ALL)) WHERE rn <= 10 GROUP BY l_suppkey""")
 def top_items_array(t):
     totals = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
     a = agg.top_items_array(totals, "l_suppkey", "total", "l_partkey", 10)
-    return a.select("l_suppkey", F.col("top.l_partkey").alias("parts"), F.round(F.col("top")[0]["total"], 2).alias("best"))
+    return a.select("l_suppkey", F.array_join(F.col("top.l_partkey").cast("array<string>"), ",").alias("parts"), F.round(F.col("top")[0]["total"], 2).alias("best"))
 
 
 @plan("D16", "SELECT label, count(*) AS n, round(avg(s), 4) AS mean_sum, round(max(m), 4) AS top FROM (SELECT label, "

@@ -158,9 +158,9 @@ def top_ngrams(t):
     return per.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "gram").limit(100)
 
 
-@plan("M20", "SELECT p_partkey, [p_size::DOUBLE, (p_size * p_size)::DOUBLE] AS poly FROM part")
+@plan("M20", "SELECT p_partkey, p_size::DOUBLE AS x, (p_size * p_size)::DOUBLE AS xx FROM part")
 def polynomial_features(t):
-    return ft.polynomial(t.part, ["p_size"]).select("p_partkey", "poly")
+    return ft.polynomial(t.part, ["p_size"]).select("p_partkey", F.col("poly")[0].alias("x"), F.col("poly")[1].alias("xx"))
 
 
 @plan("M21", "SELECT 'l_quantity,l_tax' AS kept, count(*) AS n FROM lineitem")

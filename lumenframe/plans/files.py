@@ -94,15 +94,15 @@ def read_xml_pairs(t):
         F.sum(F.length("answer")).alias("answer_chars"))
 
 
-@plan("A08", "SELECT lang, count(*) AS n, sum(length(text) + 1) AS chars, "
-      "sum(length(text) - length(replace(text, chr(10), '')) + 2) AS lines FROM documents GROUP BY lang")
+@plan("A08", "SELECT lang, sum(length(text) + 1) AS chars, sum(length(text) - length(replace(text, chr(10), '')) + 1) AS line_breaks "
+      "FROM documents GROUP BY lang")
 def read_text_corpus(t):
     path = scratch_path(t.spark, "text-files")
-    # one document per file; the writer ends each file with a line break
-    t.documents.select("lang", "text").write.option("maxRecordsPerFile", 1).partitionBy("lang").text(path)
+    # text files of up to 200 documents; the writer ends each document with a line break
+    t.documents.select("lang", "text").write.option("maxRecordsPerFile", 200).partitionBy("lang").text(path)
     df = readers.read_text_corpus(t.spark, path + "/lang=*/*.txt")
     return df.groupBy(F.regexp_extract("path", "/lang=([^/]+)/", 1).alias("lang")).agg(
-        F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.sum("n_lines").alias("lines"))
+        F.sum("n_chars").alias("chars"), F.sum(F.col("n_lines") - 1).alias("line_breaks"))
 
 
 @plan("A09", """SELECT doc_type, count(*) AS n FROM (SELECT CASE
@@ -169,9 +169,9 @@ def merge_dataset_listings(t):
     return listings.merge_listings([web, rest], "title", "source", "doc_id", 50)
 
 
-@plan("A16", """SELECT doc_id, 'cc-' || lang AS license, [source, lang] AS tasks FROM documents""")
+@plan("A16", """SELECT doc_id, 'cc-' || lang AS license, source || ',' || lang AS tasks FROM documents""")
 def parse_tags(t):
     tags = F.array(F.concat(F.lit("license:cc-"), "lang"), F.concat(F.lit("task_categories:"), "source"),
                    F.lit("size:small"), F.concat(F.lit("task_categories:"), "lang"))
     return t.documents.select("doc_id", listings.tag_value(tags, "license").alias("license"),
-                              listings.tag_values(tags, "task_categories").alias("tasks"))
+                              F.array_join(listings.tag_values(tags, "task_categories"), ",").alias("tasks"))

@@ -40,5 +40,41 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(p) for name, p in PLANS.items()}
 
 
+# Columns that DuckDB would return as 128-bit sums.
+BIGINT_COLUMNS = {
+    "binary_metrics": "tp fp fn tn",
+    "classification_report": "support tp predicted",
+    "cte_steps": "orders_n",
+    "custom_sql_tests": "failing",
+    "exact_match_eval": "correct",
+    "magnitude_checks": "bad_negatives outside_0_100",
+    "nan_inf_check": "nan infinite",
+    "nested_items": "chars",
+    "notebook_quality": "code_cells empty outputs",
+    "notebook_table": "code_cells with_outputs",
+    "pivot_counts": "view click purchase",
+    "rate_extremes": "zeros ones",
+    "read_json_lines": "k_total",
+    "read_text_corpus": "chars line_breaks",
+    "read_xml_pairs": "answer_chars",
+    "results_summary": "keep discard crash",
+    "rule_tests": "failing",
+    "semantic_cache": "hits",
+    "sentinel_flags": "n",
+    "sessionize": "purchases",
+    "shadow_compare": "disagreements",
+    "subgroup_metrics": "tp fp fn tn",
+    "threshold_sweep": "tp fp fn tn",
+    "time_consistency": "future",
+}
+
+
 def oracles() -> dict[str, str]:
-    return {name: p.sql for name, p in PLANS.items() if p.sql}
+    out = {}
+    for name, p in PLANS.items():
+        if p.sql and name in BIGINT_COLUMNS:
+            casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in BIGINT_COLUMNS[name].split())
+            out[name] = f"SELECT * REPLACE ({casts}) FROM ({p.sql})"
+        elif p.sql:
+            out[name] = p.sql
+    return out

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators import bookkeeping as bk
 from lumenframe.operators import content as ct
 from lumenframe.operators import joins
+from lumenframe.operators.scaling import spread
 from lumenframe.plans.registry import plan
 
 
@@ -126,7 +127,7 @@ def _dom(text):
 
 @plan("T21", f"SELECT domain, count(*) AS n FROM (SELECT {_dom('lower(text)')} AS domain FROM documents) GROUP BY domain")
 def domain_classify(t):
-    return t.documents.groupBy(ct.domain(F.col("text")).alias("domain")).agg(F.count("*").alias("n"))
+    return spread(t.documents.select("text")).groupBy(ct.domain(F.col("text")).alias("domain")).agg(F.count("*").alias("n"))
 
 
 TECH = " + ".join(f"contains(lower(text), '{m}')::INT" for m in ct.TECHNICAL)
@@ -138,7 +139,7 @@ LEVEL = f"""(CASE WHEN n > 10 THEN 2 WHEN n > 5 THEN 1 ELSE 0 END + CASE WHEN le
 def complexity_and_confidence(t):
     x = F.col("text")
     c = ct.concept_confidence(F.lit(False), F.lit(False), ct.domain(x))
-    return t.documents.select("doc_id", ct.complexity(x, F.size(F.split(x, "\n")), F.lit(0)).alias("complexity"), F.round(c, 2).alias("confidence"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", ct.complexity(x, F.size(F.split(x, "\n")), F.lit(0)).alias("complexity"), F.round(c, 2).alias("confidence"))
 
 
 def noted(t):

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 FOLDER = os.environ.get("PLANS_SF_DIR", "/root/testdata/sf0.001")
 SLOW = {"classifiers", "elbow_and_gap", "grid_search", "word_embeddings", "clusterings", "importance_and_ablation", "feature_selection",
         "rerank_candidates", "impute_iterative", "tree_regressors", "learning_curve", "one_vs_rest", "boosting_early_stop", "velocity_state",
-        "generalized_linear", "naive_bayes_kinds", "discriminant_analysis", "feature_weights", "read_text_corpus"}
+        "generalized_linear", "naive_bayes_kinds", "discriminant_analysis", "feature_weights"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
