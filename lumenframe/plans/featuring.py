@@ -207,12 +207,12 @@ def entity_feature_table(t):
 
 
 @plan("M26", """WITH f AS (SELECT c_nationkey AS k, o_orderdate::DATE AS d, count(*) AS n, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
-  s AS (SELECT k, unnest(generate_series(TIMESTAMP '2000-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 DAY))::DATE AS d FROM (SELECT DISTINCT k FROM f)),
+  s AS (SELECT k, unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 DAY))::DATE AS d FROM (SELECT DISTINCT k FROM f)),
   j AS (SELECT s.k, s.d, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM s LEFT JOIN f USING (k, d))
   SELECT k, strftime(d, '%Y-%m-%d') AS day, sum(n) OVER (PARTITION BY k ORDER BY d ROWS 6 PRECEDING)::BIGINT AS n_7d, round(sum(v) OVER (PARTITION BY k ORDER BY d ROWS 29 PRECEDING), 2) AS total_30d FROM j""")
 def rolling_feature_panel(t):
     f = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("k")), "o_custkey")
-    p = ft.rolling_panel(f, "k", "o_orderdate", "o_totalprice", "2000-01-01", AS_OF)
+    p = ft.rolling_panel(f, "k", "o_orderdate", "o_totalprice", "1995-01-01", AS_OF)
     return p.select("k", _day("day").alias("day"), "n_7d", F.round("total_30d", 2).alias("total_30d"))
 
 
