@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import month_index, safe_divide, seconds_between
 from lumenframe.operators.aggregates import per_period, period_spine, reached_flags
-from lumenframe.operators.scaling import attach_row, join_nullsafe, neighbours, quantile_values, running
+from lumenframe.operators.scaling import attach_row, hot_keys, join_nullsafe, neighbours, quantile_values, running
 
 
 def sessionize(events: DataFrame, user: str, ts: str, gap_seconds: int = 1800, tie: str | None = None,
                hot_rows: int | None = None) -> DataFrame:
     """``session_id`` per user; a gap longer than ``gap_seconds`` starts a new session."""
     order = [ts] + ([tie] if tie else [])
-    marked = neighbours(events, [user], order, {"_prev": lambda w: F.lag(ts).over(w)}, before=1, hot_rows=hot_rows)
+    hot = hot_keys(events, [user], hot_rows)  # counted once for both steps
+    marked = neighbours(events, [user], order, {"_prev": lambda w: F.lag(ts).over(w)}, before=1, hot=hot)
     new = (F.col("_prev").isNull() | (seconds_between(F.col(ts), F.col("_prev")) > gap_seconds)).cast("int")
-    return running(marked.withColumn("_new", new), [user], order, {"session_id": ("sum", "_new")}, hot_rows).drop("_prev", "_new")
+    return running(marked.withColumn("_new", new), [user], order, {"session_id": ("sum", "_new")}, hot=hot).drop("_prev", "_new")
 
 
 def session_stats(sessions: DataFrame, user: str, ts: str, extra: Sequence[Column] = ()) -> DataFrame:
@@ -51,17 +52,14 @@ def funnel_dropoff(funnel_table: DataFrame) -> DataFrame:
 
 def ordered_funnel(events: DataFrame, user: str, step_col: str, ts: str, steps: Sequence[str]) -> DataFrame:
     """Users that reached step k after the time they first reached step k-1."""
-    first = events.where(F.col(step_col) == steps[0]).groupBy(user).agg(F.min(ts).alias("_t0"))
-    counts = [first.agg(F.lit(1).alias("position"), F.lit(steps[0]).alias("step"), F.count("*").alias("users"))]
-    reached = first
+    state = events.where(F.col(step_col) == steps[0]).groupBy(user).agg(F.min(ts).alias("_t0"))
     for i, s in enumerate(steps[1:], start=1):
         at = events.where(F.col(step_col) == s).select(user, F.col(ts).alias("_t"))
-        reached = (reached.join(at, user).where(F.col("_t") > F.col(f"_t{i - 1}")).groupBy(user).agg(F.min("_t").alias(f"_t{i}")))
-        counts.append(reached.agg(F.lit(i + 1).alias("position"), F.lit(s).alias("step"), F.count("*").alias("users")))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+        state = state.join(at, user, "left").groupBy(user, *[f"_t{j}" for j in range(i)]).agg(
+            F.min(F.when(F.col("_t") > F.col(f"_t{i - 1}"), F.col("_t"))).alias(f"_t{i}"))
+    one = state.agg(*[F.count(f"_t{i}").alias(f"_n{i}") for i in range(len(steps))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(s).alias("step"), F.col(f"_n{i}").alias("users"))
+                                         for i, s in enumerate(steps)])))
 
 
 def period_index(d: Column, freq: str) -> Column:
@@ -83,11 +81,12 @@ TRUNC = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 def cohort_retention(events: DataFrame, user: str, date: str, freq: str = "M") -> DataFrame:
     """Distinct users and retention rate per first period and age in periods."""
     active = events.select(user, F.to_date(F.date_trunc(TRUNC[freq], date)).alias("period")).distinct()
-    first = active.groupBy(user).agg(F.min("period").alias("cohort"))
-    aged = active.join(first, user).withColumn("age", (period_index(F.col("period"), freq) - period_index(F.col("cohort"), freq)).cast("int"))
+    # a user has one row per calendar period here, a cohort one per age: both windows are small
+    aged = active.withColumn("cohort", F.min("period").over(Window.partitionBy(user))).withColumn(
+        "age", (period_index(F.col("period"), freq) - period_index(F.col("cohort"), freq)).cast("int"))
     cells = aged.groupBy("cohort", "age").agg(F.count("*").alias("users"))
-    sizes = cells.where(F.col("age") == 0).select("cohort", F.col("users").alias("size"))
-    return cells.join(sizes, "cohort").select("cohort", "age", "users", F.round(F.col("users") / F.col("size"), 3).alias("retention"))
+    size = F.max(F.when(F.col("age") == 0, F.col("users"))).over(Window.partitionBy("cohort"))
+    return cells.select("cohort", "age", "users", F.round(F.col("users") / size, 3).alias("retention"))
 
 
 def cohort_matrix(retention: DataFrame, ages: Sequence[int], value: str = "retention") -> DataFrame:

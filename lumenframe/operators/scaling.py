@@ -63,8 +63,9 @@ def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one.schema.fields])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list:
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list:
     """The (at most ``MAX_HOT_KEYS``) keys with more than ``hot_rows`` rows, counted map-side first."""
+    hot_rows = hot_rows_of(df, hot_rows)
     return (
         df.groupBy(*keys).count().where(F.col("count") > hot_rows)
         .orderBy(F.desc("count")).limit(MAX_HOT_KEYS).drop("count").collect()
@@ -72,15 +73,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list:
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-              hot_rows: int | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, bool]:
-    """Add block number ``_blk`` and flag ``_hot`` if some key is hot; edges are fixed values."""
+              hot_rows: int | None = None, blocks: int = BLOCKS, hot: list | None = None) -> tuple[DataFrame, bool]:
+    """Add block number ``_blk`` and flag ``_hot`` if some key is hot; edges are fixed values.
+
+    ``hot`` takes the result of an earlier ``hot_keys`` on the same rows and saves the counting pass.
+    """
     hot_rows = hot_rows_of(df, hot_rows)
     first = order[0].lstrip("-")
     down = order[0].startswith("-")
     probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
     edge = F.percentile_approx(F.col(first), probs, F.lit(10_000)).alias("_edges")
     if keys:
-        found = hot_keys(df, keys, hot_rows)
+        found = hot_keys(df, keys, hot_rows) if hot is None else hot
         if not found:
             return df, False
         spark = df.sparkSession
@@ -126,13 +130,13 @@ def _merge(kind: str, carry: Column, local: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            aggs: dict[str, tuple], hot_rows: int | None = None) -> DataFrame:
+            aggs: dict[str, tuple], hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Running aggregates from the first row of a key to the current row.
 
     ``aggs[name] = (kind, column[, "before"])``; kind is sum, count, max, min or last (not null);
     ``"before"`` leaves the current row out.
     """
-    base, split = split_hot(df, keys, order, hot_rows)
+    base, split = split_hot(df, keys, order, hot_rows, hot=hot)
     part = [*keys, BLK] if split else list(keys)
     w = Window.partitionBy(*part).orderBy(*sort_cols(order))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -171,12 +175,12 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                exprs: dict[str, Callable], before: int = 0, after: int = 0,
-               hot_rows: int | None = None) -> DataFrame:
+               hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``exprs[name] = fn(window) -> Column``. Blocks of a hot key get copies of the border rows.
     """
-    base, split = split_hot(df, keys, order, hot_rows)
+    base, split = split_hot(df, keys, order, hot_rows, hot=hot)
     if not split:
         w = Window.partitionBy(*keys).orderBy(*sort_cols(order))
         return base.select("*", *[f(w).alias(n) for n, f in exprs.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import safe_divide
-from lumenframe.operators.scaling import join_nullsafe, neighbours, ranked, running, top_per_group, trailing
+from lumenframe.operators.scaling import hot_keys, join_nullsafe, neighbours, ranked, running, top_per_group, trailing
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -84,10 +84,11 @@ def distinct_trailing(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
 
 def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Runs of equal neighbouring values: start, end and length of each run."""
+    hot = hot_keys(df, keys) if keys else None
     marked = neighbours(df, keys, order, {"_prev": lambda w: F.lag(value).over(w),
-                                          "_rn1": lambda w: F.lag(F.lit(1)).over(w)}, before=1)
+                                          "_rn1": lambda w: F.lag(F.lit(1)).over(w)}, before=1, hot=hot)
     new = (F.col("_rn1").isNull() | ~F.col("_prev").eqNullSafe(F.col(value))).cast("int")
-    runs = running(marked.withColumn("_new", new), keys, order, {"run": ("sum", "_new")})
+    runs = running(marked.withColumn("_new", new), keys, order, {"run": ("sum", "_new")}, hot=hot)
     return runs.groupBy(*keys, "run", value).agg(
         F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count("*").alias("length"))
 
