@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,23 @@ def local_session(cores: str = "8", app: str = "lumenframe") -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, for the functions that run in their Python workers."""
+    context = spark.sparkContext
+    if getattr(context, "_lumenframe_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "lumenframe.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(home):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(path)
+    context._lumenframe_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can read: the one the cluster names in ``spark.checkpoint.dir``.
 

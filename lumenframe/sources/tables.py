@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.session import ship_package
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -17,6 +19,7 @@ class Tables:
         self.spark = spark
         self.folder = folder
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
