@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import credentials, lsh_forest, merge_replay, reparameterised, repetition
+from lumenframe.llm import chat_template, credentials, licenses, lsh_forest, merge_replay, reparameterised, repetition
 from lumenframe.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,76 @@ def op1_repetition_rules(t):
     return repetition.measure(t("documents")).drop("longest_repeat", "n_maximal_repeats")
 
 
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATE_ROWS = ", ".join(
+    f"({k}, '{label}', {_list(sorted({w.decode() for w in licenses.words_of(text.encode())}))})" for k, (label, text) in enumerate(licenses.TEMPLATES)
+)
+_PHRASE_ROWS = ", ".join(f"('{label}', {_list(phrase.split())})" for phrase, label in licenses.PHRASES)
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+LICENSES_SQL = rf"""
+WITH templates(k, label, ws) AS (VALUES {_TEMPLATE_ROWS}),
+phrases(label, ws) AS (VALUES {_PHRASE_ROWS}),
+words AS (SELECT doc_id, {_LOWERED} AS text, regexp_extract_all({_LOWERED}, '{_LICENSE_WORD}') AS ws FROM documents),
+places AS (
+  SELECT doc_id, label, i - 1 AS place
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM words) w JOIN phrases p ON w.ws[i] = p.ws[1]
+  WHERE list_slice(w.ws, i, i + len(p.ws) - 1) = p.ws),
+based AS (
+  SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(text, chr(10))), '{_LICENSE_WORD}') AS ws FROM words),
+blocks AS (
+  SELECT doc_id, list_distinct(list_slice(ws, s + 1, s + 64)) AS block
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 32, 1), 32)) AS s FROM lines WHERE len(ws) > 0)),
+matches AS (
+  SELECT doc_id, label, common / size AS share
+  FROM (SELECT doc_id, label, len(list_intersect(block, ws)) AS common, len(ws) AS size FROM blocks CROSS JOIN templates)
+  WHERE 100 * common >= 90 * size),
+matched AS (SELECT doc_id, max(share) AS best FROM matches GROUP BY doc_id),
+labelled AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM matches UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
+  coalesce(based.labels, '') AS base_labels, coalesce(labelled.labels, '') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM words LEFT JOIN based USING (doc_id) LEFT JOIN matched USING (doc_id) LEFT JOIN labelled USING (doc_id)"""
+
+
+@query(LICENSES_SQL)
+def op2_license_scan(t):
+    return licenses.scan(t("documents"))
+
+
+_ESCAPED = chat_template._ESCAPE.pattern.replace("'", "''")
+
+CHAT_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r)),
+written AS (
+  SELECT *, regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '{_ESCAPED}', '\1\2\\\3', 'g') AS r,
+    regexp_replace(text, '{_ESCAPED}', '\1\2\\\3', 'g') AS x
+  FROM turns)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(r) + 1 + length(x) + 11)::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id"""
+
+
+@query(CHAT_SQL)
+def op3_chat_format(t):
+    turns = t("conversations").select("conv_id", "turn", "role", "text")
+    told = [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    told = turns.sparkSession.createDataFrame(told, "conv_id long, turn long, role string, text string")
+    return chat_template.format_digests(turns.unionByName(told))
+
+
 NEAR_DUPLICATES_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
