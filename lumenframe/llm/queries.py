@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import chat_template, credentials, licenses, lsh_forest, merge_replay, reparameterised, repetition
+from lumenframe.llm import chat_template, credentials, fixity, licenses, lsh_forest, merge_replay, reparameterised, repetition, rule_ensemble, whole_tokens
 from lumenframe.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,32 @@ def op3_chat_format(t):
     return chat_template.format_digests(turns.unionByName(told))
 
 
+FIXITY_SQL = r"""
+WITH numbered AS (
+  SELECT page_id, page_id // 1000 AS archive, coalesce(url, '') AS url, coalesce(html, '') AS html,
+    'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '')
+      || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS record
+  FROM pages, (SELECT chr(13) || chr(10) AS e)),
+records AS (
+  SELECT page_id, archive, record, coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM numbered),
+other AS (
+  SELECT page_id, archive, place, CASE WHEN page_id % 97 = 13 THEN left(record, length(record) - 5) || '~' || right(record, 4) ELSE record END AS record
+  FROM records WHERE page_id % 211 <> 1
+  UNION ALL SELECT page_id, archive, place + 1, record FROM records WHERE page_id % 307 = 2)
+SELECT coalesce(a.archive, b.archive)::VARCHAR AS archive, coalesce(a.place, b.place) AS "offset",
+  CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.page_id IS NULL THEN 'extra' ELSE 'changed' END AS kind,
+  coalesce(a.page_id, b.page_id) AS record_id, sha256(a.record) AS left_digest, sha256(b.record) AS right_digest
+FROM records a FULL JOIN other b ON a.archive = b.archive AND a.place = b.place
+WHERE a.record IS DISTINCT FROM b.record"""
+
+
+@query(FIXITY_SQL)
+def op4_merkle_audit(t):
+    records = fixity.warc_records(t("pages"))
+    return fixity.audit(records, fixity.decayed(records))
+
+
 NEAR_DUPLICATES_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -187,6 +213,17 @@ def op7_merge_replay(t):
     return merge_replay.digests(t("documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern())
 
 
+@query()
+def op8_whole_token_counts(t):
+    return whole_tokens.count_tokens(t("documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op9_rule_ensemble(t):
+    docs = t("documents")
+    return rule_ensemble.score(docs, rule_ensemble.fit(docs, t("labels")))
+
+
 @query()
 def op10_multipart_credentials(t):
     return credentials.digest(credentials.find(t("documents")))
