@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
 from heapq import heappop, heappush
 from itertools import chain, count, islice
 
@@ -161,23 +162,51 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     return ids, counts
 
 
-def explicit_classes(pattern: str) -> str | None:
-    r"""The pattern with ``\p{L}``, ``\p{N}`` and ``\s`` written as ranges of the first 65,536 characters.
+def _ranges(chars: str) -> str:
+    """Inside of a character set that holds exactly these characters, given in order."""
+    out, start = [], 0
+    for k in range(1, len(chars) + 1):
+        if k == len(chars) or ord(chars[k]) != ord(chars[k - 1]) + 1:
+            out.append(f"{re.escape(chars[start])}-{re.escape(chars[k - 1])}")
+            start = k
+    return "".join(out)
 
-    The standard library scans that form faster, for texts without higher characters. None if something else in the
-    pattern needs the larger library.
+
+@cache
+def character_classes() -> tuple[dict[str, str], str]:
+    r"""The characters of ``\p{L}``, ``\p{N}`` and ``\s`` as the tiktoken library sees them, and those about which libraries differ.
+
+    Libraries carry different versions of Unicode. They agree on what the oldest, Python's own, knows; each character that only a
+    newer one knows is put to the tiktoken library, behind a letter and behind a digit: it shares a piece with its like.
     """
+    import sys
+    import unicodedata
+
     import regex
+    import tiktoken
+
+    every = "".join(map(chr, (c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)))
+    classes = {name: set(regex.findall(name, every)) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    doubtful = [c for c in every if unicodedata.category(c) == "Cn" and (c in classes[r"\p{L}"] or c in classes[r"\p{N}"])]
+    tokens = {bytes([k]): k for k in range(256)}
+    for c in doubtful:
+        for before in "a1":
+            tokens.setdefault((before + c).encode(), len(tokens))
+    probe = tiktoken.Encoding("probe", pat_str=r"\p{L}+|\p{N}+|[^\p{L}\p{N}]+", mergeable_ranks=tokens, special_tokens={})
+    for name, before in ((r"\p{L}", "a"), (r"\p{N}", "1")):
+        classes[name].difference_update(c for c in doubtful if len(probe.encode_ordinary(before + c)) > 1)
+    return {name: "".join(sorted(chars)) for name, chars in classes.items()}, "".join(doubtful)
+
 
+def explicit_classes(pattern: str, top: int = 0x110000) -> str | None:
+    r"""The pattern with ``\p{L}``, ``\p{N}`` and ``\s`` written as ranges of the characters below ``top``, for the standard library.
+
+    None if something else in the pattern needs the larger library.
+    """
     rest = re.sub(r"\\p\{[LN]\}|\\[sS]", "x", pattern)
     if re.search(r"\\[pPXRKG]|\[\[|&&|[+*?}]\+|\(\?[^:!=]", rest):
         return None
-    every = "".join(map(chr, (c for c in range(0x10000) if not 0xD800 <= c < 0xE000)))
-
-    def ranges(name: str) -> str:
-        return "".join(f"{re.escape(m[0])}-{re.escape(m[-1])}" for m in regex.findall(f"{name}+", every))
-
-    sets = {name: ranges(name) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    sets = {name: _ranges("".join(c for c in chars if ord(c) < top)) for name, chars in character_classes()[0].items()}
     parts = re.split(r"(\[[^\]]*\])", pattern)
     for k, part in enumerate(parts):
         inside = k % 2 == 1
@@ -196,9 +225,14 @@ class Encoder:
         import regex
 
         self.vocabulary = vocabulary
-        plain = explicit_classes(pattern)
+        plain = explicit_classes(pattern, 0x10000)
         self.split: Callable[[str], list[str]] = regex.compile(pattern).findall
-        self.split_low: Callable[[str], list[str]] = re.compile(plain).findall if plain is not None else self.split
+        self.split_low = self.split_new = self.split
+        if plain is not None:
+            # sets of the first 65,536 characters are the fastest; characters that are news to some libraries need all sets spelled out
+            self.split_low = re.compile(plain).findall
+            self.split_new = re.compile(explicit_classes(pattern)).findall
+        self.has_new = re.compile(f"[{_ranges(character_classes()[1])}]").search
         self.forget()
 
     def forget(self) -> None:
@@ -206,6 +240,9 @@ class Encoder:
         self.ids = np.empty(0, np.int32)
         self.sizes = np.empty(0, np.int64)
 
+    def splitter(self, text: str) -> Callable[[str], list[str]]:
+        return self.split_new if self.has_new(text) else self.split
+
     def learn(self) -> None:
         """Ids of the words that got a code since the last time."""
         old = len(self.sizes)
@@ -228,7 +265,7 @@ class Encoder:
         get, codes, words = self.code.__getitem__, [], []
         for part in chunks(pa.RecordBatch.from_arrays([texts], ["text"])):
             high = pc.match_substring_regex(part.column(0), "[\U00010000-\U0010ffff]").to_pylist()
-            split = [(self.split if h else self.split_low)(t) if t else [] for t, h in zip(part.column(0).to_pylist(), high)]
+            split = [(self.splitter(t) if h else self.split_low)(t) if t else [] for t, h in zip(part.column(0).to_pylist(), high)]
             words += map(len, split)
             codes.append(np.fromiter(chain.from_iterable(map(get, ws) for ws in split), np.int32, sum(map(len, split))))
         self.learn()
