@@ -29,10 +29,13 @@ def chunk_recursive(t):
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"))
 
 
-@plan("T15")
+@plan("T15", r"""WITH RECURSIVE ss AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x, ' ') <> '') AS s FROM documents),
+  pack AS (SELECT doc_id, s, 1 AS i, 0 AS chunk, length(s[1]) AS n FROM ss WHERE len(s) > 0
+    UNION ALL SELECT doc_id, s, i + 1, CASE WHEN n + 1 + length(s[i + 1]) <= 1000 THEN chunk ELSE chunk + 1 END, CASE WHEN n + 1 + length(s[i + 1]) <= 1000 THEN n + 1 + length(s[i + 1]) ELSE length(s[i + 1]) END FROM pack WHERE i < len(s))
+  SELECT doc_id, chunk, max(n) AS chars FROM pack GROUP BY doc_id, chunk""")
 def chunk_sentences(t):
     c = ct.chunk_sentences(t.documents, "doc_id", "text", 1000)
-    return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    return c.select("doc_id", "chunk", F.length("text").alias("chars"))
 
 
 @plan("T16")
@@ -92,13 +95,20 @@ def notebook_table(t):
     return c.groupBy("doc_id").agg(F.count("*").alias("cells"), F.count_if(F.col("cell_type") == "code").alias("code_cells"), F.count_if("has_outputs").alias("with_outputs"))
 
 
-@plan("T19", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-  g AS (SELECT doc_id, count(*) AS n, count_if(i % 3 <> 0) AS code, count_if(i % 3 = 0) AS md, count_if(i % 3 = 2 AND trim(x, ' ') = '') AS empty, count_if(i % 3 <> 0 AND i % 4 = 1) AS outputs FROM l GROUP BY doc_id)
-  SELECT doc_id, n AS n_cells, code AS code_cells, empty, outputs, 10 - (empty > 0)::INT - (outputs > 0)::INT AS score FROM g""")
+@plan("T19", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+  c AS (SELECT doc_id, i, i % 3 <> 0 AS code, i % 4 = 1 AS shown, CASE i % 3 WHEN 0 THEN '# ' || x WHEN 1 THEN 'import pandas' || chr(10) || x ELSE x END AS s FROM l),
+  f AS (SELECT *, regexp_extract_all(s, '(?m)^(?:from|import)\s+(\w+)', 1) AS names, len(list_filter(string_split(s, chr(10)), lambda x: starts_with(x, '#'))) AS heads,
+    regexp_matches(s, '["''][/~][^"'']+\.(csv|json|parquet|xlsx)') AS path, regexp_matches(s, 'random_state|seed') AS seed FROM c),
+  g AS (SELECT doc_id, count(*) AS n, count_if(code) AS code, count_if(NOT code) AS md, count_if(code AND trim(s, ' ') = '') AS empty, count_if(code AND shown) AS outputs,
+    coalesce(sum(heads) FILTER (NOT code), 0) AS heads, count_if(code AND len(names) > 0) AS importing, min(i) FILTER (code) AS first, min(i) FILTER (code AND len(names) > 0) AS first_import,
+    coalesce(bool_or(path) FILTER (code), false) AS path, coalesce(bool_or(seed) FILTER (code), false) AS seed, list_distinct(flatten(list(names) FILTER (code))) AS names FROM f GROUP BY doc_id),
+  i AS (SELECT *, list_filter([CASE WHEN empty > 0 THEN 'empty code cells' END, CASE WHEN outputs > 0 THEN 'stale outputs' END, CASE WHEN importing > 1 AND first_import <> first THEN 'scattered imports' END,
+    CASE WHEN heads = 0 THEN 'no section headers' END, CASE WHEN md = 0 THEN 'no markdown cells' END, CASE WHEN code > 0 AND md / code < 0.2 THEN 'low documentation ratio' END, CASE WHEN path THEN 'hardcoded paths' END,
+    CASE WHEN list_has_any(names, ['sklearn', 'torch', 'tensorflow', 'xgboost', 'lightgbm']) AND NOT seed THEN 'no random seed' END], lambda x: x IS NOT NULL) AS issues FROM g)
+  SELECT doc_id, n AS n_cells, code AS code_cells, empty, outputs, array_to_string(issues, ';') AS issues, greatest(0, 10 - len(issues)) AS score FROM i""")
 def notebook_quality(t):
-    # quotes, the word seed and import lines inside the texts would add issues the SQL does not model
     q = ct.notebook_quality(notebooks(t), "doc_id", "nb")
-    return q.select("doc_id", "n_cells", "code_cells", "empty", "outputs", (10 - (F.col("empty") > 0).cast("int") - (F.col("outputs") > 0).cast("int")).alias("score"))
+    return q.select("doc_id", "n_cells", "code_cells", "empty", "outputs", F.array_join("issues", ";").alias("issues"), "score")
 
 
 MARKED = "(" + " OR ".join(f"contains(lower(trim(line, ' ')), '{m}')" for m in ct.CODE_MARKS) + r" OR regexp_matches(line, '^(    |\t)') OR regexp_matches(trim(line, ' '), '[=+\-*/]{2,}') OR regexp_matches(trim(line, ' '), '[(){}\[\];]') OR regexp_matches(trim(line, ' '), '^\d+[.)]\s+'))"
@@ -134,12 +144,17 @@ TECH = " + ".join(f"contains(lower(text), '{m}')::INT" for m in ct.TECHNICAL)
 LEVEL = f"""(CASE WHEN n > 10 THEN 2 WHEN n > 5 THEN 1 ELSE 0 END + CASE WHEN length(text) > 10000 THEN 2 WHEN length(text) > 5000 THEN 1 ELSE 0 END + {TECH})"""
 
 
-@plan("T22 T23", f"""WITH d AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n FROM documents), l AS (SELECT doc_id, {LEVEL} AS s, {_dom('lower(text)')} AS domain FROM d)
-  SELECT doc_id, CASE WHEN s >= 6 THEN 'complex' WHEN s >= 3 THEN 'moderate' ELSE 'simple' END AS complexity, round(0.5 + CASE WHEN domain <> 'general_programming' THEN 0.2 ELSE 0 END, 2)::DOUBLE AS confidence FROM l""")
+@plan("T22 T23", rf"""WITH d AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n, len(string_split(text, '|')) - 1 AS bars,
+    regexp_matches(text, '(?i)(?:algorithm|procedure|method)\s') AS algorithm, contains(lower(text), 'the') AS architecture FROM documents),
+  l AS (SELECT doc_id, {LEVEL} + CASE WHEN bars > 5 THEN 2 WHEN bars > 2 THEN 1 ELSE 0 END AS s, {_dom('lower(text)')} AS domain, algorithm, architecture FROM d)
+  SELECT doc_id, CASE WHEN s >= 6 THEN 'complex' WHEN s >= 3 THEN 'moderate' ELSE 'simple' END AS complexity,
+    round(least(1, 0.5 + CASE WHEN algorithm THEN 0.2 ELSE 0 END + CASE WHEN architecture THEN 0.1 ELSE 0 END + CASE WHEN domain <> 'general_programming' THEN 0.2 ELSE 0 END), 2)::DOUBLE AS confidence FROM l""")
 def complexity_and_confidence(t):
+    """Lines stand for sections, table bars for code blocks, a frequent word for a named architecture."""
     x = F.col("text")
-    c = ct.concept_confidence(F.lit(False), F.lit(False), ct.domain(x))
-    return spread(t.documents.select("doc_id", "text")).select("doc_id", ct.complexity(x, F.size(F.split(x, "\n")), F.lit(0)).alias("complexity"), F.round(c, 2).alias("confidence"))
+    c = ct.concept_confidence(x.rlike(r"(?i)(?:algorithm|procedure|method)\s"), F.lower(x).contains("the"), ct.domain(x))
+    level = ct.complexity(x, F.size(F.split(x, "\n")), F.size(F.split(x, r"\|")) - 1)
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", level.alias("complexity"), F.round(c, 2).alias("confidence"))
 
 
 def noted(t):
@@ -168,15 +183,19 @@ def architecture_mentions(t):
     return ct.architecture_mentions(noted(t), "doc_id", "text")
 
 
-@plan("T25 J04", f"""WITH {NOTED} SELECT doc_id, 'Algorithm 3' AS name, 'fast merge' AS description, 3 AS n_steps, 'O(n log n)' AS big_o FROM n WHERE doc_id % 4 = 1""")
+@plan("T25 J04", rf"""WITH {NOTED}, d AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:algorithm|procedure|method)\s+(\d+)?[:\s]+([^\n]+?)(?:\n|$)')) AS m FROM n)
+  SELECT doc_id, CASE WHEN num = '' THEN 'Algorithm' ELSE 'Algorithm ' || num END AS name, description, CASE WHEN num = '3' THEN 3 ELSE 0 END AS n_steps, CASE WHEN num = '3' THEN 'O(n log n)' END AS big_o
+  FROM (SELECT doc_id, regexp_extract(m, '(?i)(?:algorithm|procedure|method)\s+(\d+)?[:\s]+([^\n]+)', 1) AS num, trim(regexp_extract(m, '(?i)(?:algorithm|procedure|method)\s+(\d+)?[:\s]+([^\n]+)', 2), ' ') AS description FROM d)""")
 def algorithm_mentions(t):
-    return ct.algorithm_mentions(noted(t), "doc_id", "text").where(F.col("name") != "Algorithm").select("doc_id", "name", "description", "n_steps", "big_o")
+    return ct.algorithm_mentions(noted(t), "doc_id", "text").select("doc_id", "name", "description", "n_steps", "big_o")
 
 
-@plan("T26", f"""WITH {NOTED} SELECT library, count(*) AS docs FROM (VALUES ('numpy'), ('scikit-learn'), ('pandas')) v(library), n WHERE doc_id % 4 = 2 GROUP BY library""")
+LIBRARY_SQL = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}', 1)) AS m FROM n" for p in ct.LIBRARY)
+
+
+@plan("T26", rf"""WITH {NOTED}, m AS ({LIBRARY_SQL}) SELECT library, count(*) AS docs FROM (SELECT DISTINCT doc_id, string_split(m, '.')[1] AS library FROM m) WHERE length(library) > 1 GROUP BY library""")
 def dependency_mentions(t):
-    d = ct.dependency_mentions(noted(t), "doc_id", "text").where(F.col("library").isin("numpy", "scikit-learn", "pandas"))
-    return d.groupBy("library").agg(F.count("*").alias("docs"))
+    return ct.dependency_mentions(noted(t), "doc_id", "text").groupBy("library").agg(F.count("*").alias("docs"))
 
 
 SENT = r"len(list_filter(string_split(regexp_replace(text, '[?!]', '.', 'g'), '.'), lambda x: trim(x, ' ') <> ''))"
