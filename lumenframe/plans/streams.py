@@ -6,18 +6,29 @@ from lumenframe.plans.registry import plan
 from lumenframe.session import scratch_path
 from lumenframe.streaming import jobs
 
-SPLITS = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-02-01"]
-FAR = "40 days"  # nothing in the table is later than this
+DELAY = "1 hour"  # files come in time order, so only rows of one trigger are out of order
+STRETCHES, STRETCH_ROWS = 8, 2_000_000
+
+
+def time_stretches(events):
+    """Conditions that cut the events at quantiles of their time: at least STRETCHES, of about STRETCH_ROWS rows at most."""
+    at = F.unix_micros("ts")
+    n = max(STRETCHES, -(-events.count() // STRETCH_ROWS))
+    cuts = events.agg(F.percentile_approx(at, [k / n for k in range(1, n)], 100 * n)).first()[0] or []
+    cuts = sorted(set(cuts))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        after = F.lit(True) if low is None else at >= low
+        before = F.lit(True) if high is None else at < high
+        yield F.coalesce(after & before, F.lit(low is None))  # rows without a time come first
 
 
 def event_files(t, replay=False):
-    """The events as one folder of files, oldest first; ``replay`` writes one stretch twice."""
+    """The events as a producer would leave them: one file for each stretch of time, oldest first; ``replay`` sends one stretch twice."""
     path = scratch_path(t.spark, "events-stream")
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    stretches = list(zip(SPLITS, SPLITS[1:]))
-    for a, b in stretches + ([stretches[1]] if replay else []):
-        part = e.where((F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp")))
-        part.write.mode("append").parquet(path)
+    for k, stretch in enumerate(time_stretches(e)):
+        for _ in range(2 if replay and k == 1 else 1):
+            e.where(stretch).repartition(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
     return path
 
 
@@ -33,14 +44,14 @@ def stream_source(t):
 
 @plan("I02 I03 I14", "SELECT event_type, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def tumbling_window(t):
-    s = jobs.watermark(jobs.stream_source(t.spark, event_files(t)), "ts", FAR)
+    s = jobs.watermark(jobs.stream_source(t.spark, event_files(t)), "ts", DELAY)
     w = jobs.windowed(s, ["event_type"], "ts", "1 hour", aggs=[F.count("*").alias("n"), F.sum("value").alias("total")])
     return jobs.collect_stream(w, "update", ["event_type", "start"]).select("event_type", stamp("start").alias("start"), "n", F.round("total", 2).alias("total"))
 
 
 @plan("I04", """SELECT user_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT user_id, unnest(generate_series(time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 18 HOUR, time_bucket(INTERVAL 6 HOUR, ts), INTERVAL 6 HOUR)) AS s FROM events) GROUP BY ALL""")
 def sliding_window(t):
-    s = jobs.watermark(jobs.stream_source(t.spark, event_files(t)), "ts", FAR)
+    s = jobs.watermark(jobs.stream_source(t.spark, event_files(t)), "ts", DELAY)
     w = jobs.windowed(s, ["user_id"], "ts", "24 hours", "6 hours", [F.count("*").alias("n")])
     return jobs.collect_stream(w, "update", ["user_id", "start"]).select("user_id", stamp("start").alias("start"), "n")
 
@@ -68,19 +79,21 @@ def velocity_state(t):
     return got.join(done, "event_id", "left_semi").select("event_id", "n_1h", "n_24h", F.round("s_24h", 2).alias("s_24h"))
 
 
-@plan("I07", """SELECT 'main' AS side, count(*) FILTER (WHERE event_id % 50 <> 0) AS n FROM events UNION ALL SELECT 'late', count(*) FILTER (WHERE event_id % 50 = 0) FROM events WHERE ts < TIMESTAMP '2024-01-08' UNION ALL
-  SELECT 'dropped', count(*) FILTER (WHERE event_id % 50 = 0) FROM events WHERE ts < TIMESTAMP '2024-01-08'""")
+@plan("I07", """WITH c AS (SELECT min(ts) + (max(ts) - min(ts)) / 4 AS cut FROM events) SELECT 'main' AS side, count(*) FILTER (WHERE event_id % 50 <> 0) AS n FROM events
+  UNION ALL SELECT 'late', count(*) FILTER (WHERE event_id % 50 = 0) FROM events, c WHERE ts < cut UNION ALL SELECT 'dropped', count(*) FILTER (WHERE event_id % 50 = 0) FROM events, c WHERE ts < cut""")
 def late_data_policy(t):
-    """Every 50th event of the first week arrives again at the end; other 50ths never come."""
+    """Every 50th event of the first quarter of the time arrives at the end; other 50ths never come."""
     path = scratch_path(t.spark, "late-stream")
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    cut = F.lit("2024-01-20").cast("timestamp")  # a batch's watermark drops rows from the batch after the next one on
-    for part in (F.col("ts") < cut, F.col("ts") >= cut):
-        e.where((F.col("event_id") % 50 != 0) & part).coalesce(1).write.mode("append").parquet(path)
-    e.where((F.col("event_id") % 50 == 0) & (F.col("ts") < F.lit("2024-01-08").cast("timestamp"))).coalesce(1).write.mode("append").parquet(path)
+    span = e.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    held_back = F.col("event_id") % 50 == 0
+    for stretch in time_stretches(e):
+        e.where(~held_back & stretch).repartition(1).write.mode("append").parquet(path)
+    early = F.unix_micros("ts") < span["a"] + (span["b"] - span["a"]) // 4
+    e.where(held_back & early).repartitionByRange("ts").write.mode("append").parquet(path)
     split = jobs.LateSplit(t.spark, "ts", "1 day")
-    jobs.run_to_end(jobs.stream_source(t.spark, path, files_per_trigger=1), split, scratch_path(t.spark, "late-state"))
-    s = jobs.watermark(jobs.stream_source(t.spark, path, files_per_trigger=1), "ts", "1 day")
+    jobs.run_to_end(jobs.stream_source(t.spark, path), split, scratch_path(t.spark, "late-state"))
+    s = jobs.watermark(jobs.stream_source(t.spark, path), "ts", "1 day")
     w = jobs.windowed(s, ["event_id"], "ts", "1 second", aggs=[F.count("*").alias("n")])
     q = jobs.run_to_end(w, jobs.batch_sink(scratch_path(t.spark, "late-out")), scratch_path(t.spark, "late-state"), "append")
     dropped = jobs.progress_rows(q, t.spark).agg(F.lit("dropped").alias("side"), F.sum("dropped_rows").alias("n"))
@@ -90,7 +103,7 @@ def late_data_policy(t):
 
 @plan("I08", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
 def dedup_stream(t):
-    s = jobs.dedup_stream(jobs.stream_source(t.spark, event_files(t, replay=True)), ["event_id"], "ts", FAR)
+    s = jobs.dedup_stream(jobs.stream_source(t.spark, event_files(t, replay=True)), ["event_id"], "ts", DELAY)
     return jobs.collect_stream(s).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
@@ -105,7 +118,7 @@ def stream_interval_join(t):
     path = event_files(t)
     view = jobs.stream_source(t.spark, path).where(F.col("event_type") == "view").select("user_id", F.col("ts").alias("v_ts"))
     buy = jobs.stream_source(t.spark, path).where(F.col("event_type") == "purchase").select("user_id", F.col("ts").alias("p_ts"), "event_id")
-    got = jobs.collect_stream(jobs.interval_join(view, buy, "user_id", "v_ts", "p_ts", "6 hours", FAR))
+    got = jobs.collect_stream(jobs.interval_join(view, buy, "user_id", "v_ts", "p_ts", "6 hours", DELAY))
     return got.groupBy(F.col("l_user_id").alias("user_id")).agg(F.count("*").alias("pairs"), F.count_distinct("event_id").alias("purchases"))
 
 
@@ -155,7 +168,7 @@ def stream_quality_metrics(t):
 @plan("I16", """WITH w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 30 MINUTE, ts), INTERVAL 30 MINUTE)) AS s, event_type FROM events), g AS (SELECT s, count(*) AS n, count_if(event_type = 'error') AS e FROM w GROUP BY s)
   SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, round(e / n, 6) AS rate, CASE WHEN e / n > 0.05 THEN 'page' WHEN e / n > 0.01 THEN 'warn' ELSE 'ok' END AS alert FROM g""")
 def rolling_error_rate(t):
-    s = jobs.watermark(jobs.stream_source(t.spark, event_files(t)), "ts", FAR)
+    s = jobs.watermark(jobs.stream_source(t.spark, event_files(t)), "ts", DELAY)
     w = jobs.windowed(s, [], "ts", "1 hour", "30 minutes", [F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")])
     a = jobs.error_alerts(jobs.collect_stream(w, "update", ["start"]))
     return a.select(stamp("start").alias("start"), F.round("rate", 6).alias("rate"), "alert")
