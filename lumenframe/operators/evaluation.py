@@ -160,21 +160,35 @@ def catalog_coverage(recommended: DataFrame, item: str, catalog: DataFrame, cate
 
 
 def kappa(df: DataFrame, a: str, b: str, weights: str = "none") -> DataFrame:
-    """Cohen's kappa; weights none, linear or quadratic on numeric ratings."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
-    ma, mb = cells.groupBy(a).agg(F.sum("n").alias("na")), cells.groupBy(b).agg(F.sum("n").alias("nb"))
-
-    def dist(x, y):
-        if weights == "none":
-            return (x != y).cast("double")
-        return F.abs(x - y).cast("double") if weights == "linear" else F.pow((x - y).cast("double"), F.lit(2.0))
-
-    seen = cells.agg(F.sum("n").alias("n"), F.sum(F.col("n") * dist(F.col(a), F.col(b))).alias("o"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0.0)).alias("same"))
-    right = [(r[b], r["nb"]) for r in mb.limit(10_000).collect()]  # rating scale
-    arr = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(n).alias("n")) for v, n in right])
-    exp = ma.agg(F.sum(F.aggregate(arr, F.lit(0.0), lambda s, x: s + F.col("na") * x["n"] * dist(F.col(a), x["v"]))).alias("e"))
-    return attach_row(seen, exp).select((F.col("same") / F.col("n")).alias("agreement"),
-                                        (1 - safe_divide(F.col("o"), F.col("e") / F.col("n"))).alias("kappa"))
+    """Cohen's kappa; weights none, linear or quadratic on numeric ratings.
+
+    The expected disagreement is the sum over all pairs of one rater's and the other's ratings. Without weights it needs the counts of equal
+    ratings only, quadratic needs sums and sums of squares, linear the running counts of both raters along the scale.
+    """
+    x, y = F.col(a), F.col(b)
+    cells = df.where(x.isNotNull() & y.isNotNull()).groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
+    n = F.col("n")
+    if weights == "none":
+        apart = (x != y).cast("double")
+    else:
+        apart = F.abs(x - y).cast("double") if weights == "linear" else F.pow((x - y).cast("double"), F.lit(2.0))
+    seen = cells.agg(F.sum("n").alias("n"), F.sum(n * apart).alias("o"), F.sum(F.when(x == y, n).otherwise(0.0)).alias("same"))
+    sides = cells.select(x.alias("v"), n.alias("na"), F.lit(0.0).alias("nb")).unionByName(cells.select(y.alias("v"), F.lit(0.0).alias("na"), n.alias("nb")))
+    scale = sides.groupBy("v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    na, nb = F.col("na"), F.col("nb")
+    if weights == "none":
+        expected = scale.agg((F.sum("na") * F.sum("nb") - F.sum(na * nb)).alias("e"))
+    elif weights == "quadratic":
+        v = F.col("v").cast("double")
+        expected = scale.agg((F.sum(na * v * v) * F.sum("nb") - 2 * F.sum(na * v) * F.sum(nb * v) + F.sum("na") * F.sum(nb * v * v)).alias("e"))
+    else:  # |x - y| counts each step of the scale between them once: below * above on both sides of the step
+        steps = running(scale, [], ["v"], {"ca": ("sum", "na"), "cb": ("sum", "nb")})
+        steps = neighbours(steps, [], ["v"], {"next": lambda w: F.lead("v").over(w)}, after=1)
+        steps = attach_row(steps, scale.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb")))
+        ca, cb = F.col("ca"), F.col("cb")
+        crossing = ca * (F.col("tb") - cb) + cb * (F.col("ta") - ca)
+        expected = steps.agg(F.coalesce(F.sum(crossing * (F.col("next") - F.col("v")).cast("double")), F.lit(0.0)).alias("e"))
+    return attach_row(seen, expected).select((F.col("same") / n).alias("agreement"), (1 - safe_divide(F.col("o"), F.col("e") / n)).alias("kappa"))
 
 
 def judge_consistency(verdicts: DataFrame, pair: str, pass_col: str, verdict: str) -> DataFrame:

@@ -25,9 +25,9 @@ def with_date_spine(keys: DataFrame, start: str, end: str, out: str = "day", ste
     return keys.select("*", F.explode(dates).alias(out))
 
 
-def co_purchase(items: DataFrame, basket: str, item: str, min_support: int = 10, top: int = 100,
+def co_purchase(items: DataFrame, basket: str, item: str, min_support: int = 10, top: int | None = 100,
                 big_basket: int = 1_000) -> DataFrame:
-    """Item pairs bought together in at least ``min_support`` baskets.
+    """Item pairs bought together in at least ``min_support`` baskets: the ``top`` most frequent, or all if it is None.
 
     Only items frequent by themselves can be in a frequent pair. The ``min_support - 1`` largest
     baskets cannot make a pair frequent alone, so (if larger than ``big_basket``) their pairs are
@@ -52,7 +52,9 @@ def co_purchase(items: DataFrame, basket: str, item: str, min_support: int = 10,
                  .groupBy("item_a", "item_b").agg(F.count("*").alias("more")))
         pairs = pairs.join(extra, ["item_a", "item_b"], "left").select(
             "item_a", "item_b", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-    best = pairs.where(F.col("n") >= min_support).orderBy(F.desc("n"), "item_a", "item_b").limit(top)
+    best = pairs.where(F.col("n") >= min_support)
+    if top is not None:
+        best = best.orderBy(F.desc("n"), "item_a", "item_b").limit(top)
     sa = support.select(F.col("item").alias("item_a"), F.col("support").alias("support_a"))
     sb = support.select(F.col("item").alias("item_b"), F.col("support").alias("support_b"))
     return best.join(sa, "item_a").join(sb, "item_b").select("item_a", "item_b", "n", "support_a", "support_b")

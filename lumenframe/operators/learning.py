@@ -237,12 +237,10 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: in
     feats = list(features)
     n = df.count()
     rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in feats])
-    if n > 8 * trees * sample:  # plenty of rows: each row can serve at most one tree
-        picked = rows.where(hash_unit(F.lit(seed), F.col(key)) < 4.0 * trees * sample / n).withColumn(
-            "tree", F.floor(hash_unit(F.lit(seed + 1), F.col(key)) * trees).cast("int")).withColumn("_u", hash_unit(F.lit(seed + 2), F.col(key)))
-    else:
-        picked = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn(
-            "_u", hash_unit(F.lit(seed), F.col("tree"), F.col(key)))
+    # a tree takes the rows of smallest hash; four times as many as it needs are looked at, so that a row is copied only to trees that may take it
+    share = 4.0 * sample / max(n, 1)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.struct(k.alias("tree"), hash_unit(F.lit(seed), k, F.col(key)).alias("_u")))
+    picked = rows.select("*", F.inline(F.filter(drawn, lambda d: d["_u"] < share)))
     picked = top_per_group(picked, ["tree"], ["_u"], sample)
     limit = math.ceil(math.log2(max(sample, 2)))
 

@@ -1,24 +1,29 @@
 """Ordered and ranked computations that stay exact when one key holds a large share of the rows.
 
 A plain window sends every row of a key to one task. The functions here first look for keys with
-more than ``hot_rows`` rows (a bounded list). Without such keys they are the plain window. With
-them, the rows of a hot key are cut into blocks along the order column; windows run inside a
-block, and a small table of block totals (or the few border rows) carries the rest.
+more than ``hot_rows`` rows. Without such keys they are the plain window. With them, the rows of all hot
+keys are range-partitioned by key and the whole order list, about ``lumenframe.blockRows`` rows to a partition, so that keys and ties on the first
+order column are cut alike; a partition's rows of one key are a block. Windows run inside a block, and a table of block totals (or the few
+border rows) carries the rest. The number of blocks follows the number of rows; nothing is capped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.session import cut_lineage
+
 BLK = "_blk"
 HOT = "_hot"
 HOT_ROWS_KEY = "lumenframe.hotRows"
 HOT_ROWS_DEFAULT = 2_000_000
-MAX_HOT_KEYS = 10_000  # any key beyond the 10,000 largest holds less than 1/10,000 of the rows
-BLOCKS = 64
+BLOCK_ROWS_KEY = "lumenframe.blockRows"
+BLOCK_ROWS_DEFAULT = 2_000_000
+LEAST_BLOCKS = 4
 
 
 def hot_rows_of(df: DataFrame, hot_rows: int | None) -> int:
@@ -27,6 +32,11 @@ def hot_rows_of(df: DataFrame, hot_rows: int | None) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_KEY, str(HOT_ROWS_DEFAULT)))
 
 
+def blocks_for(df: DataFrame, rows: int) -> int:
+    """Number of blocks for so many hot rows."""
+    return max(LEAST_BLOCKS, math.ceil(rows / int(df.sparkSession.conf.get(BLOCK_ROWS_KEY, str(BLOCK_ROWS_DEFAULT)))))
+
+
 def sort_cols(order: Sequence[str]) -> list[Column]:
     """``["-ts", "id"]`` means ts descending, then id ascending."""
     return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
@@ -63,47 +73,37 @@ def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one.schema.fields])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list:
-    """The (at most ``MAX_HOT_KEYS``) keys with more than ``hot_rows`` rows, counted map-side first."""
-    hot_rows = hot_rows_of(df, hot_rows)
-    return (
-        df.groupBy(*keys).count().where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count")).limit(MAX_HOT_KEYS).drop("count").collect()
-    )
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows and their ``count``, counted map-side first; a table, as there may be many."""
+    counted = df.groupBy(*keys).count().where(F.col("count") > hot_rows_of(df, hot_rows))
+    return df.sparkSession.createDataFrame([], counted.schema) if counted.isEmpty() else cut_lineage(counted)
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-              hot_rows: int | None = None, blocks: int = BLOCKS, hot: list | None = None) -> tuple[DataFrame, bool]:
-    """Add block number ``_blk`` and flag ``_hot`` if some key is hot; edges are fixed values.
+              hot_rows: int | None = None, hot: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Add block number ``_blk`` (ascending along the order) and flag ``_hot`` if some key is hot.
 
-    ``hot`` takes the result of an earlier ``hot_keys`` on the same rows and saves the counting pass.
+    ``hot`` takes the result of an earlier ``hot_keys`` on the same rows and saves the counting pass. The cut rows are kept by a
+    reliable checkpoint: a range partitioning that is computed twice could cut elsewhere.
     """
     hot_rows = hot_rows_of(df, hot_rows)
-    first = order[0].lstrip("-")
-    down = order[0].startswith("-")
-    probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    edge = F.percentile_approx(F.col(first), probs, F.lit(10_000)).alias("_edges")
     if keys:
         found = hot_keys(df, keys, hot_rows) if hot is None else hot
-        if not found:
+        if found.isEmpty():
             return df, False
-        spark = df.sparkSession
-        key_schema = df.select(*keys).schema
-        hot_df = spark.createDataFrame([tuple(r) for r in found], key_schema)
-        hot_part = join_nullsafe(df.select(*dict.fromkeys([*keys, first])), hot_df, keys, "inner", broadcast=True)
-        edges = hot_part.groupBy(*keys).agg(edge)
-        edges_df = spark.createDataFrame([tuple(r) for r in edges.collect()], edges.schema)
-        marked = join_nullsafe(df, edges_df, keys, "left", broadcast=True)
+        rows = found.agg(F.sum("count")).first()[0]
+        only = found.select(*keys)
+        crowded, rest = join_nullsafe(df, only, keys, "left_semi"), join_nullsafe(df, only, keys, "left_anti")
     else:
-        if df.count() <= hot_rows:
+        rows = df.count()
+        if rows <= hot_rows:
             return df, False
-        marked = attach_row(df, df.agg(edge))
-    blk = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(first))), F.lit(0))
-    return (
-        marked.withColumn(BLK, -blk if down else blk)
-        .withColumn(HOT, F.col("_edges").isNotNull()).drop("_edges"),
-        True,
-    )
+        crowded, rest = df, None
+    ranges = crowded.repartitionByRange(blocks_for(df, rows), *keys, *sort_cols(order))
+    cut = cut_lineage(ranges.withColumn(BLK, F.spark_partition_id()).withColumn(HOT, F.lit(True)))
+    if rest is None:
+        return cut, True
+    return cut.unionByName(rest.withColumn(BLK, F.lit(0)).withColumn(HOT, F.lit(False))), True
 
 
 _TOTAL = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
@@ -130,7 +130,7 @@ def _merge(kind: str, carry: Column, local: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            aggs: dict[str, tuple], hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
+            aggs: dict[str, tuple], hot_rows: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Running aggregates from the first row of a key to the current row.
 
     ``aggs[name] = (kind, column[, "before"])``; kind is sum, count, max, min or last (not null);
@@ -166,7 +166,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         *[_over("sum" if s[0] == "count" else s[0], F.col(f"_t_{n}"), wb).alias(f"_c_{n}")
           for n, s in aggs.items()],
     )
-    joined = join_nullsafe(out, carry, part, "left", broadcast=True)  # at most BLOCKS rows per hot key
+    joined = join_nullsafe(out, carry, part, "left")
     return joined.select(
         *[c for c in df.columns],
         *[_merge(s[0], F.col(f"_c_{n}"), F.col(n)).alias(n) for n, s in aggs.items()],
@@ -175,7 +175,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                exprs: dict[str, Callable], before: int = 0, after: int = 0,
-               hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
+               hot_rows: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``exprs[name] = fn(window) -> Column``. Blocks of a hot key get copies of the border rows.
@@ -188,22 +188,30 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     inner = Window.partitionBy(*part)
     asc = sort_cols(order)
     flip = sort_cols([c[1:] if c.startswith("-") else "-" + c for c in order])
-    hot = base.where(F.col(HOT))
-    last_blk = hot.agg(F.min(BLK), F.max(BLK)).first()
-    lo, hi = last_blk[0], last_blk[1]
+    crowded = base.where(F.col(HOT))
+    along = Window.partitionBy(*keys).orderBy(BLK)
+    blocks = crowded.groupBy(*part).agg(F.count("*").alias("_rows")).select(
+        *part, "_rows", F.row_number().over(along).alias("_nth"), F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_cum"),
+        F.count("*").over(Window.partitionBy(*keys)).alias("_blocks"))
     pieces = [base.withColumn("_halo", F.lit(False))]
 
-    def halo(n: int, edge_order, targets: Column):
-        tail = hot.withColumn("_rn", F.row_number().over(inner.orderBy(*edge_order))).where(F.col("_rn") <= n)
-        moved = tail.withColumn("_to", F.explode(targets)).withColumn(BLK, F.col("_to")).drop("_to", "_rn")
-        nearest = Window.partitionBy(*part).orderBy(*edge_order)
-        return (moved.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= n)
-                .drop("_rn").withColumn("_halo", F.lit(True)))
+    def halo(n: int, edge_order, forward: bool):
+        """Copies of a block's ``n`` outermost rows for the blocks that lie within ``n`` rows of them; each block between holds a row at least."""
+        tail = crowded.withColumn("_rn", F.row_number().over(inner.orderBy(*edge_order))).where(F.col("_rn") <= n)
+        placed = join_nullsafe(tail, blocks, part, "inner")
+        nth, far = F.col("_nth"), F.lit(n + 1) - F.col("_rn")
+        targets = (F.when(nth < F.col("_blocks"), F.sequence(nth + 1, F.least(nth + far, F.col("_blocks")))) if forward
+                   else F.when(nth > 1, F.sequence(F.greatest(nth - far, F.lit(1)), nth - 1)))
+        moved = placed.withColumn("_to", F.explode(targets))
+        there = blocks.select(*keys, F.col("_nth").alias("_to"), F.col(BLK).alias("_tb"), F.col("_cum").alias("_tc"), F.col("_rows").alias("_tr"))
+        between = F.col("_tc") - F.col("_cum") - F.col("_rows") if forward else F.col("_cum") - F.col("_tc") - F.col("_tr")
+        near = join_nullsafe(moved, there, [*keys, "_to"], "inner").where(between + F.col("_rn") <= n)
+        return near.withColumn(BLK, F.col("_tb")).select(*base.columns).withColumn("_halo", F.lit(True))
 
     if before:
-        pieces.append(halo(before, flip, F.when(F.col(BLK) < hi, F.sequence(F.col(BLK) + 1, F.lit(hi)))))
+        pieces.append(halo(before, flip, True))
     if after:
-        pieces.append(halo(after, asc, F.when(F.col(BLK) > lo, F.sequence(F.lit(lo), F.col(BLK) - 1))))
+        pieces.append(halo(after, asc, False))
     whole = pieces[0]
     for p in pieces[1:]:
         whole = whole.unionByName(p)
@@ -223,22 +231,21 @@ def trailing(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
     hot_rows = hot_rows_of(df, hot_rows)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     base = df.withColumn("_us", us)
-    found = hot_keys(df, keys, hot_rows)
-    if not found:
+    sizes = base.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min("_us").alias("_from"), F.max("_us").alias("_to")).where(F.col("_rows") > hot_rows)
+    if sizes.isEmpty():
         w = Window.partitionBy(*keys).orderBy("_us")
         return base.select("*", *[f(w).alias(n) for n, f in exprs.items()]).drop("_us")
-    spark = df.sparkSession
-    hot_df = spark.createDataFrame([tuple(r) for r in found], df.select(*keys).schema).withColumn(HOT, F.lit(True))
-    marked = join_nullsafe(base, hot_df, keys, "left", broadcast=True)
-    span = marked.where(F.col(HOT)).agg(F.min("_us"), F.max("_us")).first()
-    width = max(seconds * 1_000_000 + 1, (span[1] - span[0]) // BLOCKS + 1)
+    pieces = F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("_rows") / F.lit(int(df.sparkSession.conf.get(BLOCK_ROWS_KEY, str(BLOCK_ROWS_DEFAULT))))))
+    widths = cut_lineage(sizes.select(*keys, F.greatest(F.lit(seconds * 1_000_000 + 1), F.floor((F.col("_to") - F.col("_from")) / pieces) + 1).alias("_width")))
+    marked = join_nullsafe(base, widths, keys, "left").withColumn(HOT, F.col("_width").isNotNull())
+    width = F.col("_width")
     own = F.when(F.col(HOT), F.floor(F.col("_us") / width)).otherwise(F.lit(0)).cast("long")
     reach = F.col(HOT) & ((own + 1) * width - F.col("_us") <= seconds * 1_000_000)
     copies = F.when(F.coalesce(reach, F.lit(False)), F.array(own, own + 1)).otherwise(F.array(own))
     spread = (marked.withColumn("_own", own).withColumn(BLK, F.explode(copies)))
     w = Window.partitionBy(*keys, BLK).orderBy("_us")
     return (spread.select("*", *[f(w).alias(n) for n, f in exprs.items()])
-            .where(F.col("_own") == F.col(BLK)).drop("_us", "_own", BLK, HOT))
+            .where(F.col("_own") == F.col(BLK)).drop("_us", "_own", "_width", BLK, HOT))
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], names: dict[str, str],

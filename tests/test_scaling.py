@@ -55,6 +55,43 @@ def test_ranked(skewed):
     same(sc.ranked(skewed, ["k"], ["t"], names, 10), sc.ranked(skewed, ["k"], ["t"], names, 10**9))
 
 
+def test_text_order_and_ties(skewed):
+    """Blocks follow the whole order list: a text column comes first, and most rows tie on it."""
+    tied = skewed.withColumn("day", F.concat(F.lit("d"), (F.col("t") % 2).cast("string")))
+    order = ["day", "t", "id"]
+    same(sc.ranked(tied, ["k"], order, {"rn": "row_number"}, 10), sc.ranked(tied, ["k"], order, {"rn": "row_number"}, 10**9))
+    same(sc.running(tied, ["k"], order, {"s": ("sum", "v"), "l": ("last", "v")}, 10), sc.running(tied, ["k"], order, {"s": ("sum", "v"), "l": ("last", "v")}, 10**9))
+    back = {"a": lambda w: F.lag("v", 25).over(w), "b": lambda w: F.lead("id", 13).over(w)}
+    spark = tied.sparkSession
+    spark.conf.set("lumenframe.blockRows", "20")
+    try:
+        cut, split = sc.split_hot(tied, ["k"], order, 10)
+        sizes = cut.where("_hot").groupBy("k", "_blk").count().agg(F.max("count"), F.count("*")).first()
+        assert split and sizes[0] < 100 and sizes[1] > 20
+        same(sc.neighbours(tied, ["k"], order, back, 25, 13, 10), sc.neighbours(tied, ["k"], order, back, 25, 13, 10**9))
+    finally:
+        spark.conf.unset("lumenframe.blockRows")
+
+
+def test_many_hot_keys(spark):
+    rows = spark.range(40_000).select((F.col("id") % 12_000).alias("k"), F.col("id"), (F.col("id") * 7 % 11).alias("v"))
+    same(sc.running(rows, ["k"], ["id"], {"s": ("sum", "v")}, 2), sc.running(rows, ["k"], ["id"], {"s": ("sum", "v")}, 10**9))
+
+
+def test_kappa_of_a_long_scale(spark):
+    import numpy as np
+
+    from lumenframe.operators import evaluation
+
+    r = np.random.default_rng(3)
+    x = r.integers(0, 30_000, 4_000)
+    y = np.where(r.random(4_000) < 0.4, x, r.integers(0, 30_000, 4_000))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    for kind, apart in (("none", lambda d: (d != 0).astype(float)), ("linear", np.abs), ("quadratic", lambda d: d.astype(float) ** 2)):
+        want = 1 - apart(x - y).sum() / (apart(x[:, None] - y[None, :]).sum() / len(x))
+        assert abs(evaluation.kappa(df, "x", "y", kind).first()["kappa"] - want) < 1e-9
+
+
 def test_trailing(spark, skewed):
     timed = skewed.withColumn("ts", F.timestamp_seconds(F.col("t") * 60))
     us = 600 * 1_000_000
