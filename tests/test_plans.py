@@ -6,12 +6,13 @@ import pytest
 from compare import compare, oracle_connection
 
 import __spark_entry__ as entry
+from lumenframe.plans import registry
 
 FOLDER = os.environ.get("PLANS_SF_DIR", "/root/testdata/sf0.001")
 SLOW = {"classifiers", "elbow_and_gap", "grid_search", "word_embeddings", "clusterings", "importance_and_ablation", "feature_selection",
         "rerank_candidates", "impute_iterative", "tree_regressors", "learning_curve", "one_vs_rest", "boosting_early_stop", "velocity_state",
         "generalized_linear", "naive_bayes_kinds", "discriminant_analysis", "feature_weights"}
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.callables(), registry.oracles()
 
 
 @pytest.fixture(scope="module")
