@@ -45,6 +45,25 @@ def html_extract(t):
                     F.length("raw_text").alias("chars"))
 
 
+def built_pages(t):
+    """One page per document with a head, hidden parts, two sections and a code block around its words."""
+    plain = F.trim(F.regexp_replace("text", r"[^A-Za-z]+", " "))
+    return t.documents.select("doc_id", F.concat(
+        F.lit("<html><head><title>doc "), "doc_id", F.lit('</title><meta name="Lang" content="'), "lang", F.lit('"><meta content="no key"><style>p {}</style></head><body><nav>menu</nav><h1>First</h1><p>'),
+        plain, F.lit("</p><script>var x = 1;</script><h2>Second &amp; last</h2><p>code below</p><pre><code class=\"language-python\">import os\nprint(1)</code></pre><pre>short</pre><p>end "), "source",
+        F.lit("</p><footer>foot</footer></body></html>")).alias("html"))
+
+
+@plan("T16", r"""WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ') AS x FROM documents)
+  SELECT doc_id, 'doc ' || doc_id AS title, lang, 2 AS sections, x AS first, 'Second & last' AS heading, 2 AS level, 'code below' || chr(10) || chr(10) || 'end ' || source AS second, 'import os' || chr(10) || 'print(1)' AS code, 'python' AS language, 'code below' AS context, 1 AS code_blocks, 1 AS meta FROM d""")
+def html_sections(t):
+    e = ct.html_extract(built_pages(t), "doc_id", "html")
+    two, code = F.col("sections")[1], F.col("code_blocks")[0]
+    return e.select("doc_id", "title", F.col("metadata")["lang"].alias("lang"), F.size("sections").alias("sections"), F.col("sections")[0]["content"].alias("first"), two["heading"].alias("heading"),
+                    two["level"].alias("level"), two["content"].alias("second"), code["code"].alias("code"), code["language"].alias("language"), code["context"].alias("context"),
+                    F.size("code_blocks").alias("code_blocks"), F.size("metadata").alias("meta"))
+
+
 @plan("T16", r"SELECT page_id, regexp_matches(html, '(?i)<title>') AS titled FROM pages")
 def html_titles(t):
     return ct.html_extract(t.pages, "page_id", "html").select("page_id", (F.col("title") != "").alias("titled"))
@@ -59,7 +78,12 @@ def extract_links(t):
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("target").alias("targets"))
 
 
-@plan("T17")
+@plan("T17", r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href=["'']([^"''#]+)', 1)) AS h FROM pages),
+  r AS (SELECT url, CASE WHEN regexp_matches(h, '^https?://') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^(https?:)', 1) || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h
+  WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL ELSE CASE WHEN length(regexp_extract(url, '^(https?://[^?#]*/)', 1)) > 8 THEN regexp_extract(url, '^(https?://[^?#]*/)', 1) ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' END || h END AS target FROM l),
+  k AS (SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS a, lower(regexp_extract(target, '^https?://([^/?#:]+)', 1)) AS b FROM r WHERE target IS NOT NULL),
+  o AS (SELECT a AS host, count(*) AS out_links, count_if(a = b)::BIGINT AS internal_links FROM k GROUP BY a), i AS (SELECT b AS host, count(*) AS in_links FROM k GROUP BY b)
+  SELECT coalesce(o.host, i.host) AS host, coalesce(out_links, 0) AS out_links, coalesce(internal_links, 0) AS internal_links, coalesce(in_links, 0) AS in_links FROM o FULL JOIN i ON o.host = i.host""")
 def link_degrees(t):
     return ct.link_degrees(ct.extract_links(t.pages, "page_id", "url", "html"))
 
