@@ -121,13 +121,13 @@ def silhouette(clustered: DataFrame) -> float:
 
 
 def elbow(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 1, reference: bool = False) -> DataFrame:
-    """Inertia and silhouette per k, and the gap to uniform data of the same range if asked."""
+    """Inertia and silhouette per k, and the gap to uniform data of the same range (by the hash of each vector) if asked."""
     rows = []
     dim = df.select(F.size(vector)).first()[0]
     ranges = df.agg(*[F.struct(F.min(F.col(vector)[i]), F.max(F.col(vector)[i])) for i in range(dim)]).first() if reference else None
     uniform = None
     if reference:
-        axes = [F.lit(float(ranges[i][0])) + F.rand(seed + i) * float(ranges[i][1] - ranges[i][0]) for i in range(dim)]
+        axes = [F.lit(float(ranges[i][0])) + hash_unit(F.lit(seed + i), F.col(vector)) * float(ranges[i][1] - ranges[i][0]) for i in range(dim)]
         uniform = df.select(F.array(*axes).alias(vector))
     for k in ks:
         model, out = cluster(df, vector, k, seed=seed)

@@ -56,13 +56,20 @@ def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return left.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+#: Plan nodes of a plain scan; anything else may hold a shuffle, whose stages would run just to count partitions.
+SCAN_NODES = ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly row work on a small scan: a single file would otherwise be one task.
 
-    Inputs with at least as many splits as cores stay as they are, so large data is never shuffled here.
+    Inputs with at least as many splits as cores, and inputs that are not plain scans, stay as they are, so large data is never shuffled here.
     """
+    if df.isStreaming:
+        return df
+    nodes = [line.lstrip(" :+-").split(" ", 1)[0].split("[", 1)[0] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if any(n and not n.startswith(SCAN_NODES) for n in nodes) or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
