@@ -24,9 +24,10 @@ FANOUT = 16
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = 1000) -> DataFrame:
-    """Pages as WARC response records: ``record_id, archive, offset, length, digest, record``.
+    """Pages as WARC response records: ``record_id, archive, offset, length, digest, rotten_digest, record``.
 
-    An archive holds the pages of ``per_archive`` consecutive ids, one record behind the other in the order of ids, urls and contents. Nulls are written as empty.
+    An archive holds the pages of ``per_archive`` consecutive ids, one record behind the other in the order of ids and digests. Nulls are written as empty.
+    ``rotten_digest`` is the digest of the record with its last content character replaced, for planted damage.
     """
     text = {c: F.coalesce(named(n).cast("string"), F.lit("")) for c, n in (("url", url_col), ("html", html_col))}
     rows = pages.select(named(id_col).cast("long").alias("record_id"), *(v.alias(k) for k, v in text.items()))
@@ -35,11 +36,13 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"),
     )
     rows = rows.withColumn("record", F.concat(head, F.col("html"), F.lit("\r\n\r\n")))
-    rows = rows.select("record_id", F.floor(F.col("record_id") / per_archive).cast("long").alias("archive"), "url", "html", "record")
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("archive").orderBy("record_id", "url", "html").rowsBetween(Window.unboundedPreceding, -1)
+    # lengths and digests are taken here, so that the window below moves no text unless ``record`` itself is asked for
+    rows = rows.select(
+        "record_id", F.floor(F.col("record_id") / per_archive).cast("long").alias("archive"), F.octet_length("record").cast("long").alias("length"),
+        F.sha2("record", 256).alias("digest"), F.sha2(F.concat(F.expr("left(record, length(record) - 5)"), F.lit("~\r\n\r\n")), 256).alias("rotten_digest"), "record")
+    before = Window.partitionBy("archive").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return rows.select("record_id", "archive", "offset", "length", F.sha2("record", 256).alias("digest"), "record")
+    return rows.select("record_id", "archive", "offset", "length", "digest", "rotten_digest", "record")
 
 
 def records_of(replica: DataFrame) -> DataFrame:
@@ -116,8 +119,6 @@ def decayed(records: DataFrame) -> DataFrame:
     By record id: every 97th record has its last content character replaced, every 211th is missing, and every 307th is followed by a stray one.
     """
     n = F.col("record_id")
-    rotten = F.concat(F.expr("left(record, length(record) - 5)"), F.lit("~\r\n\r\n"))
     rows = records.filter(F.coalesce(n % 211 != 1, F.lit(True)))
-    rows = rows.withColumn("record", F.when(n % 97 == 13, rotten).otherwise(F.col("record")))
-    stray = records.filter(n % 307 == 2).withColumn("offset", F.col("offset") + 1)
-    return rows.unionByName(stray).withColumn("digest", F.sha2("record", 256))
+    rows = rows.withColumn("digest", F.when(n % 97 == 13, F.col("rotten_digest")).otherwise(F.col("digest")))
+    return rows.unionByName(records.filter(n % 307 == 2).withColumn("offset", F.col("offset") + 1))
