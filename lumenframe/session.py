@@ -29,7 +29,10 @@ def local_session(cores: str = "8", app: str = "lumenframe") -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, for the functions that run in their Python workers."""
+    """Sends this package to the executors once per application, for the functions that run in their Python workers.
+
+    The archive is built on the driver; Spark's own file server hands it to the executors, so no folder is shared for it.
+    """
     context = spark.sparkContext
     if getattr(context, "_lumenframe_shipped", False):
         return
