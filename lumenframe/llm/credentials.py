@@ -18,7 +18,6 @@ Null and empty texts have no spans; repeated rows give repeated result rows; ids
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
