@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.session import cut_lineage, scratch_path
@@ -155,44 +154,34 @@ def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node of an edge list ``a long, b long``.
 
     Alternating large-star and small-star steps: each keeps the edge list linear in the number of nodes, so a hub
-    costs no more than its edges, and the number of steps grows with the logarithm of the longest path. Returns
-    ``id, root``; nodes without edges don't appear. Lineage is cut by reliable checkpoints after each step.
+    costs no more than its edges, and the number of steps grows with the logarithm of the longest path. It ends when every edge leads to
+    a node that has no smaller neighbour. Returns ``id, root``; nodes without edges don't appear. Lineage is cut by reliable checkpoints; the least
+    neighbours are cut too, so that the join with them deals rows out by itself and a hub's rows can be split over tasks.
     """
     def toward_smallest(e: DataFrame, both: bool) -> DataFrame:
         """Connects the neighbours of each node to the smallest of them and itself."""
-        hub, spoke = F.greatest("a", "b"), F.least("a", "b")
-        near = e.select(hub.alias("n"), spoke.alias("x"))
+        near = e.select(F.col("a").alias("n"), F.col("b").alias("x"))
         if both:
-            near = near.unionByName(e.select(spoke.alias("n"), hub.alias("x")))
-        least = near.groupBy("n").agg(F.min("x").alias("m"))
-        least = least.select("n", F.least("n", "m").alias("m"))
-        out = near.join(least, "n")
-        kept = out.filter(F.col("x") > F.col("n")) if both else out
-        return (
-            kept.select(F.col("x").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-            .filter("a != b")
-            .distinct()
-        )
+            near = near.unionByName(e.select(F.col("b").alias("n"), F.col("a").alias("x")))
+        least = cut_lineage(near.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m")))
+        joined = near.join(least, "n")
+        spokes = joined.filter("x > n") if both else joined
+        out = spokes.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
+        return out.filter("a != b").distinct()
+
+    def all_stars(e: DataFrame) -> bool:
+        """Each node has one edge to a smaller node, or only edges from larger ones."""
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1").isEmpty()
 
     e = cut_lineage(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    while not all_stars(e):
         e = cut_lineage(toward_smallest(toward_smallest(e, True), False))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     )
 
 
-def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
-    """Partitions for so many rows; never fewer than the session's setting."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_part))
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared scratch folder and reads them back: nothing behind it is computed again."""
     spark = df.sparkSession

@@ -138,26 +138,35 @@ def windows_of_rows(values: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a small graph given as a square matrix."""
-    n = len(linked)
-    left, out = np.ones(n, bool), []
-    for root in range(n):
-        if not left[root]:
-            continue
-        left[root] = False
-        todo = [root]
+def _groups(linked: np.ndarray) -> np.ndarray:
+    """Number of the connected component of each node of a small graph given as a square matrix."""
+    label = np.full(len(linked), -1)
+    for root in range(len(linked)):
+        todo = [root] if label[root] < 0 else []
+        label[todo] = root
         while todo:
-            x = todo.pop()
-            near = np.flatnonzero(linked[x] & left)
-            left[near] = False
-            out += [(x, y) for y in near.tolist()]
+            near = np.flatnonzero(linked[todo.pop()] & (label < 0))
+            label[near] = root
             todo += near.tolist()
-    return out
+    return label
+
+
+def _stars(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge from every node to the smallest id of its component."""
+    order = np.lexsort((ids, label))
+    first = np.concatenate(([True], label[order][1:] != label[order][:-1])) if len(ids) else np.empty(0, bool)
+    least = ids[order][np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))] if len(ids) else ids
+    apart = ids[order] != least
+    return ids[order][apart], least[apart]
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    none = [np.empty(0, np.int64)]
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
 
 
 def _search(forest: Forest):
-    """Spanning forest of the pairs of each region whose sizes and signatures allow the threshold."""
+    """Edges that connect the pairs of each region whose sizes and signatures allow the threshold."""
     least = forest.least_agreement()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +174,15 @@ def _search(forest: Forest):
             a, b = [], []
             for members in batch.column("members"):
                 rows = members.as_py()
-                ids = [r["id"] for r in rows]
+                ids = np.array([r["id"] for r in rows], np.int64)
                 size = np.array([r["n"] for r in rows], np.int64)
                 sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
                 linked = 100 * np.minimum.outer(size, size) >= forest.percent * np.maximum.outer(size, size)
                 for k in range(0, len(rows), 64):
                     linked[k : k + 64] &= (sketch[k : k + 64, None, :] == sketch[None, :, :]).sum(axis=2) >= least
-                for x, y in _spanning(linked):
-                    a.append(ids[x]), b.append(ids[y])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                x, y = _stars(ids, _groups(linked))
+                a.append(x), b.append(y)
+            yield _edges(a, b)
 
     return run
 
@@ -210,8 +219,8 @@ def coarse_edges(classes: DataFrame, forest: Forest) -> DataFrame:
     return edges
 
 
-def linked_sets(sets: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs of sets at the threshold; with ``block`` only of pairs from different blocks."""
+def linked_sets(sets: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> np.ndarray:
+    """Component of each set over the pairs at the threshold; with ``block`` only over pairs from different blocks."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
     values = np.concatenate(sets)
@@ -223,7 +232,7 @@ def linked_sets(sets: list[np.ndarray], percent: int, block: np.ndarray | None =
     number = np.empty(len(order), np.int64)  # which distinct shingle stands at each place of ``values``
     number[order] = np.cumsum(new) - 1
     first = np.cumsum(size) - size
-    label, out = np.arange(n), []
+    label = np.arange(n)
     for x in range(n - 1):
         mine = number[first[x] : first[x] + size[x]]
         mine = mine[count[mine] > 1]
@@ -238,42 +247,41 @@ def linked_sets(sets: list[np.ndarray], percent: int, block: np.ndarray | None =
             near &= block != block[x]
         for other in np.unique(label[near]).tolist():
             if other != label[x]:
-                y = int(np.flatnonzero(near & (label == other))[0])
-                out.append((x, y))
                 label[label == other] = label[x]
-    return out
+    return label
 
 
 def _verify(forest: Forest):
-    def links(ids: list, sets: list, blocks: list, alone: bool) -> tuple[list, list]:
-        if len(ids) < 2:
-            return [], []
-        pairs = linked_sets([np.frombuffer(s, np.uint64) for s in sets], forest.percent, None if alone else np.array(blocks))
-        return [ids[x] for x, _ in pairs], [ids[y] for _, y in pairs]
+    def links(ids: list, sets: list, blocks: list, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        label = linked_sets([np.frombuffer(s, np.uint64) for s in sets], forest.percent, None if alone else np.array(blocks))
+        return _stars(np.array(ids, np.int64), label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, ([], [], [])
+
+        def close(a: list, b: list) -> None:
+            if len(held[0]) > 1:
+                x, y = links(*held, key[1] == key[2])
+                a.append(x), b.append(y)
+
         for batch in batches:
             a, b = [], []
             for group, i, j, block, id_, values in zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "block", "id", "values"))):
                 if (group, i, j) != key:
-                    if key:
-                        x, y = links(*held, key[1] == key[2])
-                        a += x
-                        b += y
+                    close(a, b)
                     key, held = (group, i, j), ([], [], [])
                 for k, v in zip(held, (id_, values, block)):
                     k.append(v)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        if key:
-            a, b = links(*held, key[1] == key[2])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            yield _edges(a, b)
+        a, b = [], []
+        close(a, b)
+        yield _edges(a, b)
 
     return run
 
 
 def verified_edges(texts: DataFrame, groups: DataFrame, forest: Forest) -> DataFrame:
-    """Links ``a, b`` inside coarse groups, as spanning forests; ``groups``: ``id, group, n``, one row per id."""
+    """Edges ``a, b`` that connect what is linked inside coarse groups; ``groups``: ``id, group, n``, one row per id."""
     size = groups.groupBy("group").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     parts = F.greatest(F.ceil(F.col("total") * 8 / F.lit(forest.group_bytes)), F.ceil(F.col("rows") / F.lit(forest.group_rows)))
     groups = groups.select("id", "group").join(size.select("group", parts.cast("long").alias("parts")), "group")

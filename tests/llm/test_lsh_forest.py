@@ -75,16 +75,14 @@ def test_identical_signatures_at_the_last_depth(spark):
 def test_linked_sets_matches_brute_force():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 30, 20, dtype=np.uint64)) for _ in range(60)]
-    root = np.arange(60)
-    for x, y in lsh_forest.linked_sets(sets, 60):
-        both = len(np.intersect1d(sets[x], sets[y]))
-        assert 100 * both >= 60 * (len(sets[x]) + len(sets[y]) - both)
-        root[root == root[y]] = root[x]
+    label = lsh_forest.linked_sets(sets, 60)
+    root = list(range(60))
     for x in range(60):
         for y in range(x):
             both = len(np.intersect1d(sets[x], sets[y]))
             if 100 * both >= 60 * (len(sets[x]) + len(sets[y]) - both):
-                assert root[x] == root[y]
+                root = [root[y] if r == root[x] else r for r in root]
+    assert [[i for i in range(60) if label[i] == v] for v in dict.fromkeys(label)] == [[i for i in range(60) if root[i] == v] for v in dict.fromkeys(root)]
 
 
 def test_orders_grow_with_depth():
