@@ -16,7 +16,7 @@ from lumenframe.session import cut_lineage, scratch_path
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 #: Text bytes that a task turns into Python objects at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def named(name: str) -> Column:
@@ -50,7 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) to a 64-bit hash that is equal in every process; forgets all when it holds too many."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

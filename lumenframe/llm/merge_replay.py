@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from lumenframe.llm.common import chunks, texts_of
 
 #: Distinct pre-tokens that a task remembers; it starts anew beyond that.
-MOST_WORDS = 600_000
+MOST_WORDS = 250_000
 #: Text bytes whose new pre-tokens form one corpus.
-CORPUS_BYTES = 24 << 20
+CORPUS_BYTES = 12 << 20
 
 
 class Vocabulary:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import LOWER, chunks, maybe_members, membership_bits, mixed, named, texts_of
+from lumenframe.llm.common import chunks, maybe_members, membership_bits, mixed, named, texts_of
 from lumenframe.session import cut_lineage
 
 NUMBER_WORDS = frozenset(
@@ -70,7 +70,7 @@ class _Kinds(dict):
     """Written word to the hash of its bare form, with its kind and flags in the low bits; starts anew when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 600_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = self.classify(word)
         return value
