@@ -11,8 +11,9 @@ over many tasks. The filter only spares work: the join decides, and compares the
 
 Slot check: matched windows of one text and item (a group no larger than the text) are cut into alignments by the distance of
 their positions. Within an alignment the item's slots, the values that stand where it has placeholders, must map to the text's
-values as a function: where the item says the same value twice, so must the text. Alignments where fewer than ``consistency`` of the
-slot pairs agree with the mapping are dropped.
+values as a function: where the item says the same value twice, so must the text. An alignment where fewer than ``consistency`` of the
+slot pairs agree with the mapping is taken apart: an item that repeats itself matches a copy of it at several distances, and a list of its variants
+follows the copy. Its windows of equal distance are judged by themselves; the set that covers most is kept, with those that agree with it.
 
 A text leaks an item if the windows left cover at least ``coverage`` of the item's words, or ``most_words`` of them. Items of fewer words than a window are covered by one window of their
 own length if they hold ``least_literal`` literal words; shorter ones are not searched.
@@ -257,17 +258,53 @@ def _alignments(windows: list[dict], gap: int) -> Iterator[list[dict]]:
     yield group
 
 
-def _agreement(windows: list[dict]) -> float:
-    """Share of the slot pairs that follow the most frequent mapping of each item value; 1 without slots."""
-    pairs = {
+def _slot_pairs(windows: list[dict]) -> set[tuple]:
+    return {
         (a, b, s, t)
         for w in windows
         for a, s, b, t in zip(w["item_slot_at"], w["item_slots"], w["slot_at"], w["slots"])
     }
+
+
+def _by_value(pairs: set[tuple]) -> dict[str, Counter]:
     by_value: dict[str, Counter] = {}
     for _, _, s, t in pairs:
         by_value.setdefault(s, Counter())[t] += 1
-    return sum(max(c.values()) for c in by_value.values()) / len(pairs) if pairs else 1.0
+    return by_value
+
+
+def _agreement(windows: list[dict]) -> float:
+    """Share of the slot pairs that follow the most frequent mapping of each item value; 1 without slots."""
+    pairs = _slot_pairs(windows)
+    return sum(max(c.values()) for c in _by_value(pairs).values()) / len(pairs) if pairs else 1.0
+
+
+def _covered(windows: list[dict]) -> set[int]:
+    return {k for w in windows for k in range(w["item_at"], w["item_stop"])}
+
+
+def _consistent(group: list[dict], consistency: float) -> tuple[list[dict], float]:
+    """The windows of an alignment that one mapping explains, and the share of their slot pairs that follow it."""
+    share = _agreement(group)
+    if share >= consistency:
+        return group, share
+    diagonals: dict[int, list[dict]] = {}
+    for w in group:
+        diagonals.setdefault(w["at"] - w["item_at"], []).append(w)
+    sound = [d for _, d in sorted(diagonals.items()) if _agreement(d) >= consistency]
+    out: list[dict] = []
+    mapping: dict[str, Counter] = {}
+    agree = n = 0
+    for d in sorted(sound, key=lambda d: -len(_covered(d))):  # each pair of slots stands on one diagonal: counts add up
+        pairs = _slot_pairs(d)
+        more = _by_value(pairs)
+        grown = {s: mapping.get(s, Counter()) + c for s, c in more.items()}
+        now = agree + sum(max(c.values()) - max(mapping[s].values() if s in mapping else (0,)) for s, c in grown.items())
+        if now >= consistency * (n + len(pairs)):
+            out += d
+            mapping |= grown
+            agree, n = now, n + len(pairs)
+    return out, agree / n if n else 1.0
 
 
 _LEAKS = "doc_id long, item_id long, item_words long, covered_words long, n_windows long, slot_consistency double"
@@ -281,12 +318,10 @@ def _judge(search: Search):
                 covered: set[int] = set()
                 n, least = 0, 1.0
                 for group in _alignments(row["windows"], search.window):
-                    share = _agreement(group)
-                    if share >= search.consistency:
-                        n += len(group)
-                        least = min(least, share)
-                        for w in group:
-                            covered.update(range(w["item_at"], w["item_stop"]))
+                    kept, share = _consistent(group, search.consistency)
+                    n += len(kept)
+                    least = min(least, share)
+                    covered |= _covered(kept)
                 total = row["windows"][0]["item_words"]
                 if covered and len(covered) >= min(search.coverage * total, search.most_words):
                     out.append((row["doc_id"], row["item_id"], total, len(covered), n, least))

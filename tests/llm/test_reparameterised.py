@@ -159,3 +159,21 @@ def test_leaking_rows_go(spark):
     df = spark.createDataFrame([(i, t, "src") for i, t in DOCS], "doc_id long, text string, source string")
     left = reparameterised.drop_leaking(df, spark.createDataFrame([(1, QUESTION)], "item_id long, text string"))
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 10] and left.columns == df.columns
+
+
+def test_copies_of_items_that_repeat_themselves(spark):
+    """An exact copy stays a leak where it also matches itself, or variants that follow it, at other distances."""
+    flour = "add 2 bags of flour and 3 bags of flour and 4 bags of flour and 5 bags of flour"
+    total = "what is the sum of 12 and 7"
+    listed = total + "".join(f" what is the sum of {a} and {b}" for a, b in ((15, 9), (31, 4), (8, 26)))
+    got = found(spark, [(1, flour), (2, listed), (3, f"so {flour}. Then rest"), (4, "add flour")], [(1, flour), (2, total)])
+    assert got == {(1, 1): (20, 20), (2, 2): (8, 8), (3, 1): (20, 20)}
+
+
+def test_distances_that_agree_alone_but_not_together(spark):
+    """A name of other length shifts the second half; the halves give one value two meanings, so only one of them counts."""
+    item = "we saw 12 red boats leave the small harbour with Anna while 12 more boats came back from the sea at night"
+    text = item.replace("12 red", "40 red").replace("12 more", "50 more").replace("Anna", "Anna Maria Berg")
+    loose = reparameterised.Search(consistency=0.5)
+    strict = reparameterised.Search(coverage=0.9)
+    assert (1, 1) in found(spark, [(1, text)], [(1, item)], loose) and found(spark, [(1, text)], [(1, item)], strict) == {}
