@@ -3,7 +3,8 @@
 Canonical form: words are lower-cased and stripped of punctuation; numbers (digits or number words) become ``<num>``, a known
 unit after a number becomes ``<unit>``, a capitalised word that doesn't open a sentence becomes ``<name>``, and a run of names is one
 placeholder. Each run of ``window`` canonical words is a template window. Two readings are hashed, with and without ``<name>``, so
-that a change of letter case alone hides nothing; windows with fewer than ``least_literal`` literal words say too little and are left out.
+that a change of letter case alone hides nothing. Windows with fewer than ``least_literal`` words besides numbers and units say too little as
+templates; with ``written`` they are hashed as written, numbers and units kept, and match exact copies only.
 
 Join: a membership filter of bounded size over the benchmark's window hashes drops nearly all windows of the corpus inside the scan; the
 rest is hash-joined with the benchmark's windows, salted by document, so that a passage that a third of all texts share is spread
@@ -14,9 +15,10 @@ their positions. Within an alignment the item's slots, the values that stand whe
 values as a function: where the item says the same value twice, so must the text. An alignment where fewer than ``consistency`` of the
 slot pairs agree with the mapping is taken apart: an item that repeats itself matches a copy of it at several distances, and a list of its variants
 follows the copy. Its windows of equal distance are judged by themselves; the set that covers most is kept, with those that agree with it.
+Windows hashed as written have no slots and always count; a text gives each of them once.
 
 A text leaks an item if the windows left cover at least ``coverage`` of the item's words, or ``most_words`` of them. Items of fewer words than a window are covered by one window of their
-own length if they hold ``least_literal`` literal words; shorter ones are not searched.
+own length, those of few literal words as written or not at all.
 
 Null or empty texts match nothing. Null ids of texts are kept apart as one id; null ids of items stay null. Repeated rows of a text add their windows to the same id
 and don't change what is covered; repeated items are found under each id.
@@ -65,6 +67,11 @@ class Search:
     most_words: int = 24
     consistency: float = 0.9
     salts: int = 16
+    written: bool = False  # windows of few literal words too, as written
+
+
+#: What callers get who name no search: templates, and as written what templates leave out.
+WHOLE = Search(written=True)
 
 
 class _Kinds(dict):
@@ -135,10 +142,12 @@ def _solid_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np
     return [words[k] for k in solid.tolist()] if len(solid) < len(words) else words, text, value, opens
 
 
-def _readings(text: np.ndarray, value: np.ndarray, opens: np.ndarray) -> tuple[_Reading, _Reading]:
-    """With names as placeholders, and with names as ordinary words."""
+def _readings(text: np.ndarray, value: np.ndarray, opens: np.ndarray) -> tuple[_Reading, _Reading, _Reading]:
+    """With names as placeholders, with names as ordinary words, and as written (literal: neither number nor unit, whatever precedes)."""
     kind = (value & np.uint64(7)).astype(np.int8)
     code = value & np.uint64(~_MARKS & (2**64 - 1))
+    place = np.arange(len(kind))
+    written = _Reading(code, text, place, place + 1, kind == _WORD)
     same_text = text == _previous(text, -1)
     kind = np.where((kind == _UNIT) & ~(same_text & (_previous(kind, _WORD) == _NUM)), _WORD, kind)
 
@@ -149,7 +158,7 @@ def _readings(text: np.ndarray, value: np.ndarray, opens: np.ndarray) -> tuple[_
         return _Reading(np.where(kept == _WORD, code[at], _CODE[kept]), text[at], at, np.concatenate((at[1:], [len(kinds)])), kept == _WORD)
 
     capital = (value & np.uint64(_CAPITAL)) > 0
-    return reading(np.where((kind == _WORD) & capital & ~opens, _NAME, kind)), reading(kind)
+    return reading(np.where((kind == _WORD) & capital & ~opens, _NAME, kind)), reading(kind), written
 
 
 def _windows_at(r: _Reading, n: int, search: Search, only_named: bool) -> np.ndarray:
@@ -166,6 +175,15 @@ def _windows_at(r: _Reading, n: int, search: Search, only_named: bool) -> np.nda
     return np.flatnonzero(ok)
 
 
+def _written_at(r: _Reading, n: int, search: Search) -> np.ndarray:
+    """Places of the windows inside one text that say too little as templates."""
+    last = len(r.code) - n + 1
+    if last <= 0:
+        return np.empty(0, np.int64)
+    literal = np.concatenate(([0], np.cumsum(r.literal)))
+    return np.flatnonzero((r.text[n - 1 :] == r.text[:last]) & (literal[n:] - literal[:last] < search.least_literal))
+
+
 def _hashes(r: _Reading, at: np.ndarray, n: int, by: int) -> np.ndarray:
     out = np.full(len(at), n, np.uint64)
     for k in range(n):
@@ -185,9 +203,10 @@ def _key(r: _Reading, at: np.ndarray, n: int) -> np.ndarray:
 _FIELDS = "id long, hash long, proof long, at long, stop long, slot_at array<long>, slots array<string>, total long, n long"
 
 
-def _rows(ids: list, words: list[bytes], r: _Reading, at: np.ndarray, n: int) -> pa.RecordBatch:
-    slot_at, slots = [], []
-    for a in at.tolist():
+def _rows(ids: list, words: list[bytes], r: _Reading, at: np.ndarray, n: int, written: bool = False) -> pa.RecordBatch:
+    """Windows as written have null slots."""
+    slot_at, slots = ([None] * len(at), [None] * len(at)) if written else ([], [])
+    for a in () if written else at.tolist():
         held = [k for k in range(a, a + n) if not r.literal[k]]
         slot_at.append([int(r.start[k]) for k in held])
         slots.append([b" ".join(w.strip(_PUNCTUATION) for w in words[r.start[k] : r.stop[k]]).decode().lower() for k in held])
@@ -198,7 +217,7 @@ def _rows(ids: list, words: list[bytes], r: _Reading, at: np.ndarray, n: int) ->
     return pa.RecordBatch.from_pydict({
         "id": pa.array([ids[t] for t in text.tolist()], pa.int64()), "hash": pa.array(_key(r, at, n).view(np.int64)),
         "proof": pa.array(_proof(r, at, n).view(np.int64)), "at": pa.array(r.start[at] - begin), "stop": pa.array(r.stop[at + n - 1] - begin),
-        "slot_at": pa.array([[k - b for k in ks] for ks, b in zip(slot_at, begin.tolist())], pa.list_(pa.int64())),
+        "slot_at": pa.array([ks and [k - b for k in ks] for ks, b in zip(slot_at, begin.tolist())], pa.list_(pa.int64())),
         "slots": pa.array(slots, pa.list_(pa.string())), "total": pa.array(r.stop[after - 1] - begin), "n": pa.array(np.full(len(at), n)),
     })
 
@@ -219,16 +238,30 @@ def template_windows(texts: DataFrame, search: Search = Search()) -> DataFrame:
             for part in chunks(batch):
                 ids = part.column("doc_id").to_pylist()
                 words, text, value, opens = _solid_words(part.column("text").cast(pa.binary()).to_pylist())
-                for r, with_names in zip(_readings(text, value, opens), (True, False)):
+                *templates, written = _readings(text, value, opens)
+                for r, with_names in zip(templates, (True, False)):
                     yield _rows(ids, words, r, _windows_at(r, search.window, search, with_names), search.window)
                     for piece, n in _short_pieces(r, search.window):
                         yield _rows(ids, words, piece, _windows_at(piece, n, search, with_names), n)
+                if not search.written:
+                    continue
+                yield _rows(ids, words, written, _written_at(written, search.window, search), search.window, True)
+                for piece, n in _short_pieces(written, search.window):
+                    yield _rows(ids, words, piece, _written_at(piece, n, search), n, True)
 
     return texts.mapInArrow(run, _FIELDS)
 
 
-def candidate_windows(texts: DataFrame, lengths: list[int], bits: np.ndarray, n_bits: int, search: Search = Search()) -> DataFrame:
-    """The template windows of rows ``doc_id, text`` that the membership filter lets pass."""
+def _once(r: _Reading, at: np.ndarray, n: int) -> np.ndarray:
+    """The first place of each window in its text."""
+    seen = np.stack((r.text[at].astype(np.uint64), _key(r, at, n)), axis=1)
+    return at[np.sort(np.unique(seen, axis=0, return_index=True)[1])]
+
+
+def candidate_windows(
+    texts: DataFrame, lengths: list[int], written_lengths: list[int], bits: np.ndarray, n_bits: int, search: Search = Search(),
+) -> DataFrame:
+    """The windows of rows ``doc_id, text``, as templates and as written, that the membership filter lets pass."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +269,18 @@ def candidate_windows(texts: DataFrame, lengths: list[int], bits: np.ndarray, n_
             for part in chunks(batch):
                 ids = part.column("doc_id").to_pylist()
                 words, text, value, opens = _solid_words(part.column("text").cast(pa.binary()).to_pylist())
-                for r, with_names in zip(_readings(text, value, opens), (True, False)):
+                *templates, written = _readings(text, value, opens)
+                for r, with_names in zip(templates, (True, False)):
                     for n in lengths:
                         at = _windows_at(r, n, search, with_names)
                         at = at[maybe_members(_key(r, at, n), shared.value, n_bits)]
                         if len(at):
                             yield _rows(ids, words, r, at, n)
+                for n in written_lengths:
+                    at = _written_at(written, n, search)
+                    at = at[maybe_members(_key(written, at, n), shared.value, n_bits)]
+                    if len(at):
+                        yield _rows(ids, words, written, _once(written, at, n), n, True)
 
     return texts.mapInArrow(run, _FIELDS)
 
@@ -315,9 +354,10 @@ def _judge(search: Search):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                covered: set[int] = set()
-                n, least = 0, 1.0
-                for group in _alignments(row["windows"], search.window):
+                written = [w for w in row["windows"] if w["slots"] is None]
+                covered = _covered(written)
+                n, least = len(written), 1.0
+                for group in _alignments([w for w in row["windows"] if w["slots"] is not None], search.window):
                     kept, share = _consistent(group, search.consistency)
                     n += len(kept)
                     least = min(least, share)
@@ -334,14 +374,15 @@ def _judge(search: Search):
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", search: Search = Search(),
+    item_text_col: str = "text", search: Search = WHOLE,
 ) -> DataFrame:
     """One row per text and benchmark item that the text leaks, with how much of the item it covers."""
     items = benchmark.select(named(item_col).cast("long").alias("doc_id"), named(item_text_col).cast("string").alias("text"))
     wanted = cut_lineage(template_windows(items, search))
-    counts = {r["n"]: r["count"] for r in wanted.groupBy("n").count().collect()}  # at most ``window`` rows
-    bits, n_bits = membership_bits(wanted, "hash", sum(counts.values()))
-    seen = candidate_windows(texts_of(docs, id_col, text_col), sorted(counts), bits, n_bits, search)
+    counts = wanted.groupBy("n", F.col("slots").isNull().alias("written")).count().collect()  # at most two rows per length
+    bits, n_bits = membership_bits(wanted, "hash", sum(r["count"] for r in counts))
+    lengths, written_lengths = (sorted(r["n"] for r in counts if r["written"] == w) for w in (False, True))
+    seen = candidate_windows(texts_of(docs, id_col, text_col), lengths, written_lengths, bits, n_bits, search)
     seen = seen.withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(search.salts)))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(search.salts - 1).cast("long")))
     theirs = wanted.select(
@@ -354,7 +395,7 @@ def leaks(
     return grouped.mapInArrow(_judge(search), _LEAKS)
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", search: Search = Search()) -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", search: Search = WHOLE) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns; rows without an id are kept."""
     bad = leaks(docs, benchmark, id_col, text_col, search=search).select(F.col("doc_id").alias("leaking id")).distinct()
     return docs.join(bad, named(id_col).cast("long") == F.col("leaking id"), "left_anti")

@@ -177,3 +177,15 @@ def test_distances_that_agree_alone_but_not_together(spark):
     loose = reparameterised.Search(consistency=0.5)
     strict = reparameterised.Search(coverage=0.9)
     assert (1, 1) in found(spark, [(1, text)], [(1, item)], loose) and found(spark, [(1, text)], [(1, item)], strict) == {}
+
+
+def test_items_of_few_literal_words_are_found_as_written(spark):
+    sequence = "Find the next number: " + " ".join(str(k * k) for k in range(1, 21))
+    units = "5 kg 3 km 12 hours 7 days 9 miles 2 pounds"
+    short = "What is 12 times 7?"
+    docs = [
+        (1, f"Quiz. {sequence} and so on"), (2, sequence.replace(" 100 ", " 101 ").replace(" 36 ", " 37 ").replace(" 225 ", " 226 ").replace(" 324 ", " 325 ")),
+        (3, f"take {units} of it"), (4, units.replace("12", "13").replace("9", "8")), (5, "Tell me: what is 12 times 7"), (6, "What is 13 times 7?"), (7, f"{short} {short} {short}"),
+    ]
+    got = found(spark, docs, [(1, sequence), (2, units), (3, short)], reparameterised.WHOLE)
+    assert got == {(1, 1): (24, 24), (3, 2): (12, 12), (5, 3): (5, 5), (7, 3): (5, 5)}
