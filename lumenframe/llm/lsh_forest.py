@@ -6,9 +6,10 @@
 3. Classes with a common prefix of the current depth form a region. Regions of at most ``region`` classes are searched: each pair
    whose signatures agree well enough joins the coarse graph (as a spanning forest, never as a pair list). A crowded region is
    not searched but entered again at the next depth, in more orders. ``orders_for`` gives as many orders as a depth needs so that two
-   texts at the threshold share a prefix in one of them but for ``miss``; so a pair that is not found at a depth is
-   either one of ``miss``, or both of its texts go to the next depth. What is crowded at the last depth joins the coarse
-   graph as a whole.
+   texts at the threshold share a prefix in one of them but for ``miss``. All orders permute the same MinHash values, so a pair whose signatures agree
+   in few places by chance fails in all of them; the chance is taken over the number of places that agree. So a pair that is not found at a depth is
+   either one of ``miss``, or both of its texts go to the next depth; one that goes through all depths pays ``miss`` at each. What is
+   crowded at the last depth joins the coarse graph as a whole.
 4. Coarse groups are verified on the full shingle sets: every pair of a group is counted through an inverted list of the
    group's shingles, and links become a spanning forest. A group beyond ``group_bytes`` is verified in pairs of blocks, each in its own
    task, so that no task holds more than two blocks.
@@ -48,8 +49,22 @@ class Forest:
     group_rows: int = 4096
     seed: int = 7
 
+    def miss_of(self, depth: int, orders: int) -> float:
+        """Chance that a pair at the threshold shares no prefix of that depth in so many orders of the same hashes."""
+        j, h = self.percent / 100, self.hashes
+        alike = (math.comb(h, m) * j**m * (1 - j) ** (h - m) for m in range(h + 1))
+        return sum(p * (1 - math.comb(m, depth) / math.comb(h, depth)) ** orders for m, p in enumerate(alike))
+
     def orders_for(self, depth: int) -> int:
-        return math.ceil(math.log(self.miss) / math.log(1 - (self.percent / 100) ** depth))
+        """The least number of orders whose ``miss_of`` is at most ``miss``."""
+        high = 1
+        while self.miss_of(depth, high) > self.miss:
+            high *= 2
+        low = high // 2
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self.miss_of(depth, middle) > self.miss else (low, middle)
+        return high
 
     def least_agreement(self) -> int:
         j = self.percent / 100
@@ -58,6 +73,9 @@ class Forest:
 
 _HASHES = WordHashes()
 
+#: Prefixes that a task holds at a time.
+_KEYS = 1 << 17
+
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
@@ -119,13 +137,14 @@ def _prefixes(classes: DataFrame, forest: Forest, depth: int) -> DataFrame:
         for batch in batches:
             m = _matrix(batch.column("signature"), forest.hashes)
             ids = np.asarray(batch.column("id"), np.int64)
-            for k in range(0, len(m), 4096):
-                part = m[k : k + 4096].astype(np.uint64)
+            step = max(_KEYS // len(orders), 1)
+            for k in range(0, len(m), step):
+                part = m[k : k + step].astype(np.uint64)
                 key = np.empty((len(part), len(orders)), np.uint64)
                 for t, order in enumerate(orders):
                     key[:, t] = windows_of_rows(part[:, order], t)
                 yield pa.RecordBatch.from_pydict({
-                    "prefix": pa.array(key.ravel().view(np.int64)), "id": pa.array(np.repeat(ids[k : k + 4096], len(orders)))})
+                    "prefix": pa.array(key.ravel().view(np.int64)), "id": pa.array(np.repeat(ids[k : k + step], len(orders)))})
 
     return classes.select("id", "signature").mapInArrow(run, "prefix long, id long")
 

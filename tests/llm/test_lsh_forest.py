@@ -113,3 +113,17 @@ def test_one_of_each_group_stays_with_its_columns(spark, odd_docs):
     left = lsh_forest.drop_near_duplicates(odd_docs.unionByName(more))
     assert left.columns == odd_docs.columns
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 6, 7]
+
+
+def test_orders_of_the_same_hashes_miss_no_more_than_stated():
+    """Simulated: two signatures agree in some of the 128 places; every order is a permutation of those places."""
+    f = lsh_forest.Forest()
+    r = np.random.default_rng(3)
+    for depth in f.depths:
+        orders = lsh_forest._orders(f, depth)
+        agree = r.random((4000, f.hashes)) < f.percent / 100
+        shares = np.zeros(len(agree), bool)
+        for order in orders:
+            shares |= agree[:, order].all(axis=1)
+        assert (~shares).sum() == 0
+        assert f.miss_of(depth, len(orders)) <= f.miss < f.miss_of(depth, len(orders) - 1)
