@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import chat_template, credentials, fixity, licenses, lsh_forest, merge_replay, reparameterised, repetition, rule_ensemble, whole_tokens
+from lumenframe.llm import (
+    aligned_pieces, chat_template, credentials, fixity, licenses, lsh_forest, merge_replay, reparameterised, repetition, rule_ensemble, spelling_variants, target_resampling, whole_tokens,
+)
 from lumenframe.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +229,83 @@ def op9_rule_ensemble(t):
 @query()
 def op10_multipart_credentials(t):
     return credentials.digest(credentials.find(t("documents")))
+
+
+@query()
+def op11_aligned_pieces(t):
+    return aligned_pieces.digests(t("documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def _crc_steps() -> list[int]:
+    """What the low four bits of a CRC-32 become when they are shifted out."""
+    steps = list(range(16))
+    for _ in range(4):
+        steps = [(x >> 1) ^ 0xEDB88320 if x & 1 else x >> 1 for x in steps]
+    return steps
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, four bits at a time."""
+    nibbles = f"list_transform(range(0, 2 * strlen({text})), lambda k: instr('123456789ABCDEF', substr(hex(encode({text})), (k + 2 - 2 * (k % 2))::INT, 1))::BIGINT)"
+    return f"xor(list_reduce({nibbles}, lambda c, b: xor(c >> 4, ({_crc_steps()}::BIGINT[])[(xor(c, b) & 15) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+RESAMPLING_SQL = rf"""
+WITH source AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '{_LICENSE_WORD}') AS ws FROM documents),
+target AS (SELECT row_number() OVER () AS row, regexp_extract_all({_LOWERED}, '{_LICENSE_WORD}') AS ws FROM benchmark),
+features AS (
+  SELECT from_source, row, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS g
+  FROM (SELECT true AS from_source, row, ws FROM source UNION ALL SELECT false, row, ws FROM target)),
+buckets AS (SELECT g, {_crc32("g")} % 10000 AS bucket FROM (SELECT DISTINCT g FROM features)),
+placed AS (SELECT from_source, row, bucket FROM features JOIN buckets USING (g)),
+totals AS (
+  SELECT range AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t
+  FROM range(10000) LEFT JOIN (
+    SELECT bucket, count(*) FILTER (from_source) AS s, count(*) FILTER (NOT from_source) AS t FROM placed GROUP BY bucket) counted ON bucket = range),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE)) AS gain FROM totals),
+weights AS (
+  SELECT row, count(*) AS n_features, floor(sum(gain) / count(*)) AS weight FROM placed JOIN gains USING (bucket) WHERE from_source GROUP BY row),
+scored AS (
+  SELECT source.row, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM source LEFT JOIN weights USING (row)),
+ranked AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_words::BIGINT AS n_words, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (row)"""
+
+
+@query(RESAMPLING_SQL)
+def op12_target_resampling(t):
+    return target_resampling.resample(t("documents"), t("benchmark"))
+
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, times, {_crc32("run_key")} AS h FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS run_key FROM runs)),
+typed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+shorter AS (
+  SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT word, near AS form, near_n AS form_n FROM best WHERE near_n >= 2 * n),
+chain AS (
+  SELECT word, form AS root FROM forms UNION SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.root),
+roots AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM forms))
+SELECT words.word, form, coalesce(root, words.word) AS root, words.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)"""
+
+
+@query(SPELLING_SQL)
+def op13_spelling_variants(t):
+    return spelling_variants.group(t("documents"))
