@@ -6,7 +6,7 @@ adds one (equal lengths), an insertion adds one (lengths L and L + 1). So for ea
 around its point, and a k-d tree finds them without looking at most of the others:
 
 1. For each length with more than ``cell_words`` words, a tree over a bounded sample of its words cuts the space into boxes of about that many words
-   (shorter lists are one box). The sample, the ``sample_words`` smallest hashes, only decides where the cuts are.
+   (shorter lists are one box). The sample, about ``sample_words`` words with small hashes, only decides where the cuts are.
 2. Each word goes to its own box as a point, and as a query to every box of its length and of the next that one edit can reach; boxes out of
    reach are pruned while the tree is walked down. Each pair of words is met once: from the shorter one, or from the one that sorts first.
 3. A task has the points of one box at a time, under a k-d tree of their own, and takes its queries in batches. Leaves compare bit patterns of
@@ -22,6 +22,7 @@ handled; a text is held whole by its task.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -267,7 +268,7 @@ class Box:
 
 
 def cuts_of(words: DataFrame, settings: Variants = Variants()) -> dict[int, Tree]:
-    """The tree of each length with more words than a box holds, over a sample of at most ``sample_words`` words.
+    """The tree of each length with more words than a box holds, over a sample of about ``sample_words`` words, drawn by hash so that no task sends more than its share.
 
     With more words than a sixteenth of the sample has boxes for, boxes grow in proportion.
     """
@@ -276,11 +277,11 @@ def cuts_of(words: DataFrame, settings: Variants = Variants()) -> dict[int, Tree
     if not many:
         return {}
     total = sum(many.values())
-    sample = words.filter(length.isin(list(many))).select("word").orderBy(F.xxhash64("word"), "word").limit(settings.sample_words)
+    share = min(1.0, settings.sample_words / total)
+    sample = words.filter(length.isin(list(many)) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30))))).select("word")
     by_length: dict[int, list[bytes]] = {}
     for (word,) in sample.collect():
         by_length.setdefault(len(word), []).append(word.encode("latin-1"))
-    share = min(1.0, settings.sample_words / total)
     return {l: Tree(counts_of(matrix_of(found)), max(16, int(settings.cell_words * share))) for l, found in by_length.items()}
 
 
