@@ -168,12 +168,23 @@ def find_head(docs: DataFrame, settings: Resampling = Resampling()) -> Head:
         })
 
     counted = stored(docs.select("text").mapInArrow(summarise, "first binary, second binary, n long").groupBy("first", "second").agg(F.sum("n").alias("n")), "resampling-head")
-    order = [F.desc("n"), F.asc("first"), F.asc("second")]
-    words = [bytes(r[0]) for r in counted.filter("second IS NULL").orderBy(*order).limit(settings.head_words).select("first").collect()]
-    pairs = [(bytes(a), bytes(b)) for a, b in counted.filter("second IS NOT NULL").orderBy(*order).limit(settings.head_pairs).select("first", "second").collect()]
+    words = [bytes(r[0]) for r in most_frequent(counted.filter("second IS NULL"), settings.head_words).select("first").collect()]
+    pairs = [(bytes(a), bytes(b)) for a, b in most_frequent(counted.filter("second IS NOT NULL"), settings.head_pairs).select("first", "second").collect()]
     return Head(words, pairs, settings.buckets)
 
 
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows with the largest ``n``: those above a level of the logarithm, of which a thousand at most are counted on the way."""
+    level = F.floor(F.lit(16) * F.log2("n"))
+    left, least = most, None
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    return counted.filter(F.lit(False) if least is None else level >= least)
+
+
 def totals(texts: DataFrame, head: Broadcast, settings: Resampling = Resampling()) -> list[int]:
     """Features per bucket over all rows; one task gives a row per bucket at most, and the driver gets as many as there are buckets."""
     n_buckets = settings.buckets

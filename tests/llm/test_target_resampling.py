@@ -67,7 +67,8 @@ def test_head_and_tail_give_one_number():
 def test_head_holds_what_is_frequent(spark):
     docs = spark.createDataFrame([(k, f"of the house of the word{k} " + "x" * 70) for k in range(50)], "doc_id long, text string").repartition(5)
     head = target_resampling.find_head(docs, Resampling(head_words=3, head_pairs=2))
-    assert set(head.index) == {b"of", b"the", b"house"} and len(head.pair_codes) == 2
+    assert set(head.index) == {b"of", b"the", b"house"} and len(head.pair_codes) == 1
+    assert set(target_resampling.find_head(docs, Resampling(head_words=2)).index) == {b"of", b"the"}
     assert not any(len(w) > target_resampling.MOST_WORD_BYTES for w in target_resampling.find_head(docs).index)
 
 
