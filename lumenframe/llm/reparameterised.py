@@ -18,10 +18,11 @@ follows the copy. Its windows of equal distance are judged by themselves; the se
 Windows hashed as written have no slots and always count; a text gives each of them once.
 
 A text leaks an item if the windows left cover at least ``coverage`` of the item's words, or ``most_words`` of them. Items of fewer words than a window are covered by one window of their
-own length, those of few literal words as written or not at all.
+own length, those of few literal words as written or not at all. Items of fewer than ``least_words`` words, numbers included, say too little to stand inside a text by chance or not
+("Yes.", "12"): only a text that is such an item from its first word to its last leaks it.
 
-Null or empty texts match nothing. Null ids of texts are kept apart as one id; null ids of items stay null. Repeated rows of a text add their windows to the same id
-and don't change what is covered; repeated items are found under each id.
+Null or empty texts match nothing. Texts are judged by id and text together: different texts under one id, or without an id, are judged apart, and repeated rows of one text are
+one; null ids of items stay null; repeated items are found under each id.
 """
 
 from __future__ import annotations
@@ -67,6 +68,7 @@ class Search:
     most_words: int = 24
     consistency: float = 0.9
     salts: int = 16
+    least_words: int = 5  # items of fewer words must be the whole text
     written: bool = False  # windows of few literal words too, as written
 
 
@@ -184,6 +186,13 @@ def _written_at(r: _Reading, n: int, search: Search) -> np.ndarray:
     return np.flatnonzero((r.text[n - 1 :] == r.text[:last]) & (literal[n:] - literal[:last] < search.least_literal))
 
 
+def _alone(r: _Reading, at: np.ndarray, n: int, search: Search) -> np.ndarray:
+    """Of windows with fewer than ``least_words`` words, those that are their whole text."""
+    if n >= search.least_words or not len(at):
+        return at
+    return at[np.searchsorted(r.text, r.text[at], side="right") - np.searchsorted(r.text, r.text[at]) == n]
+
+
 def _hashes(r: _Reading, at: np.ndarray, n: int, by: int) -> np.ndarray:
     out = np.full(len(at), n, np.uint64)
     for k in range(n):
@@ -200,11 +209,11 @@ def _key(r: _Reading, at: np.ndarray, n: int) -> np.ndarray:
     return _hashes(r, at, n, 0x9E3779B97F4A7C15)
 
 
-_FIELDS = "id long, hash long, proof long, at long, stop long, slot_at array<long>, slots array<string>, total long, n long"
+_FIELDS = "id long, key long, hash long, proof long, at long, stop long, slot_at array<long>, slots array<string>, total long, n long"
 
 
-def _rows(ids: list, words: list[bytes], r: _Reading, at: np.ndarray, n: int, written: bool = False) -> pa.RecordBatch:
-    """Windows as written have null slots."""
+def _rows(part: pa.RecordBatch, words: list[bytes], r: _Reading, at: np.ndarray, n: int, written: bool = False) -> pa.RecordBatch:
+    """Windows of the texts of ``part``, which also gives their ids and keys. Windows as written have null slots."""
     slot_at, slots = ([None] * len(at), [None] * len(at)) if written else ([], [])
     for a in () if written else at.tolist():
         held = [k for k in range(a, a + n) if not r.literal[k]]
@@ -214,8 +223,9 @@ def _rows(ids: list, words: list[bytes], r: _Reading, at: np.ndarray, n: int, wr
     first = np.searchsorted(r.text, text)  # the first canonical word of the text
     after = np.searchsorted(r.text, text, side="right")
     begin = r.start[first]
+    whose = part.select(["doc_id", "key"]).take(pa.array(text))
     return pa.RecordBatch.from_pydict({
-        "id": pa.array([ids[t] for t in text.tolist()], pa.int64()), "hash": pa.array(_key(r, at, n).view(np.int64)),
+        "id": whose.column(0), "key": whose.column(1), "hash": pa.array(_key(r, at, n).view(np.int64)),
         "proof": pa.array(_proof(r, at, n).view(np.int64)), "at": pa.array(r.start[at] - begin), "stop": pa.array(r.stop[at + n - 1] - begin),
         "slot_at": pa.array([ks and [k - b for k in ks] for ks, b in zip(slot_at, begin.tolist())], pa.list_(pa.int64())),
         "slots": pa.array(slots, pa.list_(pa.string())), "total": pa.array(r.stop[after - 1] - begin), "n": pa.array(np.full(len(at), n)),
@@ -231,23 +241,22 @@ def _short_pieces(r: _Reading, n: int) -> Iterator[tuple[_Reading, int]]:
 
 
 def template_windows(texts: DataFrame, search: Search = Search()) -> DataFrame:
-    """Every template window of rows ``doc_id, text``; a shorter text is one window of its own length."""
+    """Every template window of rows ``doc_id, key, text``; a shorter text is one window of its own length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                ids = part.column("doc_id").to_pylist()
                 words, text, value, opens = _solid_words(part.column("text").cast(pa.binary()).to_pylist())
                 *templates, written = _readings(text, value, opens)
                 for r, with_names in zip(templates, (True, False)):
-                    yield _rows(ids, words, r, _windows_at(r, search.window, search, with_names), search.window)
+                    yield _rows(part, words, r, _windows_at(r, search.window, search, with_names), search.window)
                     for piece, n in _short_pieces(r, search.window):
-                        yield _rows(ids, words, piece, _windows_at(piece, n, search, with_names), n)
+                        yield _rows(part, words, piece, _windows_at(piece, n, search, with_names), n)
                 if not search.written:
                     continue
-                yield _rows(ids, words, written, _written_at(written, search.window, search), search.window, True)
+                yield _rows(part, words, written, _written_at(written, search.window, search), search.window, True)
                 for piece, n in _short_pieces(written, search.window):
-                    yield _rows(ids, words, piece, _written_at(piece, n, search), n, True)
+                    yield _rows(part, words, piece, _written_at(piece, n, search), n, True)
 
     return texts.mapInArrow(run, _FIELDS)
 
@@ -261,26 +270,25 @@ def _once(r: _Reading, at: np.ndarray, n: int) -> np.ndarray:
 def candidate_windows(
     texts: DataFrame, lengths: list[int], written_lengths: list[int], bits: np.ndarray, n_bits: int, search: Search = Search(),
 ) -> DataFrame:
-    """The windows of rows ``doc_id, text``, as templates and as written, that the membership filter lets pass."""
+    """The windows of rows ``doc_id, key, text``, as templates and as written, that the membership filter lets pass."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                ids = part.column("doc_id").to_pylist()
                 words, text, value, opens = _solid_words(part.column("text").cast(pa.binary()).to_pylist())
                 *templates, written = _readings(text, value, opens)
                 for r, with_names in zip(templates, (True, False)):
                     for n in lengths:
-                        at = _windows_at(r, n, search, with_names)
+                        at = _alone(r, _windows_at(r, n, search, with_names), n, search)
                         at = at[maybe_members(_key(r, at, n), shared.value, n_bits)]
                         if len(at):
-                            yield _rows(ids, words, r, at, n)
+                            yield _rows(part, words, r, at, n)
                 for n in written_lengths:
-                    at = _written_at(written, n, search)
+                    at = _alone(written, _written_at(written, n, search), n, search)
                     at = at[maybe_members(_key(written, at, n), shared.value, n_bits)]
                     if len(at):
-                        yield _rows(ids, words, written, _once(written, at, n), n, True)
+                        yield _rows(part, words, written, _once(written, at, n), n, True)
 
     return texts.mapInArrow(run, _FIELDS)
 
@@ -346,7 +354,7 @@ def _consistent(group: list[dict], consistency: float) -> tuple[list[dict], floa
     return out, agree / n if n else 1.0
 
 
-_LEAKS = "doc_id long, item_id long, item_words long, covered_words long, n_windows long, slot_consistency double"
+_LEAKS = "doc_id long, key long, item_id long, item_words long, covered_words long, n_windows long, slot_consistency double"
 
 
 def _judge(search: Search):
@@ -364,26 +372,27 @@ def _judge(search: Search):
                     covered |= _covered(kept)
                 total = row["windows"][0]["item_words"]
                 if covered and len(covered) >= min(search.coverage * total, search.most_words):
-                    out.append((row["doc_id"], row["item_id"], total, len(covered), n, least))
+                    out.append((row["doc_id"], row["key"], row["item_id"], total, len(covered), n, least))
             names = [x.split()[0] for x in _LEAKS.split(", ")]
-            kinds = [pa.int64()] * 5 + [pa.float64()]
+            kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
     return run
 
 
-def leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", search: Search = WHOLE,
-) -> DataFrame:
-    """One row per text and benchmark item that the text leaks, with how much of the item it covers."""
+def _keyed(texts: DataFrame) -> DataFrame:
+    """Adds a hash of id and text, by which texts are told apart."""
+    return texts.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, search: Search) -> DataFrame:
     items = benchmark.select(named(item_col).cast("long").alias("doc_id"), named(item_text_col).cast("string").alias("text"))
-    wanted = cut_lineage(template_windows(items, search))
+    wanted = cut_lineage(template_windows(_keyed(items), search))
     counts = wanted.groupBy("n", F.col("slots").isNull().alias("written")).count().collect()  # at most two rows per length
     bits, n_bits = membership_bits(wanted, "hash", sum(r["count"] for r in counts))
     lengths, written_lengths = (sorted(r["n"] for r in counts if r["written"] == w) for w in (False, True))
-    seen = candidate_windows(texts_of(docs, id_col, text_col), lengths, written_lengths, bits, n_bits, search)
-    seen = seen.withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(search.salts)))
+    seen = candidate_windows(_keyed(texts_of(docs, id_col, text_col)), lengths, written_lengths, bits, n_bits, search)
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(search.salts)))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(search.salts - 1).cast("long")))
     theirs = wanted.select(
         "hash", "proof", "n", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("stop").alias("item_stop"),
@@ -391,11 +400,23 @@ def leaks(
     )
     pairs = seen.drop("total", "stop").join(theirs, ["hash", "proof", "n", "salt"])
     window = F.struct("at", "slot_at", "slots", "item_at", "item_stop", "item_slot_at", "item_slots", "item_words")
-    grouped = pairs.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.collect_list(window).alias("windows"))
+    grouped = pairs.groupBy(F.col("id").alias("doc_id"), "key", "item_id").agg(F.collect_set(window).alias("windows"))
     return grouped.mapInArrow(_judge(search), _LEAKS)
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", search: Search = WHOLE) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns; rows without an id are kept."""
-    bad = leaks(docs, benchmark, id_col, text_col, search=search).select(F.col("doc_id").alias("leaking id")).distinct()
-    return docs.join(bad, named(id_col).cast("long") == F.col("leaking id"), "left_anti")
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", search: Search = WHOLE,
+) -> DataFrame:
+    """One row per text and benchmark item that the text leaks, with how much of the item it covers."""
+    return _found(docs, benchmark, id_col, text_col, item_col, item_text_col, search).drop("key")
+
+
+def drop_leaking(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", search: Search = WHOLE,
+) -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns. A row goes for its own text, never for another row's with its id."""
+    bad = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, search).select(F.col("key").alias("leaking key")).distinct()
+    key = F.xxhash64(named(id_col).cast("long"), named(text_col).cast("string"))
+    return docs.join(bad, key == F.col("leaking key"), "left_anti")

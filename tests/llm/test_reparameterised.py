@@ -66,7 +66,11 @@ def brute(docs, items, search):
         total = canonical(item_text, False)[1]
         for doc, text in docs:
             hits = [(w[1] - m[1], m, w) for w in windows(text, search, False) for m in mine if m[0] == w[0]]
-            hits += [(w[1] - m[1], m, w) for m in mine if len(m[0]) < search.window for w in windows(text, reparameterised.Search(window=len(m[0]), least_literal=search.least_literal), False) if m[0] == w[0]]
+            for m in mine:
+                if len(m[0]) < search.window:
+                    own = windows(text, reparameterised.Search(window=len(m[0]), least_literal=search.least_literal), False)
+                    whole = {len(canonical(text, names)[0]) for names in (True, False)}
+                    hits += [(w[1] - m[1], m, w) for w in own if m[0] == w[0] and (len(m[0]) >= search.least_words or len(m[0]) in whole and len(own) <= 2)]
             hits.sort(key=lambda h: h[0])
             covered, group = set(), []
             for h in [*hits, None]:
@@ -125,7 +129,7 @@ def test_random_texts_match_brute_force(spark):
             words = [r.choice(["Oslo", "Eva", "99", "5", w]) if w[0].isupper() or w[0].isdigit() else w for w in words]
             parts += [r.choice([" ", "\n", ". "]).join([" ".join(words)]), made(r.randint(0, 6))]
         docs.append((k, r.choice([" ", "\n"]).join(parts)))
-    search = reparameterised.Search(window=4, least_literal=2, consistency=0.8)
+    search = reparameterised.Search(window=4, least_literal=2, consistency=0.8, least_words=0)
     got = found(spark, docs, items, search)
     assert got == brute(docs, items, search) and len(got) > 20
 
@@ -152,7 +156,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert [(r.doc_id, r.item_id) for r in reparameterised.leaks(odd_docs, items).collect()] == [(None, 1)]
     assert reparameterised.leaks(odd_docs, none).collect() == [] and reparameterised.leaks(no_docs, items).collect() == []
     left = reparameterised.drop_leaking(odd_docs, items)
-    assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
+    assert left.columns == odd_docs.columns and left.count() == odd_docs.count() - 1
 
 
 def test_leaking_rows_go(spark):
@@ -189,3 +193,33 @@ def test_items_of_few_literal_words_are_found_as_written(spark):
     ]
     got = found(spark, docs, [(1, sequence), (2, units), (3, short)], reparameterised.WHOLE)
     assert got == {(1, 1): (24, 24), (3, 2): (12, 12), (5, 3): (5, 5), (7, 3): (5, 5)}
+
+
+CLEAN = [
+    (1, "Yes. She said that the harbour would open again, and yes it did."), (2, "The 12 boats of the old town came back at 12 sharp."), (3, "Ask what is 12 in the book of sums."),
+    (4, "What is the capital city of the next country on the list?"), (5, "no yes no 7"), (6, "12 12"), (7, "yes yes."),
+]
+TINY = [(1, "Yes."), (2, "the"), (3, "12"), (4, "What is 12"), (5, "What is the capital"), (6, "7 kg")]
+
+
+def test_items_of_a_few_words_leave_ordinary_texts_alone(spark):
+    assert found(spark, CLEAN, TINY, reparameterised.WHOLE) == {} == found(spark, CLEAN, TINY)
+    df = spark.createDataFrame(CLEAN, "doc_id long, text string")
+    assert reparameterised.drop_leaking(df, spark.createDataFrame(TINY, "item_id long, text string")).count() == len(CLEAN)
+
+
+def test_items_of_a_few_words_are_found_as_whole_texts(spark):
+    docs = [(1, "yes"), (2, " Yes!\n"), (3, "12"), (4, "13"), (5, "what is 12?"), (6, "What is 13"), (7, "What is the capital?"), (8, "7 kg"), (9, "8 kg"), (10, "Yes yes")]
+    got = found(spark, docs, TINY, reparameterised.WHOLE)
+    assert set(got) == {(1, 1), (2, 1), (3, 3), (5, 4), (7, 5), (8, 6)} and all(a == b for a, b in got.values())
+
+
+def test_rows_go_for_their_own_text(spark):
+    rows = [(1, QUESTION, "a"), (1, "an innocent text under the same id that stays", "b"), (None, QUESTION, "c"), (None, "an innocent text without any id that stays", "d"), (2, QUESTION, "e"), (2, QUESTION, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    left = reparameterised.drop_leaking(df, items)
+    assert sorted(r.key for r in left.collect()) == ["b", "d"] and left.columns == df.columns
+    assert sorted(((r.doc_id, r.n_windows) for r in reparameterised.leaks(df, items).collect()), key=str) == sorted([(i, reparameterised.leaks(df.limit(1), items).first().n_windows) for i in (1, 2, None)], key=str)
+    other = items.withColumnsRenamed({"item_id": "no", "text": "question"})
+    assert reparameterised.drop_leaking(df, other, item_col="no", item_text_col="question").count() == 2
