@@ -3,14 +3,16 @@
 Three strong kinds are always reported: ``assign`` (a key word, an equals sign or colon, a value of 12+ characters),
 ``access`` (an access key id) and ``hex`` (16+ hexadecimal digits). Three weak kinds are too common to report alone:
 
-* ``identifier``: a value assigned to a user, account or client id;
-* ``secret``: a short value assigned to a password-like key, or a long token of mixed character classes;
-* ``endpoint``: a URL with a scheme, or a value assigned to a host-like key.
+* ``identifier``: the value assigned to a user, account or client id;
+* ``secret``: a short value with a digit, assigned to a password-like key, or a long token that looks drawn at random: it holds small and
+  capital letters and digits, few of them in runs as words have them, and spread evenly;
+* ``endpoint``: a URL with a scheme, or the value assigned to a host-like key.
 
-Each part opens a scope around itself: ``reach`` code points to both sides, cut at blank lines. An interval join inside the text
-links parts whose scopes hold each other. A weak secret is reported if an identifier or an endpoint is linked to it, a weak identifier
-if a secret is, an endpoint if both are. Strong spans take part as identifiers (``access``) and secrets (the other two). The join
-sorts the parts by position and looks up the nearest one of each role by bisection, so a text with many parts costs n log n and no pair is listed.
+A token inside an endpoint, a path or a file name, or assigned to an identifier's key, is no secret. Each part opens a scope around itself: ``reach`` code points to
+both sides, cut at blank lines. An interval join inside the text links parts whose scopes hold each other; a part that overlaps another is never its complement. A weak
+secret is reported if an identifier or an endpoint is linked to it, a weak identifier if a secret is, an endpoint if both are. Strong spans take part as identifiers
+(``access``) and secrets (the other two). The join sorts the parts by position and looks up the nearest one of each role on either side by bisection, so a text with
+many parts costs n log n and no pair is listed.
 
 Positions are code points of the text as stored, ends exclusive. A text is read whole, inside one task, without a shuffle.
 Null and empty texts have no spans; repeated rows give repeated result rows; ids may be null.
@@ -40,9 +42,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs of 16 or more
 _LEAST_VALUE, _LEAST_ACCESS, _LEAST_SHORT = 12, 18, 6
 
-_IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.ASCII | re.IGNORECASE)
-_ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+]{1,9}://[^\s"'<>]{4,}|(?:host(?:name)?|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:/_-]{3,})""", re.ASCII | re.IGNORECASE)
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
+_IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE)
+_ENDPOINT = re.compile(r"""\b(?:([a-z][a-z0-9+]{1,9}://[^\s"'<>]{4,})|(?:host(?:name)?|endpoint|server|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9][A-Za-z0-9.:/_-]{3,}))""", re.ASCII | re.IGNORECASE)
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-]|\.[A-Za-z0-9])")
+_DIGIT, _SMALL, _CAPITAL = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
+_LETTERS = re.compile("[a-z]{4,}|[A-Z]{4,}")
 _BLANK_LINE = re.compile(r"\n[\t\r ]*\n")
 
 _ROLE = {"assign": "secret", "hex": "secret", "secret": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
@@ -52,6 +56,7 @@ _ROLE = {"assign": "secret", "hex": "secret", "secret": "secret", "access": "ide
 class Linking:
     reach: int = 300  # code points between the ends of two linked parts, at most
     least_entropy: float = 3.8  # bits a character, for a token without a key
+    most_letters: float = 0.4  # share of its characters that stand in runs of four or more small or four or more capital letters, as those of words do
 
 
 Span = tuple[int, int, str]
@@ -67,31 +72,39 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _looks_random(token: str, linking: Linking) -> bool:
-    classes = bool(re.search("[a-z]", token)) + bool(re.search("[A-Z]", token)) + bool(re.search("[0-9]", token))
-    if classes < 3:
+    if not (_SMALL.search(token) and _CAPITAL.search(token) and _DIGIT.search(token)):
         return False
     n = len(token)
+    if sum(m.end() - m.start() for m in _LETTERS.finditer(token)) > linking.most_letters * n:
+        return False
     return -sum(c / n * log2(c / n) for c in Counter(token).values()) >= linking.least_entropy
 
 
-def weak_spans(text: str, strong: list[Span], linking: Linking) -> list[Span]:
-    """Candidates of the weak kinds that don't overlap a strong span."""
-    found = [(m.start(), m.end(), "secret") for m in _ASSIGN.finditer(text) if _LEAST_SHORT <= m.end(2) - m.start(2) < _LEAST_VALUE]
-    found += [(m.start(), m.end(), "secret") for m in _TOKEN.finditer(text) if _looks_random(m.group(), linking)]
-    found += [(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(text)]
-    found += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    taken = sorted((a, b) for a, b, _ in strong)
+def _apart(spans: list[Span], others: list[Span]) -> list[Span]:
+    """The spans that overlap none of the others."""
+    taken = sorted((a, b) for a, b, _ in others)
     starts, reached = [a for a, _ in taken], []
     for _, b in taken:
         reached.append(max(b, reached[-1] if reached else 0))
     out = []
-    for a, b, kind in found:
-        k = bisect_left(starts, b)
-        if not k or reached[k - 1] <= a:
-            out.append((a, b, kind))
+    for span in spans:
+        k = bisect_left(starts, span[1])
+        if not k or reached[k - 1] <= span[0]:
+            out.append(span)
     return out
 
 
+def weak_spans(text: str, strong: list[Span], linking: Linking) -> list[Span]:
+    """Candidates of the weak kinds that don't overlap a strong span."""
+    named = [(*m.span(1), "identifier") for m in _IDENTIFIER.finditer(text)]
+    places = [(*m.span(m.lastindex), "endpoint") for m in _ENDPOINT.finditer(text)]
+    keyed = [
+        (m.start(), m.end(), "secret") for m in _ASSIGN.finditer(text) if _LEAST_SHORT <= m.end(2) - m.start(2) < _LEAST_VALUE and _DIGIT.search(m[2])
+    ]
+    tokens = [(m.start(), m.end(), "secret") for m in _TOKEN.finditer(text) if _looks_random(m.group(), linking)]
+    return _apart(keyed + _apart(tokens, named + places + keyed) + named + places, strong)
+
+
 class _Near:
     """Whether a part of one role stands within reach of an interval, in the same block of the text."""
 
@@ -111,11 +124,10 @@ class _Near:
         return bisect_left(self.blocks, position + 1)
 
     def has(self, role: str, span: Span) -> bool:
-        """A part of another role meets [start - reach, end + reach): not all of them end before it or start after it."""
+        """A part of a role ends at most ``reach`` in front of the span or starts at most as far behind it, and doesn't overlap it."""
         key = (role, self.block(span[0]))
-        starts = self.starts.get(key, [])
-        started = bisect_left(starts, span[1] + self.reach)
-        return started > bisect_left(self.ends.get(key, []), span[0] - self.reach)
+        ends, starts = self.ends.get(key, []), self.starts.get(key, [])
+        return bisect_left(ends, span[0] - self.reach) < bisect_left(ends, span[0] + 1) or bisect_left(starts, span[1]) < bisect_left(starts, span[1] + self.reach)
 
 
 def linked_spans(text: str, linking: Linking = Linking()) -> list[Span]:
