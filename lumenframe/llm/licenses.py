@@ -1,8 +1,9 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A text is cut into blocks: lines, long lines into pieces of ``block_words`` words that overlap by half. A block matches a template if
+A text is cut into blocks of consecutive words that overlap by half, whatever lines they stand on, so a notice wrapped at any width is met whole. A template's blocks
+have ``block_words`` words, doubled until they hold twice the template: a copy of it lies inside some block. A block matches a template if
 it holds at least ``percent`` of the template's distinct words. Only words of templates can matter; they are ordered by the number
-of texts that hold them, over the whole corpus, rare ones first.
+of texts that hold them, over the whole corpus, rare ones first. Templates are sentences and the full texts of ``license_texts``.
 
 * Prefix filter: a block that misses all of a template's ``size - needed + 1`` rarest words can't reach ``needed``.
 * Length filter: neither can a block with fewer than ``needed`` template words.
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm import license_texts
 from lumenframe.llm.common import chunks, texts_of
 
 # Wording of public license notices, and the label of each.
@@ -51,14 +53,13 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-_WORD_BYTES_OR_LINE = bytes(10 if c == 10 else b for c, b in enumerate(_WORD_BYTES))
 
 
 @dataclass(frozen=True)
 class Scan:
     percent: int = 90  # of a template's distinct words
-    block_words: int = 64
-    templates: tuple[tuple[str, str], ...] = TEMPLATES
+    block_words: int = 64  # for templates of up to half as many words
+    templates: tuple[tuple[str, str], ...] = TEMPLATES + license_texts.TEXTS
     phrases: tuple[tuple[str, str], ...] = field(default=PHRASES)
 
 
@@ -66,33 +67,36 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-def blocks_of(text: bytes, size: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first word, words) of each block that has words."""
-    start = 0
-    for line in text.translate(_WORD_BYTES_OR_LINE).split(b"\n"):
-        words = line.split()
-        for k in range(0, max(len(words) - size // 2, 1), size // 2) if words else ():
-            yield start + k, words[k : k + size]
-        start += len(words)
+def block_size(template: str, least: int) -> int:
+    size = least
+    while size < 2 * len(words_of(template.encode())):
+        size *= 2
+    return size
+
+
+def blocks_of(words: list[bytes], size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first word, words) of each block."""
+    for k in range(0, max(len(words) - size // 2, 1), size // 2) if words else ():
+        yield k, words[k : k + size]
 
 
 class Index:
-    """Templates with their words in the global order, and the prefix lists that lead to them."""
+    """Templates of one block size with their words in the global order, and the prefix lists that lead to them."""
 
-    def __init__(self, scan: Scan, frequency: dict[str, int]):
-        vocabulary = sorted({w for _, t in scan.templates for w in words_of(t.encode())}, key=lambda w: (frequency.get(w.decode(), 0), w))
-        self.rank = {w: k for k, w in enumerate(vocabulary)}
-        self.labels = [label for label, _ in scan.templates]
-        self.sets = [sorted(self.rank[w] for w in set(words_of(t.encode()))) for _, t in scan.templates]
+    def __init__(self, scan: Scan, size: int, rank: dict[bytes, int]):
+        self.size, self.rank = size, rank
+        self.numbers = [k for k, (_, t) in enumerate(scan.templates) if block_size(t, scan.block_words) == size]
+        self.labels = [scan.templates[k][0] for k in self.numbers]
+        self.sets = [sorted(rank[w] for w in set(words_of(scan.templates[k][1].encode()))) for k in self.numbers]
         self.needed = [-(-scan.percent * len(s) // 100) for s in self.sets]
         self.lists: dict[int, list[tuple[int, int]]] = {}
         for k, (s, needed) in enumerate(zip(self.sets, self.needed)):
             for place, r in enumerate(s[: len(s) - needed + 1]):
                 self.lists.setdefault(r, []).append((k, place))
-        self.prefix = frozenset(vocabulary[r] for r in self.lists)
+        self.prefix = frozenset(w for w, r in rank.items() if r in self.lists)
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """(template, number of its words in the block) of every template that the block reaches."""
+        """(template by place in this index, number of its words in the block) of every template that the block reaches."""
         held = sorted(self.rank[w] for w in set(words) if w in self.rank)
         out, seen = [], set()
         for q, r in enumerate(held):
@@ -109,6 +113,13 @@ class Index:
         return out
 
 
+def indexes(scan: Scan, frequency: dict[str, int]) -> list[Index]:
+    """One for each block size; the words of all templates are ranked together, rare ones first."""
+    vocabulary = sorted({w for _, t in scan.templates for w in words_of(t.encode())}, key=lambda w: (frequency.get(w.decode(), 0), w))
+    rank = {w: k for k, w in enumerate(vocabulary)}
+    return [Index(scan, size, rank) for size in sorted({block_size(t, scan.block_words) for _, t in scan.templates})]
+
+
 def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     """Numbers of the words where the phrase starts."""
     out, at = [], -1
@@ -136,21 +147,24 @@ def word_frequency(docs: DataFrame, scan: Scan = Scan(), text_col: str = "text")
 
 
 def _indexed(docs: DataFrame, scan: Scan, id_col: str, text_col: str):
-    return texts_of(docs, id_col, text_col), Index(scan, word_frequency(docs, scan, text_col))
+    return texts_of(docs, id_col, text_col), indexes(scan, word_frequency(docs, scan, text_col))
 
 
 def matching_blocks(docs: DataFrame, scan: Scan = Scan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every block that reaches a template: first word, number of words, label, template number, share of the template."""
-    texts, index = _indexed(docs, scan, id_col, text_col)
+    texts, sizes = _indexed(docs, scan, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 rows = []
                 for id_, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
-                    if text and not index.prefix.isdisjoint(words_of(text)):
-                        for first, words in blocks_of(text, scan.block_words):
-                            rows += [(id_, first, len(words), index.labels[k], k, c / len(index.sets[k])) for k, c in index.matches(words)]
+                    words = words_of(text) if text else []
+                    there = set(words)
+                    for index in sizes:
+                        if not index.prefix.isdisjoint(there):
+                            for first, block in blocks_of(words, index.size):
+                                rows += [(id_, first, len(block), index.labels[k], index.numbers[k], c / len(index.sets[k])) for k, c in index.matches(block)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
                 names = ("doc_id", "first_word", "n_words", "label", "template", "containment")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=list(names))
@@ -160,7 +174,7 @@ def matching_blocks(docs: DataFrame, scan: Scan = Scan(), id_col: str = "doc_id"
 
 def scan(docs: DataFrame, scan: Scan = Scan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: words, phrase places, labels, and a score: 1 with a phrase, else the best containment of a match."""
-    texts, index = _indexed(docs, scan, id_col, text_col)
+    texts, sizes = _indexed(docs, scan, id_col, text_col)
     phrases = [(p.encode().split(), label) for p, label in scan.phrases]
 
     def one(text: bytes | None) -> tuple:
@@ -173,8 +187,8 @@ def scan(docs: DataFrame, scan: Scan = Scan(), id_col: str = "doc_id", text_col:
                 starts += places
                 base.update([label] if places else [])
         best, labels = 0.0, set(base)
-        if not index.prefix.isdisjoint(there):
-            for _, block in blocks_of(text, scan.block_words):
+        for index in sizes:
+            for _, block in () if index.prefix.isdisjoint(there) else blocks_of(words, index.size):
                 for k, common in index.matches(block):
                     labels.add(index.labels[k])
                     best = max(best, common / len(index.sets[k]))

@@ -91,14 +91,14 @@ def _list(words) -> str:
 
 
 _TEMPLATE_ROWS = ", ".join(
-    f"({k}, '{label}', {_list(sorted({w.decode() for w in licenses.words_of(text.encode())}))})" for k, (label, text) in enumerate(licenses.TEMPLATES)
+    f"({licenses.block_size(text, 64)}, '{label}', {_list(sorted({w.decode() for w in licenses.words_of(text.encode())}))})" for label, text in licenses.Scan().templates
 )
 _PHRASE_ROWS = ", ".join(f"('{label}', {_list(phrase.split())})" for phrase, label in licenses.PHRASES)
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LICENSES_SQL = rf"""
-WITH templates(k, label, ws) AS (VALUES {_TEMPLATE_ROWS}),
+WITH templates(block_words, label, ws) AS (VALUES {_TEMPLATE_ROWS}),
 phrases(label, ws) AS (VALUES {_PHRASE_ROWS}),
 words AS (SELECT doc_id, {_LOWERED} AS text, regexp_extract_all({_LOWERED}, '{_LICENSE_WORD}') AS ws FROM documents),
 places AS (
@@ -107,13 +107,14 @@ places AS (
   WHERE list_slice(w.ws, i, i + len(p.ws) - 1) = p.ws),
 based AS (
   SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(text, chr(10))), '{_LICENSE_WORD}') AS ws FROM words),
 blocks AS (
-  SELECT doc_id, list_distinct(list_slice(ws, s + 1, s + 64)) AS block
-  FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 32, 1), 32)) AS s FROM lines WHERE len(ws) > 0)),
+  SELECT doc_id, block_words, list_distinct(list_slice(ws, s + 1, s + block_words)) AS block
+  FROM (
+    SELECT doc_id, ws, block_words, unnest(range(0, greatest(len(ws) - block_words // 2, 1), block_words // 2)) AS s
+    FROM words, (SELECT DISTINCT block_words FROM templates) WHERE len(ws) > 0)),
 matches AS (
   SELECT doc_id, label, common / size AS share
-  FROM (SELECT doc_id, label, len(list_intersect(block, ws)) AS common, len(ws) AS size FROM blocks CROSS JOIN templates)
+  FROM (SELECT doc_id, label, len(list_intersect(block, ws)) AS common, len(ws) AS size FROM blocks JOIN templates USING (block_words))
   WHERE 100 * common >= 90 * size),
 matched AS (SELECT doc_id, max(share) AS best FROM matches GROUP BY doc_id),
 labelled AS (

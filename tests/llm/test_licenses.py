@@ -1,7 +1,10 @@
 import random
 import re
+import textwrap
 
-from lumenframe.llm import licenses
+import pytest
+
+from lumenframe.llm import license_texts, licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -19,20 +22,41 @@ def expected(text, scan):
         starts += at
         base |= {label} if at else set()
     labels, best = set(base), 0.0
-    for line in lowered(text).split("\n"):
-        mine = WORD.findall(line)
-        half = scan.block_words // 2
-        for k in range(0, max(len(mine) - half, 1), half):
-            block = set(mine[k : k + scan.block_words])
-            for label, template in scan.templates:
-                wanted = set(WORD.findall(lowered(template)))
-                if block and 100 * len(block & wanted) >= scan.percent * len(wanted):
-                    labels.add(label)
-                    best = max(best, len(block & wanted) / len(wanted))
+    for label, template in scan.templates:
+        wanted = WORD.findall(lowered(template))
+        size = scan.block_words
+        while size < 2 * len(wanted):
+            size *= 2
+        wanted = set(wanted)
+        for k in range(0, max(len(words) - size // 2, 1), size // 2):
+            block = set(words[k : k + size])
+            if block and 100 * len(block & wanted) >= scan.percent * len(wanted):
+                labels.add(label)
+                best = max(best, len(block & wanted) / len(wanted))
     score = 1.0 if starts else best
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(" ".join(text.split()), width))
+
+
+@pytest.mark.parametrize("width,mark", [(75, ""), (75, " * "), (40, "# "), (20, "// ")])
+def test_notices_are_found_at_any_width(spark, width, mark):
+    filler = " ".join(f"w{k}" for k in range(77))
+    rows = [(k, f"{filler}\n{wrapped(text, width, mark)}\n\n{filler}") for k, (_, text) in enumerate(licenses.Scan().templates)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[k] for k, (label, _) in enumerate(licenses.Scan().templates))
+
+
+def test_full_texts_with_a_few_changes_and_parts_of_them(spark):
+    words = license_texts.MIT.split()
+    changed = " ".join("AUTHOR" if w == "AUTHORS" else w for k, w in enumerate(words) if k % 37)
+    docs = spark.createDataFrame([(1, changed), (2, " ".join(words[60:110])), (3, " ".join(words[:90]))], "doc_id long, text string")
+    only = licenses.Scan(templates=(("mit text", license_texts.MIT),))
+    assert {r.doc_id: r.labels for r in licenses.scan(docs, only).collect()} == {1: "mit text", 2: "", 3: ""}
+
+
 def made(seed):
     r = random.Random(seed)
     vocabulary = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["other", "näher", "7"]
@@ -56,14 +80,14 @@ def test_global_order_puts_rare_words_first(spark):
     docs = spark.createDataFrame([(k, "the license the") for k in range(5)] + [(9, "mozilla")], "doc_id long, text string")
     frequency = licenses.word_frequency(docs)
     assert frequency == {"the": 5, "license": 5, "mozilla": 1}
-    index = licenses.Index(licenses.Scan(), frequency)
+    index = licenses.indexes(licenses.Scan(templates=licenses.TEMPLATES), frequency)[0]
     assert index.rank[b"granted"] < index.rank[b"mozilla"] < index.rank[b"license"]
 
 
 def test_matching_blocks_give_their_place(spark):
     text = "one two three\nfour five\nReleased under the MIT License."
     rows = licenses.matching_blocks(spark.createDataFrame([(3, text)], "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.first_word, r.n_words, r.label, r.containment) for r in rows] == [(3, 5, 5, "mit", 1.0)]
+    assert [(r.doc_id, r.first_word, r.n_words, r.label, r.containment) for r in rows] == [(3, 0, 10, "mit", 1.0)]
 
 
 def test_odd_rows(odd_docs, no_docs):
