@@ -372,3 +372,25 @@ def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     """Quantiles of whole columns as driver values (one row)."""
     row = exact_quantiles(df, cols, probs).first()
     return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
+
+
+#: Keys that are sent to the rows at most; each of them holds at least one in so many of the counted rows.
+MOST_SENT_KEYS = 20_000
+
+
+def rows_of_keys(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataFrame:
+    """The rows whose key stands in ``counted`` (one row per key, with its number of rows ``n``).
+
+    Keys with more than one in ``MOST_SENT_KEYS`` of the counted rows are fewer than that, so they are broadcast and their rows stay where they are; the rows of other
+    keys are joined by key, and none of those fills a task.
+    """
+    counted = cut_lineage(counted.select(key, n))
+    total = counted.agg(F.sum(n)).first()[0]
+    if not total:
+        return rows.limit(0)
+    hot = counted.where(F.col(n) > max(total // MOST_SENT_KEYS, hot_rows_of(rows, None) // 100)).select(key)
+    if hot.isEmpty():
+        return rows.join(counted.select(key), key, "left_semi")
+    rest = counted.join(F.broadcast(hot), key, "left_anti").select(key)
+    crowded, others = rows.join(F.broadcast(hot), key, "left_semi"), rows.join(F.broadcast(hot), key, "left_anti")
+    return crowded.unionByName(others.join(rest, key, "left_semi"))

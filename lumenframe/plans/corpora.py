@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenframe.operators import corpus as cp
+from lumenframe.operators import passages
 from lumenframe.plans.registry import plan
 
 WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -30,6 +31,18 @@ def line_dedup(t):
     return cp.line_dedup(t.documents, "doc_id", "text").select("doc_id", F.md5("text").alias("digest"), "dropped")
 
 
+@plan("T03", r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  g AS (SELECT doc_id, i - 1 AS p, hash(list_slice(ws, i, i + 49)) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+  s AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY h) > 1),
+  e AS (SELECT doc_id, p, sum(CASE WHEN p - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM s)),
+  u AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM e GROUP BY doc_id, span),
+  l AS (SELECT doc_id, sum(b - a)::BIGINT AS shared_words, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM u GROUP BY doc_id)
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(shared_words, 0) AS shared_words, coalesce(spans, '') AS spans FROM w LEFT JOIN l USING (doc_id)""")
+def shared_passages(t):
+    p = passages.shared_passages(t.documents, "doc_id", "text")
+    return p.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ","))
+
+
 _HITS = ", ".join(f"len(list_filter(w, lambda x: list_contains({sql_list(ms)}, x))) AS {name}" for name, ms in cp.STOP_WORDS.items())
 
 
