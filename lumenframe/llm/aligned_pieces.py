@@ -22,6 +22,8 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,9 @@ from pyspark.sql import DataFrame
 from lumenframe.llm.common import chunks, texts_of
 
 SPACE = "▁"
-MOST_WORDS = 250_000
+MOST_WORDS = 400_000
 LONG_WORD = 128
+_NONE = float("-inf")
 
 
 class CharacterMap:
@@ -131,19 +134,8 @@ def splitter(pieces: Iterable[str]) -> Callable[[str], list[str]]:
     return re.compile("|".join(ways)).findall
 
 
-class Word:
-    """An encoded word."""
-
-    __slots__ = ("ids", "written", "text", "lengths")
-
-    def __init__(self, ids: list[int], text: str, lengths: list[int]):
-        self.ids = ids
-        #: Decimal ids, each with a comma behind it.
-        self.written = "".join(f"{i}," for i in ids)
-        #: What the ids decode to inside a text.
-        self.text = text
-        #: Normalised characters that each id takes.
-        self.lengths = np.array(lengths, np.uint32).tobytes()
+#: An encoded word: its ids in decimal, each with a comma behind it; what they decode to inside a text; the normalised characters that each id takes, a byte to an id.
+Word = tuple[str, str, bytes]
 
 
 class Model(dict):
@@ -170,10 +162,12 @@ class Model(dict):
         self.silent = {k for k, kind in enumerate(self.kinds) if kind == kinds.CONTROL}
         self.unknown = {k for k, kind in enumerate(self.kinds) if kind == kinds.UNKNOWN}
         self.unknown_text = spec.trainer_spec.unk_surface
+        self.written = [f"{k}," for k in range(len(self.pieces))]
+        self.inside = [p.replace(SPACE, " ") for p in self.pieces]
         if (
             spec.trainer_spec.model_type != spec.trainer_spec.BPE or not spec.trainer_spec.byte_fallback or len(self.byte_ids) < 256
             or spec.trainer_spec.treat_whitespace_as_suffix or not rules.escape_whitespaces or SPACE not in self.ids
-            or any(k in (kinds.USER_DEFINED, kinds.UNUSED) for k in self.kinds)
+            or any(k in (kinds.USER_DEFINED, kinds.UNUSED) for k in self.kinds) or max(map(len, self.ids)) > 255
         ):
             raise ValueError("a BPE model with byte fallback, escaped spaces and no user-defined or unused pieces is needed")
         self.split = splitter(self.ids)
@@ -238,33 +232,33 @@ class Model(dict):
         return new
 
     def encoded(self, word: str) -> Word:
-        ids: list[int] = []
-        lengths: list[int] = []
-        for part in self.merged(word):
+        parts = self.merged(word)
+        try:
+            ids = [self.ids[p] for p in parts]
+            return "".join([self.written[i] for i in ids]), "".join([self.inside[i] for i in ids]), bytes(map(len, parts))
+        except KeyError:  # a character without a piece
+            ids, lengths = [], []
+        for part in parts:
             known = self.ids.get(part)
-            if known is not None:
-                ids.append(known)
-                lengths.append(len(part))
-            else:
-                own = [self.byte_ids[b] for b in part.encode()]
-                ids += own
-                lengths += [0] * (len(own) - 1) + [len(part)]
-        return Word(ids, self.decode(ids, inside=True), lengths)
+            own = [self.byte_ids[b] for b in part.encode()] if known is None else [known]
+            ids += own
+            lengths += [0] * (len(own) - 1) + [len(part)]
+        return "".join([self.written[i] for i in ids]), self.decode(ids, inside=True), bytes(lengths)
 
     def merged(self, word: str) -> list[str]:
         """The word's characters, joined by the highest score first and from the left among equal ones."""
         if len(word) > LONG_WORD:
             return self._merged_by_queue(word)
-        part, score, none = list(word), self.score.get, float("-inf")
-        value = [score(a + b, none) for a, b in zip(part, part[1:])]
-        while value and (top := max(value)) != none:
+        part, score = list(word), self.score.get
+        value = list(map(score, map(add, part, part[1:]), repeat(_NONE)))
+        while value and (top := max(value)) is not _NONE:
             at = value.index(top)
-            part[at] += part.pop(at + 1)
-            value.pop(at)
+            new = part[at] = part[at] + part.pop(at + 1)
+            del value[at]
             if at:
-                value[at - 1] = score(part[at - 1] + part[at], none)
+                value[at - 1] = score(part[at - 1] + new, _NONE)
             if at < len(value):
-                value[at] = score(part[at] + part[at + 1], none)
+                value[at] = score(new + part[at + 1], _NONE)
         return part
 
     def _merged_by_queue(self, word: str) -> list[str]:
@@ -292,7 +286,7 @@ class Model(dict):
         normalised, place = self.normalise(text or "")
         words = self.words(normalised)
         begins, ends = spans(words, place)
-        return [i for w in words for i in w.ids], begins, ends
+        return ids_of(words), begins, ends
 
     # Decoding ---------------------------------------------------------------------------------
 
@@ -333,10 +327,14 @@ def readable(run: bytes) -> str:
         return run[: e.start].decode() + "�" + readable(run[e.start + 1 :])
 
 
+def ids_of(words: list[Word]) -> list[int]:
+    return [int(i) for w in words for i in w[0].split(",") if i]
+
+
 def spans(words: list[Word], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Source bytes of the pieces, from ``place``: the source byte of each normalised character and of the end."""
-    length = np.frombuffer(b"".join([w.lengths for w in words]), np.uint32).astype(np.int64)
-    behind = np.cumsum(length)
+    length = np.frombuffer(b"".join([w[2] for w in words]), np.uint8)
+    behind = np.cumsum(length, dtype=np.int64)
     # Bytes of a character stand in front of it until the last one takes it.
     return place[behind - length], place[behind]
 
@@ -394,7 +392,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, n_spanned, spans_sha256`` of every row of ``docs``.
 
-    ``n_spanned`` is the number of source bytes that the pieces' spans cover; ``spans_sha256`` digests the spans as pairs of little-endian 64-bit integers.
+    ``n_spanned`` is the number of source bytes that the pieces' spans cover; ``spans_sha256`` digests the spans as pairs of little-endian 32-bit integers.
     """
     model = _sent(docs, path)
 
@@ -413,11 +411,11 @@ def digest(model: Model, text: str) -> tuple[int, str, str, int, str]:
     words = model.words(normalised)
     begins, ends = spans(words, place)
     if model.squeeze:  # pieces of nothing but a space in front depend on each other
-        decoded = model.decode([i for w in words for i in w.ids])
+        decoded = model.decode(ids_of(words))
     else:
-        decoded = "".join([w.text for w in words])
+        decoded = "".join([w[1] for w in words])
         decoded = decoded.removeprefix(" ") if model.prefix else decoded
-    written = "".join([w.written for w in words])[:-1]
-    both = np.stack([begins, ends], 1).astype("<i8")
+    written = "".join([w[0] for w in words])[:-1]
+    both = np.stack([begins, ends], 1).astype("<i4")
     hexed = [hashlib.sha256(x).hexdigest() for x in (written.encode(), decoded.encode(), both.tobytes())]
     return len(begins), hexed[0], hexed[1], int((ends - begins).sum()), hexed[2]
