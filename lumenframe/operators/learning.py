@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import dot, hash_unit, norm, safe_divide
 from lumenframe.operators.evaluation import permute_column
-from lumenframe.operators.retrieval import knn_join, shared_attribute_components
+from lumenframe.operators.neighbours import nearest
+from lumenframe.operators.retrieval import shared_attribute_components
 from lumenframe.operators.scaling import quantile_values, top_per_group
 
 REGRESSORS = {"linear": LinearRegression, "tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "boosting": GBTRegressor,
@@ -226,7 +227,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
 
 def k_distance(points: DataFrame, k: int) -> DataFrame:
     """Distance of every point to its k-th neighbour (``points(id, vector)``)."""
-    near = knn_join(points, points, k, "euclidean")
+    near = nearest(points, points, k, "euclidean")
     return near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), (-F.col("score")).alias("distance"))
 
 
@@ -417,9 +418,9 @@ def score_bands(score_col: Column, rules_hit: Column) -> Column:
 
 
 def smote(minority: DataFrame, features: Sequence[str], key: str, per_row: int, k: int = 5, seed: int = 1) -> DataFrame:
-    """Synthetic rows on the line from a row to one of its k nearest minority rows."""
+    """Synthetic rows on the line from a row to one of its k nearest minority rows; hashes of seed, key and copy choose which one and where."""
     p = minority.select(F.col(key).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("vector"))
-    near = knn_join(p, p, k, "euclidean").select(F.col("query_id").alias("id"), "item_id", "rank")
+    near = nearest(p, p, k, "euclidean").select(F.col("query_id").alias("id"), "item_id", "rank")
     counts = near.groupBy("id").agg(F.max("rank").alias("_k"))
     draws = p.join(counts, "id").select("*", F.explode(F.sequence(F.lit(1), F.lit(per_row))).alias("copy")).withColumn(
         "rank", (F.floor(hash_unit(F.lit(seed), F.col("id"), F.col("copy")) * F.col("_k")) + 1).cast("int")).withColumn(
@@ -436,7 +437,7 @@ def impute_knn(df: DataFrame, key: str, target: str, features: Sequence[str], k:
     vec = F.array(*[(F.col(c).cast("double") / F.lit(float(sd[c] or 1.0))) for c in features]).alias("vector")
     whole = df.where(F.col(target).isNotNull()).select(F.col(key).alias("id"), vec, target)
     gaps = df.where(F.col(target).isNull()).select(F.col(key).alias("id"), vec)
-    near = knn_join(gaps, whole, k, "euclidean").join(whole.select(F.col("id").alias("item_id"), F.col(target).alias("_y")), "item_id")
+    near = nearest(gaps, whole, k, "euclidean").join(whole.select(F.col("id").alias("item_id"), F.col(target).alias("_y")), "item_id")
     filled = near.groupBy(F.col("query_id").alias(key)).agg(F.avg("_y").alias("_fill"))
     return df.join(filled, key, "left").withColumn(target, F.coalesce(F.col(target), F.col("_fill"))).drop("_fill")
 

@@ -94,6 +94,7 @@ class _Map:
         for r in rows:
             self.n[r["cell"]], self.least[r["cell"]], self.most[r["cell"]] = r["n"], r["least"], r["most"]
         self.between = distances(pivots, pivots)
+        self.scale = 1 + float(np.linalg.norm(pivots, axis=1).max(initial=0)) + float(self.most.max(initial=0))  # rounding grows with it
 
     def nearest_cells(self, far: np.ndarray, need: int, probes: int) -> np.ndarray:
         """Marks, per query, the nearest cells: ``probes`` of them that have items, and as many more as it takes to hold ``need`` items."""
@@ -109,12 +110,11 @@ class _Map:
         """Cells that can hold an item within ``reach`` of the query."""
         home = far.argmin(1)
         nearest = far[np.arange(len(far)), home]
-        slack = SLACK * (1 + far)
         bound = np.maximum(far - self.most, self.least - far)
         gap = self.between[home]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            beyond = np.where(gap > 0, (far**2 - nearest[:, None] ** 2) / (2 * gap), 0)
-        return (np.maximum(bound, beyond) <= reach[:, None] + slack) & (self.n > 0)
+        wide = gap > 1e-4 * self.scale
+        beyond = np.where(wide, (far**2 - nearest[:, None] ** 2) / (2 * np.where(wide, gap, 1)), 0)
+        return (np.maximum(bound, beyond) <= reach[:, None] + SLACK * self.scale) & (self.n > 0)
 
 
 def _placed(df: DataFrame, pivots, name: str) -> DataFrame:
@@ -168,11 +168,12 @@ def _compared(sent: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, metr
         if len(left) and len(right):
             right = right.sort_values("d", kind="stable")
             items, ids, d = matrix(right["vector"]), right["id"].to_numpy(), right["d"].to_numpy()
+            size = float(np.linalg.norm(items, axis=1).max())
             left = left.sort_values("d", kind="stable")
             for at in range(0, len(left), 256):
                 part = left.iloc[at : at + 256]
                 vectors, qids, reach, far = matrix(part["vector"]), part["id"].to_numpy(), part["reach"].to_numpy(), part["d"].to_numpy()
-                slack = SLACK * (1 + far)
+                slack = SLACK * (1 + np.linalg.norm(vectors, axis=1).max() + size)
                 low, high = np.searchsorted(d, far - reach - slack), np.searchsorted(d, far + reach + slack, side="right")
                 a, b = int(low.min()), int(high.max())
                 if a >= b:
@@ -191,7 +192,7 @@ def _compared(sent: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, metr
                     s = score[row]
                     pick = np.flatnonzero(np.isfinite(s))
                     if len(pick) > k:
-                        pick = pick[s[pick] >= np.partition(s[pick], len(pick) - k)[len(pick) - k] - SLACK]
+                        pick = pick[s[pick] >= np.partition(s[pick], len(pick) - k)[len(pick) - k] - slack]
                     if not len(pick):
                         continue
                     x, near = vectors[row], items[a:b][pick]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import safe_divide
 from lumenframe.operators.features import term_counts, terms
+from lumenframe.operators.neighbours import nearest
 from lumenframe.operators.scaling import attach_row, spread, top_per_group
 from lumenframe.session import cut_lineage
 
@@ -154,13 +155,13 @@ def group_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 def knn_classify(train: DataFrame, test: DataFrame, label: str, k: int) -> DataFrame:
     """Majority label of the k nearest (ties to the smaller label)."""
-    near = knn_join(test, train, k).join(train.select(F.col("id").alias("item_id"), F.col(label).alias("_l")), "item_id")
+    near = nearest(test, train, k).join(train.select(F.col("id").alias("item_id"), F.col(label).alias("_l")), "item_id")
     votes = near.groupBy("query_id", "_l").agg(F.count("*").alias("n"))
     return votes.groupBy("query_id").agg(F.min_by("_l", F.struct(-F.col("n"), F.col("_l"))).alias("predicted"))
 
 
 def knn_regress(train: DataFrame, test: DataFrame, target: str, k: int, metric: str = "cosine") -> DataFrame:
-    near = knn_join(test, train, k, metric).join(train.select(F.col("id").alias("item_id"), F.col(target).alias("_y")), "item_id")
+    near = nearest(test, train, k, metric).join(train.select(F.col("id").alias("item_id"), F.col(target).alias("_y")), "item_id")
     return near.groupBy("query_id").agg(F.avg("_y").alias("predicted"))
 
 
@@ -276,10 +277,13 @@ def with_fallback(users: DataFrame, user: str, segment: str, personal: DataFrame
 
 
 def semantic_cache(vectors: DataFrame, threshold: float, cost: float) -> DataFrame:
-    """Per query (``id`` grows with time) the nearest earlier one; a score of at least ``threshold`` is a hit."""
-    near = knn_join(vectors, vectors, 1, earlier_only=True).select(F.col("query_id").alias("id"), "item_id", "score")
+    """Per query (``id`` grows with time) the nearest earlier one with a score of at least ``threshold``, a hit; misses have no item.
+
+    The threshold bounds the search from the start: a strict one leaves few cells possible.
+    """
+    near = nearest(vectors, vectors, 1, earlier_only=True, least=threshold).select(F.col("query_id").alias("id"), "item_id", "score")
     j = vectors.select("id").join(near, "id", "left")
-    hit = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    hit = F.col("item_id").isNotNull()
     return j.select("id", "item_id", "score", hit.alias("hit"), F.when(hit, F.lit(0.0)).otherwise(F.lit(cost)).alias("cost"))
 
 

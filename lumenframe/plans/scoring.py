@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import scalars as fn
 from lumenframe.operators import evaluation as ev
 from lumenframe.operators import retrieval as rt
+from lumenframe.operators.neighbours import nearest
 from lumenframe.plans.registry import plan
 
 
@@ -152,7 +153,7 @@ NEAR = """n AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.label AS ql,
   round(avg(coalesce(ap / nullif(least(nr, 10), 0), 0)), 6) AS map, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM m""")
 def ranking_metrics(t):
     v = vectors(t)
-    near = rt.knn_join(v, v, 10)
+    near = nearest(v, v, 10)
     lab = v.select("id", "label")
     sizes = lab.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
     j = (near.join(lab.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id")
@@ -164,7 +165,7 @@ def ranking_metrics(t):
 @plan("Q13", f"""WITH {NEAR.format(k=1)} SELECT round(count(DISTINCT item_id) / (SELECT count(*) FROM embeddings), 6) AS coverage, round(count(DISTINCT il) / (SELECT count(DISTINCT label) FROM embeddings), 6) AS category_coverage FROM k""")
 def catalog_coverage(t):
     v = vectors(t)
-    shown = rt.knn_join(v, v, 1).select(F.col("item_id").alias("id"))
+    shown = nearest(v, v, 1).select(F.col("item_id").alias("id"))
     return _r(ev.catalog_coverage(shown, "id", v, "label"), 6)
 
 

@@ -252,18 +252,33 @@ def importance_and_ablation(t):
     return a.unionByName(b.select(F.lit("ablation").alias("kind"), F.col("removed").alias("name"), F.col("auc").alias("value")))
 
 
-@plan("F10", "SELECT count(*) * 3 AS n, TRUE AS inside FROM orders WHERE o_totalprice > 480000")
-def smote_minority(t):
-    m = t.orders.where(F.col("o_totalprice") > 480000).select("o_orderkey", "o_totalprice", F.datediff("o_orderdate", F.lit("1995-01-01").cast("timestamp_ntz")).cast("double").alias("d"))
-    s = ml.smote(m, ["o_totalprice", "d"], "o_orderkey", 3)
-    return s.agg(F.count("*").alias("n"), (F.min("o_totalprice") > 480000).alias("inside"))
+def share(*parts):
+    """SQL twin of ``hash_unit``."""
+    return "('0x' || left(md5(" + " || ':' || ".join(f"{p}::VARCHAR" for p in parts) + "), 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
-@plan("L06", "SELECT count(*) AS n, count(*) AS filled FROM customer")
+@plan("F10", f"""WITH p AS (SELECT doc_id AS id, length(text)::DOUBLE AS x, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS y FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+  n AS (SELECT a.id, b.id AS item_id, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.id) AS rank FROM p a JOIN p b ON a.id <> b.id QUALIFY rank <= 5),
+  c AS (SELECT id, max(rank) AS k FROM n GROUP BY id), d AS (SELECT id, copy, (floor({share("1", "id", "copy")} * k) + 1)::BIGINT AS rank, {share("2", "id", "copy")} AS u FROM c, range(1, 4) AS r(copy))
+  SELECT id AS doc_id, copy::INT AS copy, round(p.x + u * (o.x - p.x), 6) AS chars, round(p.y + u * (o.y - p.y), 6) AS spaces FROM d JOIN n USING (id, rank) JOIN p USING (id) JOIN p o ON o.id = n.item_id""")
+def smote_minority(t):
+    """The toxic documents, the smaller class of the labels, by length and number of spaces."""
+    m = t.documents.join(t.labels.where("toxic = 1"), "doc_id").select("doc_id", F.length("text").cast("double").alias("chars"), (F.length("text") - F.length(F.regexp_replace("text", " ", ""))).cast("double").alias("spaces"))
+    s = ml.smote(m, ["chars", "spaces"], "doc_id", 3)
+    return s.select("doc_id", "copy", F.round("chars", 6).alias("chars"), F.round("spaces", 6).alias("spaces"))
+
+
+@plan("L06", """WITH o AS (SELECT o_custkey, sum(o_totalprice)::DOUBLE AS total, count(*)::DOUBLE AS n FROM orders GROUP BY 1),
+  d AS (SELECT c_custkey, coalesce(total, 0) AS total, coalesce(n, 0) AS n, CASE WHEN c_custkey % 20 <> 0 THEN c_acctbal::DOUBLE END AS bal FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+  s AS (SELECT coalesce(nullif(stddev_samp(total), 0), 1) AS st, coalesce(nullif(stddev_samp(n), 0), 1) AS sn FROM d),
+  k AS (SELECT a.c_custkey, b.bal FROM d a JOIN d b ON a.bal IS NULL AND b.bal IS NOT NULL, s QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY sqrt(pow(a.total / st - b.total / st, 2) + pow(a.n / sn - b.n / sn, 2)), b.c_custkey) <= 5),
+  f AS (SELECT c_custkey, avg(bal) AS fill FROM k GROUP BY 1)
+  SELECT c_custkey, round(coalesce(bal, fill), 4) AS bal FROM d LEFT JOIN f USING (c_custkey)""")
 def impute_knn(t):
-    d = t.customer.select("c_custkey", F.col("c_nationkey").cast("double").alias("nk"), F.col("c_custkey").cast("double").alias("ck"),
-                          F.when(F.col("c_custkey") % 20 != 0, F.col("c_acctbal")).alias("bal"))
-    return ml.impute_knn(d, "c_custkey", "bal", ["nk", "ck"]).agg(F.count("*").alias("n"), F.count("bal").alias("filled"))
+    """Every twentieth balance is taken away and filled from customers with like orders."""
+    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").cast("double").alias("total"), F.count("*").cast("double").alias("n"))
+    d = t.customer.join(o, "c_custkey", "left").select("c_custkey", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0.0)).alias("n"), F.when(F.col("c_custkey") % 20 != 0, F.col("c_acctbal").cast("double")).alias("bal"))
+    return ml.impute_knn(d, "c_custkey", "bal", ["total", "n"]).select("c_custkey", F.round("bal", 4).alias("bal"))
 
 
 @plan("M29 R02")
