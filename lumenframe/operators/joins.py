@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import safe_divide, seconds_between
+from lumenframe.operators.pairs import Buckets, frequent_pairs
 from lumenframe.operators.scaling import ranked, running
 
 SMALL_ROWS = 200_000
@@ -25,39 +26,10 @@ def with_date_spine(keys: DataFrame, start: str, end: str, out: str = "day", ste
     return keys.select("*", F.explode(dates).alias(out))
 
 
-def co_purchase(items: DataFrame, basket: str, item: str, min_support: int = 10, top: int | None = 100,
-                big_basket: int = 1_000) -> DataFrame:
-    """Item pairs bought together in at least ``min_support`` baskets: the ``top`` most frequent, or all if it is None.
-
-    Only items frequent by themselves can be in a frequent pair. The ``min_support - 1`` largest
-    baskets cannot make a pair frequent alone, so (if larger than ``big_basket``) their pairs are
-    never listed: they only add to pairs found in the other baskets.
-    """
-    bought = items.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct()
-    support = bought.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
-    kept = bought.join(support.select("item"), "item", "left_semi")
-    sizes = kept.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > big_basket)
-    big = [r["basket"] for r in sizes.orderBy(F.desc("n")).limit(max(min_support - 1, 0)).collect()]
-    small = kept.where(~F.col("basket").isin(big)) if big else kept
-    a = small.select("basket", F.col("item").alias("item_a"))
-    b = small.select("basket", F.col("item").alias("item_b"))
-    pairs = (a.join(b, "basket").where(F.col("item_a") < F.col("item_b"))
-             .groupBy("item_a", "item_b").agg(F.count("*").alias("n")))
-    if big:
-        pairs = pairs.where(F.col("n") >= min_support - len(big))
-        hot = kept.where(F.col("basket").isin(big))
-        ha = hot.select("basket", F.col("item").alias("item_a"))
-        hb = hot.select("basket", F.col("item").alias("item_b"))
-        extra = (pairs.select("item_a", "item_b").join(ha, "item_a").join(hb, ["basket", "item_b"])
-                 .groupBy("item_a", "item_b").agg(F.count("*").alias("more")))
-        pairs = pairs.join(extra, ["item_a", "item_b"], "left").select(
-            "item_a", "item_b", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-    best = pairs.where(F.col("n") >= min_support)
-    if top is not None:
-        best = best.orderBy(F.desc("n"), "item_a", "item_b").limit(top)
-    sa = support.select(F.col("item").alias("item_a"), F.col("support").alias("support_a"))
-    sb = support.select(F.col("item").alias("item_b"), F.col("support").alias("support_b"))
-    return best.join(sa, "item_a").join(sb, "item_b").select("item_a", "item_b", "n", "support_a", "support_b")
+def co_purchase(items: DataFrame, basket: str, item: str, min_support: int = 10, top: int | None = 100, settings: Buckets = Buckets()) -> DataFrame:
+    """Item pairs bought together in at least ``min_support`` baskets: the ``top`` most frequent, or all if it is None."""
+    best = frequent_pairs(items, basket, item, min_support, settings)
+    return best if top is None else best.orderBy(F.desc("n"), "item_a", "item_b").limit(top)
 
 
 def accumulate_to_snapshots(facts: DataFrame, key: str, ts: str, value: str, snapshots: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from lumenframe.functions.scalars import safe_divide
 from lumenframe.operators.features import term_counts, terms
 from lumenframe.operators.neighbours import nearest
 from lumenframe.operators.scaling import attach_row, spread, top_per_group
-from lumenframe.session import cut_lineage
+from lumenframe.session import cut_lineage, scratch_path
 
 BLOCK_ROWS = 2_048
 
@@ -170,68 +170,99 @@ def inverted_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return term_counts(docs, id_col, text).select("term", id_col, "tf")
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75,
-              max_queries: int = MAX_QUERIES) -> DataFrame:
+#: Documents and queries that meet in one task, and documents under one maximum.
+DOC_BLOCK, QUERY_BLOCK, MAXIMA_BLOCK = 32_768, 4_096, 256
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, doc_block: int = DOC_BLOCK, query_block: int = QUERY_BLOCK,
+              scored=None) -> DataFrame:
     """BM25 over whole texts: ``docs(id, text)``, ``queries(id, text)``.
 
-    Document frequencies come from a Spark aggregation limited to the query terms. Scoring is one
-    pass over the documents per ``max_queries`` queries; a task keeps k documents per query, so
-    frequent words never multiply rows.
+    One pass tokenises the documents and writes the postings of the queries' terms and the documents' lengths. Postings are dealt out by blocks of documents, so a term that most
+    documents hold has a part in every block, and each block meets the queries by blocks too. Inside, a query adds up the maxima of its terms over small runs of documents: runs that can't
+    reach the ``k``-th best score found so far are skipped, and k documents a query leave the task. ``scored``, an accumulator, counts the postings that were added up.
     """
     qterms = queries.select(F.col("id").alias("qid"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    vocabulary = qterms.select("term").distinct()
-    docs = spread(docs.select("id", "text"))
-    words = docs.select("id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    df = words.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("avg")).first()
-    n, avg = stats["n"], stats["avg"] or 1.0
-    weighted = qterms.join(df, "term").withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    passes = -(-queries.count() // max_queries) or 1
-    rows = docs.select("id", terms(F.col("text")).alias("w"))
-    out = None
-    for p in range(passes):
-        part = weighted.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p) if passes > 1 else weighted
-        lookup: dict[str, list] = {}
-        idf: dict[str, float] = {}
-        for r in part.collect():  # terms of at most about max_queries queries
-            lookup.setdefault(r["term"], []).append(r["qid"])
-            idf[r["term"]] = r["idf"]
-        one = rows.mapInPandas(_bm25_scan(lookup, idf, k, k1, b, avg), "query_id bigint, item_id bigint, score double")
-        out = one if out is None else out.unionByName(one)
-    return top_per_group(out, ["query_id"], ["-score", "item_id"], k, "rank").select("query_id", "item_id", "score", "rank")
-
-
-def _bm25_scan(lookup: dict, idf: dict, k: int, k1: float, b: float, avg: float):
-    qids = sorted({q for qs in lookup.values() for q in qs})
-    place = {q: i for i, q in enumerate(qids)}
-    where = {t: np.array([place[q] for q in qs]) for t, qs in lookup.items()}
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_s, held_d = np.zeros((0, len(qids))), np.zeros(0, dtype="int64")
-        best = [(np.array([]), np.array([], dtype="int64")) for _ in qids]
-
-        def fold(scores, ids):
-            for n, at in enumerate(_best(np.where(scores.T > 0, scores.T, -np.inf), ids, k)):
-                sc, ii = np.concatenate([best[n][0], scores[at, n]]), np.concatenate([best[n][1], ids[at]])
-                keep = np.lexsort((ii, -sc))[:k]
-                best[n] = (sc[keep], ii[keep])
+    words = spread(docs.select("id", "text")).select("id", terms(F.col("text")).alias("w"))
+    # No term is empty: the empty string stands once in each document and brings its length along.
+    vocabulary = _stored(qterms.select("term").unionByName(qterms.sparkSession.createDataFrame([("",)], "term string")).distinct().withColumn("t", F.when(F.col("term") != "", F.monotonically_increasing_id())), "bm25-terms")
+    each = F.explode(F.array_append(F.coalesce("w", F.array().cast("array<string>")), F.lit(""))).alias("term")
+    held = words.select("id", F.coalesce(F.size("w"), F.lit(0)).alias("len"), each).join(vocabulary, "term").groupBy("id", "len", "t").agg(F.count("*").alias("tf"))
+    written = _stored(held, "bm25-postings")
+    whole = written.where("t IS NULL").agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    n, avg = whole["n"], whole["avg"] or 1.0
+    postings = written.where("t IS NOT NULL")
+    idf = postings.groupBy("t").agg(F.log(1 + (F.lit(n) - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
+    asked = cut_lineage(qterms.join(vocabulary, "term").join(idf, "t").select("qid", "t", "idf"))
+    d_blocks = max(-(-n // doc_block), min(docs.sparkSession.sparkContext.defaultParallelism, -(-n // 512)), 1)
+    q_blocks = max(-(-queries.count() // query_block), 1)
+    part = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    copies = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = postings.select("id", "t", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg)))).alias("impact"), part("id", d_blocks).alias("_d"), copies(q_blocks).alias("_q"))
+    right = asked.select("qid", "t", "idf", part("qid", q_blocks).alias("_q"), copies(d_blocks).alias("_d"))
+    near = left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInPandas(_score_block(k, scored), "query_id bigint, item_id bigint, score double")
+    return top_per_group(near, ["query_id"], ["-score", "item_id"], k, "rank").select("query_id", "item_id", "score", "rank")
 
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                piece = pdf.iloc[at:at + 512]
-                held_s, held_d = np.zeros((len(piece), len(qids))), piece["id"].to_numpy()
-                for r, ws in enumerate(piece["w"]):
-                    names, tf = np.unique(np.asarray(ws, dtype=object).astype(str), return_counts=True) if len(ws) else ([], [])
-                    for t, c in zip(names, tf):
-                        if t in where:
-                            held_s[r, where[t]] += idf[t] * c * (k1 + 1) / (c + k1 * (1 - b + b * len(ws) / avg))
-                if len(held_d) and len(qids):
-                    fold(held_s, held_d)
-        for n, (sc, ii) in enumerate(best):
-            if len(ii):
-                yield pd.DataFrame({"query_id": np.repeat(qids[n], len(ii)), "item_id": ii, "score": sc})
 
-    return scan
+def _score_block(k: int, scored):
+    def best_of(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(scores > 0)
+        if len(at) > k:
+            at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k]]
+        return at[np.lexsort((ids[at], -scores[at]))][:k]
+
+    def score(postings: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = ([], [], [])
+        if len(postings) and len(asked):
+            ids, doc = np.unique(postings["id"].to_numpy(), return_inverse=True)
+            order = np.lexsort((doc, postings["t"].to_numpy()))
+            doc, impact = doc[order], postings["impact"].to_numpy()[order]
+            terms, start = np.unique(postings["t"].to_numpy()[order], return_index=True)
+            stop = np.append(start[1:], len(doc))
+            runs = len(ids) // MAXIMA_BLOCK + 1
+            maxima = np.zeros((len(terms), runs))
+            np.maximum.at(maxima, (np.repeat(np.arange(len(terms)), stop - start), doc // MAXIMA_BLOCK), impact)
+            place = {t: j for j, t in enumerate(terms.tolist())}
+            total = np.zeros(runs * MAXIMA_BLOCK)
+            for qid, mine in asked.groupby("qid", sort=True):
+                held = [(place[t], w) for t, w in zip(mine["t"].tolist(), mine["idf"].tolist()) if t in place]
+                if not held:
+                    continue
+                which, weight = np.array([j for j, _ in held]), np.array([w for _, w in held])
+                most = weight @ maxima[which]
+                first = np.zeros(runs, bool)
+                first[np.argsort(-most, kind="stable")[: max(1, runs // 8)]] = True
+                total[:] = 0
+                for chosen in (first, None):
+                    if chosen is None:  # what could still come up to the k-th best
+                        top = best_of(total[: len(ids)], ids)
+                        floor = total[top[-1]] if len(top) == k else 0.0
+                        chosen = ~first & (most >= floor * (1 - 1e-9))
+                    if not chosen.any():
+                        continue
+                    whole = chosen.all()
+                    for j, w in zip(which, weight):
+                        d, x = doc[start[j] : stop[j]], impact[start[j] : stop[j]]
+                        if not whole:
+                            keep = chosen[d // MAXIMA_BLOCK]
+                            d, x = d[keep], x[keep]
+                        total[d] += w * x
+                        if scored is not None:
+                            scored.add(len(d))
+                top = best_of(total[: len(ids)], ids)
+                out[0].append(np.full(len(top), qid))
+                out[1].append(ids[top])
+                out[2].append(total[top])
+        cols = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, (np.int64, np.int64, np.float64))]
+        return pd.DataFrame(dict(zip(("query_id", "item_id", "score"), cols)))
+
+    return score
 
 
 def fuse_ranks(a: DataFrame, b: DataFrame, k: int, offset: int = 60) -> DataFrame:

@@ -126,18 +126,6 @@ def test_session_gap_edges(spark):
     assert got == [1, 1, 2, 3]
 
 
-def test_co_purchase_with_huge_baskets(spark):
-    rnd = random.Random(1)
-    rows = [(b, i) for b in range(3) for i in range(60)] + [(b, rnd.randint(0, 80)) for b in range(3, 90) for _ in range(6)]
-    items = spark.createDataFrame(rows, "b int, i int")
-    same(joins.co_purchase(items, "b", "i", 5, 10_000, big_basket=20), joins.co_purchase(items, "b", "i", 5, 10_000))
-    d = pd.DataFrame(rows, columns=["b", "i"]).drop_duplicates()
-    m = d.merge(d, on="b").query("i_x < i_y").groupby(["i_x", "i_y"]).size()
-    want = {k: n for k, n in m.items() if n >= 5}
-    got = {(r["item_a"], r["item_b"]): r["n"] for r in joins.co_purchase(items, "b", "i", 5, 10_000, big_basket=20).collect()}
-    assert got == want
-
-
 def test_knn_blocks(spark):
     rnd = random.Random(2)
     v = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(120)], "id long, vector array<double>")
