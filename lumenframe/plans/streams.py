@@ -10,26 +10,20 @@ DELAY = "1 hour"  # files come in time order, so only rows of one trigger are ou
 STRETCHES, STRETCH_ROWS = 8, 2_000_000
 
 
-def time_stretches(events):
-    """Conditions that cut the events at quantiles of their time: at least STRETCHES, of about STRETCH_ROWS rows at most."""
-    at = F.unix_micros("ts")
-    n = max(STRETCHES, -(-events.count() // STRETCH_ROWS))
-    cuts = events.agg(F.percentile_approx(at, [k / n for k in range(1, n)], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        after = F.lit(True) if low is None else at >= low
-        before = F.lit(True) if high is None else at < high
-        yield F.coalesce(after & before, F.lit(low is None))  # rows without a time come first
+def in_time_order(t, events, path, again=None):
+    """Hands the rows over to a stream's folder as a producer would leave them: a file for each stretch of time, oldest first.
+
+    One range partitioning by time and one write make all files, at least STRETCHES of about STRETCH_ROWS rows.
+    """
+    n = max(STRETCHES, -(-t.events.count() // STRETCH_ROWS))
+    staged = scratch_path(t.spark, "events-by-time")
+    events.repartitionByRange(n, "ts").sortWithinPartitions("ts").write.parquet(staged)  # rows without a time come first
+    return jobs.publish_in_order(t.spark, staged, path, again)
 
 
 def event_files(t, replay=False):
-    """The events as a producer would leave them: one file for each stretch of time, oldest first; ``replay`` sends one stretch twice."""
-    path = scratch_path(t.spark, "events-stream")
-    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    for k, stretch in enumerate(time_stretches(e)):
-        for _ in range(2 if replay and k == 1 else 1):
-            e.where(stretch).repartition(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
-    return path
+    """All events in order of time; ``replay`` sends one stretch twice."""
+    return in_time_order(t, t.events.withColumn("ts", F.col("ts").cast("timestamp")), scratch_path(t.spark, "events-stream"), 1 if replay else None)
 
 
 def stamp(c):
@@ -58,11 +52,11 @@ def sliding_window(t):
 
 @plan("I05 O01", """WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
   s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g), f AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS e, count(*) AS n FROM s GROUP BY user_id, sid)
-  SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n FROM f WHERE e < (SELECT max(ts) FROM events)""")
+  SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n FROM f WHERE e < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def session_window(t):
-    s = jobs.watermark(jobs.stream_source(t.spark, event_files(t)), "ts", "0 seconds")
+    s = jobs.watermark(jobs.stream_source(t.spark, event_files(t)), "ts", DELAY)
     w = jobs.sessions(s, ["user_id"], "ts", "30 minutes", [F.count("*").alias("n")])
-    # sessions still open at the end of the stream are not sent yet
+    # sessions still open, or not past the delay, at the end of the stream are not sent yet
     return jobs.collect_stream(w, "append").select("user_id", stamp("start").alias("start"), "n")
 
 
@@ -87,8 +81,7 @@ def late_data_policy(t):
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     span = e.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
     held_back = F.col("event_id") % 50 == 0
-    for stretch in time_stretches(e):
-        e.where(~held_back & stretch).repartition(1).write.mode("append").parquet(path)
+    in_time_order(t, e.where(~held_back), path)
     early = F.unix_micros("ts") < span["a"] + (span["b"] - span["a"]) // 4
     e.where(held_back & early).repartitionByRange("ts").write.mode("append").parquet(path)
     split = jobs.LateSplit(t.spark, "ts", "1 day")

@@ -29,3 +29,23 @@ def test_rows_do_not_depend_on_files(spark, scattered, name):
         assert compare(spark, oracle_connection(FOLDER), build, registry.oracles().get(name, plan.sql), scattered) == ""
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_one_write_makes_all_files_in_order(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from lumenframe.plans import streams
+    from lumenframe.sources.tables import Tables
+
+    writes, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **k: (writes.append(path), real(self, path, **k))[1])
+    monkeypatch.setattr(streams, "STRETCHES", 30)
+    tables = Tables(spark, FOLDER)
+    path = streams.event_files(tables, replay=True)
+    assert len(writes) == 1
+    seen = spark.read.parquet(path).select("ts", "event_id", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("changed"))
+    files = seen.groupBy("name", "changed").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).orderBy("changed").collect()
+    assert len(files) >= 25 and len({f.changed for f in files}) == len(files)
+    assert all(x.b <= y.a or (x.a, x.b, x.n) == (y.a, y.b, y.n) for x, y in zip(files, files[1:]))
+    assert sum(f.n for f in files) > tables.events.count() == seen.select("event_id").distinct().count()
