@@ -18,12 +18,21 @@ STOP_WORDS = {
     "fr": ("le", "la", "les", "des", "et", "est", "un", "une", "du", "que", "pour", "dans"),
 }
 
+_NAMES = r"[A-Z][A-Za-z'.-]*"
 # Shapes of personal data and the tag that replaces each.
 PERSONAL = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
     "card": (r"\b[0-9]{13,16}\b", "[CARD]"),
-    "address": (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[ADDRESS]"),
+    "ip": (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[IP]"),
     "phone": (r"\+?\b[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}\b", "[PHONE]"),
+    # number, names and kind of street; street with its kind and number; number, kind and name; kind, name and number
+    "address": (
+        rf"\b[0-9]{{1,5}}[A-Za-z]?,? (?:{_NAMES} ){{1,4}}(?:Street|Avenue|Road|Boulevard|Lane|Drive|Court|Square|Place|Terrace|Way|St|Ave|Rd|Blvd|Ln|Dr|Ct|Sq|Pl)\b\.?"
+        r"|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?\b"
+        r"|\b[0-9]{1,4},? (?:rue|avenue|boulevard|place|chemin|impasse) (?:(?:de|du|des|la|le|les) |[dl]'){0,3}[A-ZÀ-Ý][A-Za-zÀ-ÿ'-]+"
+        r"|\b(?:Calle|Avenida|Avda\.|Plaza|Paseo) (?:(?:de|del|la|las|los|el) ){0,3}[A-ZÁÉÍÓÚÑ][A-Za-zÀ-ÿ]+,? [0-9]{1,4}\b",
+        "[ADDRESS]",
+    ),
 }
 
 

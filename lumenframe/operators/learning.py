@@ -12,7 +12,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier)
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, IsotonicRegression,
@@ -231,6 +231,27 @@ def k_distance(points: DataFrame, k: int) -> DataFrame:
     return near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), (-F.col("score")).alias("distance"))
 
 
+# texts
+
+def text_classifier(docs: DataFrame, text: str, label: str, buckets: int = 1 << 16, iterations: int = 50, regularisation: float = 0.005, sparsity: float = 1.0):
+    """Logistic regression on which hashed words a text has, rare ones weighing more, fitted on all rows with a label (0 or 1).
+
+    The absolute penalty (``sparsity`` 1) leaves few words with a weight, as the words that mark a class are few.
+    """
+    stages = [
+        RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"[^\p{L}\p{N}]+", toLowercase=True), HashingTF(inputCol="_w", outputCol="_h", numFeatures=buckets, binary=True),
+        IDF(inputCol="_h", outputCol="_f", minDocFreq=2), LogisticRegression(featuresCol="_f", labelCol="_y", probabilityCol="_p", maxIter=iterations, regParam=regularisation, elasticNetParam=sparsity),
+    ]
+    rows = docs.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(label).cast("double").alias("_y"))
+    return Pipeline(stages=stages).fit(rows)
+
+
+def text_scores(model: PipelineModel, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, score``: the probability of label 1; null texts count as empty."""
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    return model.transform(rows).select(key, vector_to_array("_p")[1].alias("score"))
+
+
 # anomalies
 
 def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 50, sample: int = 256, seed: int = 1) -> DataFrame:

@@ -394,3 +394,19 @@ def rows_of_keys(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataF
     rest = counted.join(F.broadcast(hot), key, "left_anti").select(key)
     crowded, others = rows.join(F.broadcast(hot), key, "left_semi"), rows.join(F.broadcast(hot), key, "left_anti")
     return crowded.unionByName(others.join(rest, key, "left_semi"))
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join with a table of one row per key. Keys are not null.
+
+    Keys that hold more than one in ``MOST_SENT_KEYS`` of the rows are fewer than that; their part of the table is broadcast, and their rows stay in their tasks. The others are
+    joined by a shuffle in which no key is large.
+    """
+    keys = list(keys)
+    counted = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    least = max((counted.agg(F.sum("_n")).first()[0] or 0) // MOST_SENT_KEYS, hot_rows_of(rows, None) // 100)
+    hot = counted.where(F.col("_n") > least).select(*keys)
+    if hot.isEmpty():
+        return rows.join(table, keys, "left")
+    crowded = rows.join(F.broadcast(hot.join(table, keys, "left")), keys)
+    return crowded.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, "left"))

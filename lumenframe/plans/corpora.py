@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from lumenframe.operators import corpus as cp
+from lumenframe.operators import language_models as lm
+from lumenframe.operators import learning as ml
 from lumenframe.operators import passages
+from lumenframe.plans.hashing import crc32
 from lumenframe.plans.registry import plan
 
 WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -54,6 +57,39 @@ def language_bucket(t):
     return got.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang", "language").agg(F.count("*").alias("n"))
 
 
+@plan("T04", f"""WITH d AS (SELECT doc_id, lang, list_transform(string_split(text, ''), lambda x: unicode(x)) AS c, {crc32("doc_id::VARCHAR")} % 5 = 0 AS held_out FROM documents),
+  g AS (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 16384)) AS b FROM d),
+  n AS (SELECT lang AS language, b, count(*) AS n FROM g WHERE NOT held_out GROUP BY ALL), z AS (SELECT language, sum(n) + 16384 AS total FROM n GROUP BY 1),
+  s AS (SELECT doc_id, z.language, avg(ln((coalesce(n, 0) + 1) / total)) AS score FROM g CROSS JOIN z LEFT JOIN n ON n.language = z.language AND n.b = g.b GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) AS place, score - lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, language) AS margin FROM s)
+  SELECT doc_id, lang, held_out, language, round(score, 6) AS score, round(margin, 6) AS margin FROM d LEFT JOIN (SELECT * FROM r WHERE place = 1) USING (doc_id)""")
+def language_profiles(t):
+    """Learned from four fifths of the rows."""
+    d = t.documents
+    out = lm.held_out(F.col("doc_id"))
+    found = lm.language_of(d, "doc_id", "text", lm.fit_profiles(d.where(~out), "text", "lang"))
+    return found.join(d.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", out.alias("held_out"), "language", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+
+
+@plan("T05", f"""WITH w AS (SELECT doc_id, {LOW_WORDS} AS ws FROM documents), p AS (SELECT doc_id, CASE WHEN i = 1 THEN '' ELSE ws[i - 1] END AS v, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+  g AS (SELECT p.* FROM p JOIN labels USING (doc_id) WHERE quality = 1), u AS (SELECT w, count(*) AS c FROM g GROUP BY w), z AS (SELECT sum(c) + count(*) + 1 AS total FROM u),
+  c AS (SELECT v, count(*) AS cv FROM g WHERE v <> '' GROUP BY v), b AS (SELECT v, w, count(*) AS cvw FROM g WHERE v <> '' GROUP BY ALL),
+  x AS (SELECT doc_id, round(exp(-avg(ln((coalesce(cvw, 0) + 10 * (coalesce(c, 0) + 1) / total) / (coalesce(cv, 0) + 10)))), 4) AS perplexity FROM p LEFT JOIN b USING (v, w) LEFT JOIN u USING (w) LEFT JOIN c USING (v), z GROUP BY doc_id)
+  SELECT doc_id, perplexity, perplexity BETWEEN (SELECT quantile_cont(perplexity, 0.05) FROM x) AND (SELECT quantile_cont(perplexity, 0.95) FROM x) AS keep FROM x""")
+def bigram_perplexity_filter(t):
+    good = t.documents.join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    p = lm.bigram_perplexity(t.documents, "doc_id", "text", good).withColumn("perplexity", F.round("perplexity", 4))
+    return cp.two_sided(p, "perplexity", 0.05, 0.95)
+
+
+@plan("T07")
+def toxicity_classifier(t):
+    """Scores of all documents by a model of the labelled ones but a fifth, which is held out."""
+    out = lm.held_out(F.col("doc_id"))
+    known = t.documents.join(t.labels.select("doc_id", "toxic"), "doc_id").where(~out)
+    return ml.text_scores(ml.text_classifier(known, "text", "toxic"), t.documents, "doc_id", "text").select("doc_id", out.alias("held_out"), "score")
+
+
 @plan("T05", f"""WITH w AS (SELECT doc_id, unnest({LOW_WORDS}) AS word FROM documents), m AS (SELECT word, count(*) AS seen FROM w JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY word),
   s AS (SELECT sum(seen) + count(*) + 1 AS d FROM m), p AS (SELECT doc_id, round(exp(-avg(ln((coalesce(seen, 0) + 1) / d))), 4) AS perplexity FROM w LEFT JOIN m USING (word), s GROUP BY doc_id)
   SELECT doc_id, perplexity, perplexity BETWEEN (SELECT quantile_cont(perplexity, 0.05) FROM p) AND (SELECT quantile_cont(perplexity, 0.95) FROM p) AS keep FROM p""")
@@ -78,6 +114,7 @@ def heuristic_filter(t):
 def _redacted():
     text, counts = "text", []
     for kind, (pattern, tag) in cp.PERSONAL.items():
+        pattern = pattern.replace("'", "''")
         counts.append(f"len(regexp_extract_all({text}, '{pattern}')) AS {kind}")
         text = f"regexp_replace({text}, '{pattern}', '{tag}', 'g')"
     return f"SELECT doc_id, md5({text}) AS digest, {', '.join(counts)} FROM documents"
