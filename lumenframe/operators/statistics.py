@@ -7,12 +7,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import pvalues as pv
 from lumenframe.functions.scalars import pearson_r, safe_divide
-from lumenframe.operators.scaling import attach_row, exact_quantiles, quantile_values, running, value_counts_prefix
+from lumenframe.operators.scaling import BLOCK_ROWS_DEFAULT, BLOCK_ROWS_KEY, attach_row, exact_quantiles, quantile_values, running, value_counts_prefix, with_totals
+from lumenframe.session import cut_lineage
 
 
 def _one(df: DataFrame, values: dict) -> DataFrame:
@@ -144,27 +146,65 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return _one(df, {"r": r, "n": n, "p_value": pv.t_two_sided(t, n - 2) if math.isfinite(t) else 0.0})
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, most: int = 1_000) -> DataFrame:
-    """Tau-b of two ordinal columns from prefix sums over their contingency table."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").cast("double").alias("n"))
-    levels = [r[0] for r in cells.select(y).distinct().limit(most + 1).collect()]
-    if len(levels) > most:
-        raise ValueError("tau-b here is for ordinal columns; bin the second column first")
-    grid = cells.select(x).distinct().withColumn(y, F.explode(F.array(*[F.lit(v) for v in levels])))
-    dense = grid.join(cells, [x, y], "left").na.fill({"n": 0.0})
-    row = running(dense, [x], [y], {"left": ("sum", "n", "before")}).na.fill({"left": 0.0})
-    both = running(row, [y], [x], {"below": ("sum", "left", "before")}).na.fill({"below": 0.0})
-
-    def pairs(c):
-        return c * (c - 1) / 2
-
-    r = both.agg(F.sum(F.col("n") * F.col("below")).alias("conc"), F.sum(pairs(F.col("n"))).alias("txy"), F.sum("n").alias("n")).first()
-    tx = cells.groupBy(x).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n")))).first()[0]
-    ty = cells.groupBy(y).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n")))).first()[0]
-    n0 = r["n"] * (r["n"] - 1) / 2
-    disc = n0 - tx - ty + r["txy"] - r["conc"]
-    base = math.sqrt((n0 - tx) * (n0 - ty))
-    return _one(df, {"tau_b": (r["conc"] - disc) / base if base else 0.0, "concordant": r["conc"], "discordant": disc})
+def inversions(y: np.ndarray, n: np.ndarray) -> int:
+    """Weight of the pairs that stand in falling order, ``y`` before a smaller ``y``: halves of doubling size are merged, counting what stands in front."""
+    found, place, step = 0, np.arange(len(y)), 1
+    while step < len(y):
+        group, right = place // (2 * step), (place // step) % 2
+        order = np.lexsort((right, y, group))
+        g, r, w = group[order], right[order], n[order]
+        left = np.where(r == 0, w, 0)
+        upto = np.cumsum(left)
+        total = np.bincount(group, weights=np.where(right == 0, n, 0)).astype(np.int64)
+        before = upto - np.concatenate([[0], np.cumsum(total)])[g]
+        above = (total[g] - before) * (r == 1)
+        found += int((w * above).sum()) if float(w.max()) * float(above.max()) * len(w) < 9e18 else sum(int(a) * int(b) for a, b in zip(w, above))
+        step *= 2
+    return found
+
+
+def discordant_pairs(cells: DataFrame) -> int:
+    """Weight of the pairs of rows ``x, y, n`` with a larger ``x`` and a smaller ``y``.
+
+    The rows are cut by ``x`` and ``y`` into ranges of about ``lumenframe.blockRows`` rows. A task counts inside its range; then neighbouring halves are merged level by level: a running sum along
+    ``y`` tells how much of the lower half a row of the upper one has not passed. Levels grow with the logarithm of the number of ranges.
+    """
+    rows = int(cells.sparkSession.conf.get(BLOCK_ROWS_KEY, str(BLOCK_ROWS_DEFAULT)))
+    blocks = max(1, -(-cells.count() // rows))
+    cut = cut_lineage(cells.repartitionByRange(blocks, "x", "y").sortWithinPartitions("x", "y").withColumn("block", F.spark_partition_id()))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        found = inversions(table["y"].to_numpy(), table["n"].to_numpy()) if table else 0
+        yield pa.RecordBatch.from_pydict({"found": [str(found)]})
+
+    exact = "decimal(38,0)"
+    total = int(cut.select("y", "n").mapInArrow(inside, "found string").agg(F.sum(F.col("found").cast(exact))).first()[0] or 0)
+    level = 0
+    while 1 << level < blocks:
+        half = F.shiftright("block", level + 1).alias("g"), F.shiftright("block", level).bitwiseAND(F.lit(1)).alias("right")
+        sums = cut.groupBy(*half, "y").agg(F.sum("n").alias("n")).withColumn("low", F.when(F.col("right") == 0, F.col("n")).otherwise(0))
+        passed = running(sums, ["g"], ["y", "right"], {"passed": ("sum", "low")})
+        above = with_totals(passed, ["g"], [F.sum("low").alias("all")]).where("right = 1")
+        total += int(above.agg(F.sum(F.col("n").cast(exact) * (F.col("all") - F.col("passed")))).first()[0] or 0)
+        level += 1
+    return total
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Tau-b of two columns of any number of levels; nulls are left out."""
+    kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    cells = cut_lineage(kept.groupBy("x", "y").agg(F.count("*").alias("n")))
+
+    def ties(*by: str) -> int:
+        n = F.col("n").cast("decimal(19,0)")
+        return int((cells.groupBy(*by).agg(F.sum("n").alias("n")) if by else cells.agg(F.sum("n").alias("n"))).agg(F.sum(n * (n - 1))).first()[0] or 0) // 2
+
+    disc = discordant_pairs(cells)
+    n0, tx, ty, both = ties(), ties("x"), ties("y"), ties("x", "y")
+    conc = n0 - tx - ty + both - disc
+    base = math.sqrt(n0 - tx) * math.sqrt(n0 - ty)
+    return _one(df, {"tau_b": (conc - disc) / base if base else 0.0, "concordant": conc, "discordant": disc})
 
 
 def normality(df: DataFrame, group: str, value: str, a, b) -> DataFrame:

@@ -84,6 +84,18 @@ def kendall_tau(t):
     return _r(st.kendall_tau_b(t.labels, "quality", "toxic"), 6)
 
 
+@plan("N07", """WITH c AS (SELECT l_quantity AS x, l_extendedprice AS y, count(*) AS n FROM lineitem GROUP BY ALL), l AS (SELECT DISTINCT x FROM c), v AS (SELECT DISTINCT y FROM c),
+  g AS (SELECT l.x, v.y, sum(coalesce(n, 0)) OVER (PARTITION BY l.x ORDER BY v.y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM l CROSS JOIN v LEFT JOIN c ON c.x = l.x AND c.y = v.y),
+  k AS (SELECT y, x, sum(coalesce(above, 0)) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS worse FROM g),
+  d AS (SELECT sum(n * coalesce(worse, 0))::DOUBLE AS disc FROM c JOIN k USING (x, y)), t AS (SELECT sum(n) * (sum(n) - 1) / 2 AS n0, sum(n * (n - 1)) / 2 AS txy FROM c),
+  tx AS (SELECT sum(s * (s - 1) / 2) AS t FROM (SELECT sum(n) AS s FROM c GROUP BY x)), ty AS (SELECT sum(s * (s - 1) / 2) AS t FROM (SELECT sum(n) AS s FROM c GROUP BY y)),
+  r AS (SELECT n0, tx.t AS tx, ty.t AS ty, (n0 - tx.t - ty.t + txy - disc)::DOUBLE AS conc, disc FROM d, t, tx, ty)
+  SELECT round((conc - disc) / (sqrt(n0 - tx) * sqrt(n0 - ty)), 6) AS tau_b, conc AS concordant, disc AS discordant FROM r""")
+def kendall_tau_prices(t):
+    """Two columns of very many levels."""
+    return _r(st.kendall_tau_b(t.lineitem, "l_quantity", "l_extendedprice"), 6)
+
+
 @plan("N08", """WITH m AS (SELECT l_returnflag AS g, count(*) AS n, avg(l_quantity) AS m FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1), c AS (SELECT g, n, avg(pow(l_quantity - m, 2)) AS m2, avg(pow(l_quantity - m, 3)) AS m3, avg(pow(l_quantity - m, 4)) AS m4
   FROM lineitem JOIN m ON g = l_returnflag GROUP BY g, n) SELECT g AS sample, round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / pow(m2, 2) - 3, 2) / 4), 4) AS jb FROM c""")
 def normality_test(t):

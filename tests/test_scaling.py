@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import udfs
-from lumenframe.operators import business, joins, learning, retrieval, windows
+from lumenframe.operators import business, joins, learning, retrieval, statistics, windows
 from lumenframe.operators import scaling as sc
 
 
@@ -126,6 +126,24 @@ def test_session_gap_edges(spark):
     assert got == [1, 1, 2, 3]
 
 
+@pytest.mark.parametrize("block", ["2000000", "7", "64"])
+def test_kendall_by_ranges(spark, block):
+    rnd = random.Random(6)
+    rows = [(rnd.randint(0, 25), rnd.choice([rnd.random(), float(rnd.randint(0, 9))])) for _ in range(500)] + [(None, 1.0), (3, None)] + [(4, 4.0)] * 60
+    whole = [r for r in rows if None not in r]
+    pairs = [((a[0] - b[0]) * (a[1] - b[1])) for i, a in enumerate(whole) for b in whole[:i]]
+    spark.conf.set("lumenframe.blockRows", block)
+    spark.conf.set("lumenframe.hotRows", "50")
+    try:
+        got = statistics.kendall_tau_b(spark.createDataFrame(rows, "x int, y double").repartition(3), "x", "y").first()
+    finally:
+        spark.conf.unset("lumenframe.blockRows")
+        spark.conf.unset("lumenframe.hotRows")
+    assert (got.concordant, got.discordant) == (sum(p > 0 for p in pairs), sum(p < 0 for p in pairs))
+    none = statistics.kendall_tau_b(spark.createDataFrame([], "x int, y double"), "x", "y").first()
+    assert tuple(none) == (0.0, 0.0, 0.0)
+
+
 def test_knn_blocks(spark):
     rnd = random.Random(2)
     v = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(120)], "id long, vector array<double>")
