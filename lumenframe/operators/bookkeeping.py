@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.scalars import safe_divide
 from lumenframe.operators.scaling import attach_row, neighbours, ranked, running, top_per_group
 from lumenframe.operators.windows import running_best
+from lumenframe.sources.keyed_table import FILE_ROWS, KeyedTable
 
 
 def overwrite_partition(df: DataFrame, path: str, partition: str) -> None:
@@ -55,14 +56,18 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], orde
     return target.join(newest.select(*keys), list(keys), "left_anti").unionByName(newest)
 
 
-def incremental(spark: SparkSession, root: str, source: DataFrame, keys: Sequence[str], ts: str, lookback: str = "3 days", order: Sequence[str] = ()) -> int:
-    """Merge source rows newer than the high-water mark minus the lookback; the first run takes all."""
-    if not versions(spark, root):
-        return write_version(top_per_group(source, keys, [*order, "-" + ts], 1), root)
-    target = read_version(spark, root)
-    high = target.agg(F.max(ts).alias("_high"))
-    recent = attach_row(source, high).where(F.col(ts) >= F.col("_high") - F.expr(f"interval {lookback}")).drop("_high")
-    return write_version(merge_upsert(target, recent, keys, [*order, "-" + ts]), root)
+def incremental(spark: SparkSession, root: str, source: DataFrame, keys: Sequence[str], ts: str, lookback: str = "3 days", order: Sequence[str] = (), file_rows: int = FILE_ROWS) -> KeyedTable:
+    """Merge source rows newer than the high-water mark minus the lookback into the keyed table at ``root``; the first run takes all.
+
+    The mark comes from the table's manifest, and only files that hold a key of those rows are rewritten.
+    """
+    table = KeyedTable(spark, root, keys, ts, file_rows)
+    listed = table.manifest()
+    if listed is not None:
+        high = listed.agg(F.max("mark").alias("_high"))
+        source = attach_row(source, high).where(F.col(ts) >= F.col("_high") - F.expr(f"interval {lookback}")).drop("_high")
+    table.merge(source, [*order, "-" + ts])
+    return table
 
 
 def backfill(days: Sequence[str], build: Callable[[str], DataFrame], path: str, partition: str) -> None:
@@ -83,8 +88,7 @@ def materialize(df: DataFrame, how: str, name: str, root: str, keys: Sequence[st
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         return spark.read.parquet(f"{root}/{name}")
     if how == "incremental":
-        incremental(spark, f"{root}/{name}", df, keys, ts)
-        return read_version(spark, f"{root}/{name}")
+        return incremental(spark, f"{root}/{name}", df, keys, ts).read()
     raise ValueError(how)
 
 

@@ -7,6 +7,7 @@ from lumenframe.functions import udfs
 from lumenframe.operators import bookkeeping as bk
 from lumenframe.operators.scaling import neighbours
 from lumenframe.plans.registry import plan
+from lumenframe.sources.keyed_table import KeyedTable
 from lumenframe.session import scratch_path
 
 
@@ -39,13 +40,25 @@ def merge_upsert(t):
     return bk.merge_upsert(c.where(F.col("c_custkey") % 5 != 0), src.unionByName(older), ["c_custkey"], ["-rev"]).select("c_custkey", "c_acctbal")
 
 
+@plan("V02", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0""")
+def keyed_merge(t):
+    """The same merge into a stored table of key ranges."""
+    c = t.customer.select("c_custkey", "c_acctbal", F.lit(1).alias("rev"))
+    src = c.where(F.col("c_custkey") % 3 == 0).select("c_custkey", (F.col("c_acctbal") + 1).cast(c.schema["c_acctbal"].dataType).alias("c_acctbal"), F.lit(2).alias("rev"))
+    older = src.select("c_custkey", (F.col("c_acctbal") - 7).cast(c.schema["c_acctbal"].dataType).alias("c_acctbal"), F.lit(1).alias("rev"))
+    table = KeyedTable(t.spark, scratch_path(t.spark, "keyed"), ["c_custkey"])
+    table.merge(c.where(F.col("c_custkey") % 5 != 0))
+    table.merge(src.unionByName(older), ["-rev"])
+    return table.read().select("c_custkey", "c_acctbal")
+
+
 @plan("V03", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids, round(sum(value), 2) AS total, 3 AS versions FROM events")
 def incremental_load(t):
     root = scratch_path(t.spark, "incremental")
     for until in ("2024-01-12", "2024-01-21", "2024-02-01"):
-        bk.incremental(t.spark, root, t.events.where(F.col("ts") < F.lit(until).cast("timestamp_ntz")), ["event_id"], "ts")
-    return bk.read_version(t.spark, root).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.round(F.sum("value"), 2).alias("total"),
-                                              F.lit(len(bk.versions(t.spark, root))).alias("versions"))
+        table = bk.incremental(t.spark, root, t.events.where(F.col("ts") < F.lit(until).cast("timestamp_ntz")), ["event_id"], "ts")
+    return table.read().agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.round(F.sum("value"), 2).alias("total"),
+                                              F.lit(len(table.versions())).alias("versions"))
 
 
 @plan("V04", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08' GROUP BY ALL")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from lumenframe.operators.scaling import ranked, top_per_group
 from lumenframe.session import scratch_path
+from lumenframe.sources.keyed_table import FILE_ROWS, KeyedTable
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -101,18 +102,16 @@ def collect_stream(stream: DataFrame, mode: str = "append", keys: Sequence[str]
 
 
 class UpsertSink:
-    """Latest value per key. Each batch is stored under its id, so a replay changes nothing."""
+    """Latest value per key in a keyed table. A batch is merged under its id, so a replay changes nothing, and rewrites only the files that hold its keys."""
 
-    def __init__(self, spark: SparkSession, keys: Sequence[str], order: str):
-        self.spark, self.keys, self.order = spark, list(keys), order
-        self.path = scratch_path(spark, "upsert")
+    def __init__(self, spark: SparkSession, keys: Sequence[str], order: str, file_rows: int = FILE_ROWS):
+        self.table, self.order = KeyedTable(spark, scratch_path(spark, "upsert"), keys, file_rows=file_rows), order
 
     def __call__(self, df: DataFrame, batch: int) -> None:
-        top_per_group(df, self.keys, ["-" + self.order], 1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        self.table.merge(df, ["-" + self.order], against_target=True, tag=batch)
 
     def read(self) -> DataFrame:
-        got = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        return top_per_group(got, self.keys, ["-" + self.order, "-batch"], 1).drop("batch")
+        return self.table.read()
 
 
 class LateSplit:
