@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import words
-from lumenframe.operators.scaling import split_join
+from lumenframe.operators.scaling import split_join, spread
 from lumenframe.session import scratch_path
 
 #: Stands before the first word; no word is empty.
 START = ""
+#: Vocabularies of at most so many words are broadcast whole, some tens of megabytes.
+SMALL_WORDS = 1_000_000
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -25,36 +27,35 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _bigrams(df: DataFrame, text: str, *by: str) -> DataFrame:
-    """``before, word, n`` of each text (or of all): how often the word stands behind the other."""
+    """``before, word`` of every place of each text."""
     def zipped(w: Column) -> Column:
         return F.arrays_zip(F.concat(F.array(F.lit(START)), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))).alias("before"), w.alias("word"))
 
     w = words(F.lower(F.col(text)))
     # the outer transform binds the word list, so that a text is split once
     each = F.element_at(F.transform(F.array(F.coalesce(w, F.array().cast("array<string>"))), lambda x: F.when(F.size(x) > 0, zipped(x))), 1)
-    rows = df.select(*by, F.explode(each).alias("p"))
-    return rows.select(*by, F.col("p.before").alias("before"), F.col("p.word").alias("word")).groupBy(*by, "before", "word").agg(F.count("*").alias("n"))
+    return df.select(*by, F.explode(each).alias("p")).select(*by, F.col("p.before").alias("before"), F.col("p.word").alias("word"))
 
 
 def bigram_perplexity(docs: DataFrame, key: str, text: str, good: DataFrame, k: float = 10.0) -> DataFrame:
     """``key, perplexity`` of each text with words under a bigram model of the texts of ``good`` (same columns).
 
     A word's share behind another is (count of the pair + k * share of the word alone) / (count of the other + k); the share alone is smoothed by one, and serves for first words and after
-    words that ``good`` doesn't have. Each distinct pair of the texts is scored once. Words that stand in very many pairs, and pairs in very many texts, meet
+    words that ``good`` doesn't have. Each distinct pair of the texts is scored once. Words that stand in very many pairs, and pairs at very many places, meet
     their counts by a small broadcast (``split_join``), all others by a shuffle, so a word in a third of all places fills no task. Rows with one key are one text.
     """
-    rows = _stored(_bigrams(docs, text, key), "bigram-rows")
-    model = _stored(_bigrams(good, text), "bigram-model")
+    rows = _stored(_bigrams(spread(docs.select(key, text)), text, key), "bigram-places")
+    model = _stored(_bigrams(spread(good.select(text)), text).groupBy("before", "word").agg(F.count("*").alias("n")), "bigram-model")
     alone = _stored(model.groupBy("word").agg(F.sum("n").alias("n_word")), "bigram-words")
     size = alone.agg(F.sum("n_word").alias("total"), F.count("*").alias("kinds")).first()
     share = (F.coalesce("n_word", F.lit(0)) + 1) / F.lit(float((size["total"] or 0) + size["kinds"] + 1))
     inner = model.where(F.col("before") != START)
-    behind = inner.groupBy("before").agg(F.sum("n").alias("n_before"))
-    pairs = _stored(rows.select("before", "word").distinct().join(inner.withColumnRenamed("n", "n_pair"), ["before", "word"], "left"), "bigram-pairs")
-    counted = split_join(split_join(pairs, alone, ["word"]), behind, ["before"])
+    behind = _stored(inner.groupBy("before").agg(F.sum("n").alias("n_before")), "bigram-befores")
+    pairs = rows.groupBy("before", "word").agg(F.count("*").alias("places")).join(inner.withColumnRenamed("n", "n_pair"), ["before", "word"], "left")
+    counted = split_join(split_join(_stored(pairs, "bigram-pairs"), alone, ["word"], small=SMALL_WORDS), behind, ["before"], small=SMALL_WORDS)
     p = (F.coalesce("n_pair", F.lit(0)) + k * share) / (F.coalesce("n_before", F.lit(0)) + k)
-    scored = _stored(counted.select("before", "word", F.log(p).alias("log_p")), "bigram-scores")
-    return split_join(rows, scored, ["before", "word"]).groupBy(key).agg(F.exp(-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("perplexity"))
+    scored = _stored(counted.select("before", "word", "places", F.log(p).alias("log_p")), "bigram-scores")
+    return split_join(rows, scored, ["before", "word"], "places").groupBy(key).agg(F.exp(-F.avg("log_p")).alias("perplexity"))
 
 
 # Languages by characters ---------------------------------------------------------------------------

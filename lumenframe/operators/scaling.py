@@ -396,16 +396,19 @@ def rows_of_keys(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataF
     return crowded.unionByName(others.join(rest, key, "left_semi"))
 
 
-def split_join(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+def split_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], n: str | None = None, small: int = 200_000) -> DataFrame:
     """Left join with a table of one row per key. Keys are not null.
 
-    Keys that hold more than one in ``MOST_SENT_KEYS`` of the rows are fewer than that; their part of the table is broadcast, and their rows stay in their tasks. The others are
-    joined by a shuffle in which no key is large.
+    A table that is counted to have at most ``small`` rows is broadcast whole. Else, keys that hold more than one in ``MOST_SENT_KEYS`` of the rows are fewer than that; their part of the table is
+    broadcast, and their rows stay in their tasks. The others are joined by a shuffle in which no key is large. ``n`` names a column of the table with each key's number of rows, if it is known and
+    every row has its key in the table.
     """
     keys = list(keys)
-    counted = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    if table.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(table), keys, "left")
+    counted = table.select(*keys, F.col(n).alias("_n")) if n else cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
     least = max((counted.agg(F.sum("_n")).first()[0] or 0) // MOST_SENT_KEYS, hot_rows_of(rows, None) // 100)
-    hot = counted.where(F.col("_n") > least).select(*keys)
+    hot = cut_lineage(counted.where(F.col("_n") > least).select(*keys))
     if hot.isEmpty():
         return rows.join(table, keys, "left")
     crowded = rows.join(F.broadcast(hot.join(table, keys, "left")), keys)

@@ -43,6 +43,8 @@ def test_bigrams_equal_the_definition_also_with_hot_words(spark, monkeypatch):
     for least in (None, 40):
         if least:
             monkeypatch.setattr(sc, "MOST_SENT_KEYS", least)
+            monkeypatch.setattr(sc.split_join, "__defaults__", (None, 3))
+            monkeypatch.setattr(lm, "SMALL_WORDS", 3)
             spark.conf.set("lumenframe.hotRows", "5")
         try:
             got = {x.id: round(x.perplexity, 6) for x in lm.bigram_perplexity(d, "id", "text", g, 4.0).collect()}
@@ -58,7 +60,7 @@ def test_a_word_in_a_third_of_all_places_stays_in_many_tasks(spark):
     table = spark.createDataFrame([("the", 1), ("w1", 2)], "word string, n long")
     spark.conf.set("lumenframe.hotRows", "100000")
     try:
-        joined = sc.split_join(rows, table, ["word"])
+        joined = sc.split_join(rows, table, ["word"], small=1)
         tasks = [r["count"] for r in joined.where("word = 'the'").groupBy(F.spark_partition_id()).count().collect()]
         assert joined.count() == 90_000 and joined.where("n = 1").count() == 30_000 and joined.where("n = 2").count() == 1
     finally:
