@@ -6,7 +6,8 @@ level hashes the numbers and hashes of ``fanout`` neighbouring nodes, up to one
 that differ, and compares records only in the ranges that are left: what it reads below the roots grows with the damage.
 
 Ranges are fixed by offset, not by record number, so no numbering of records is needed, a missing record disturbs one range, and a huge archive is many
-groups of bounded size: a range holds at most ``range_bytes`` records, a node at most ``fanout`` children.
+groups of bounded size: a range holds at most ``range_bytes`` records, a node at most ``fanout`` children. The records' digests and each level are written once, so a step down reads
+the stored nodes below the differing ones, and the last step reads the stored digests of the archives and offsets that are left.
 
 Null archives form one archive named ``''``; records without an offset are put at -1 of their archive; null lengths and digests count as 0 and
 ``''``. Repeated records count once; several different records at one offset are compared as a set. An empty replica lacks every archive.
@@ -82,26 +83,48 @@ def _differing(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.agg(one.alias("one"), two.alias("two")).filter(~F.col("one").eqNullSafe(F.col("two"))).select("archive", "node")
 
 
-def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
+#: Archives with differing ranges that are named one by one to the reader of the records; with more of them the join alone picks the rows.
+NAMED_ARCHIVES = 200
+
+
+def _within(bad: DataFrame, range_bytes: int) -> Column:
+    """What the reader of the records can skip by: the archives that are left, each from its first to its last differing range."""
+    spans = bad.groupBy("archive").agg(F.min("node").alias("a"), F.max("node").alias("b")).limit(NAMED_ARCHIVES + 1).collect()
+    if len(spans) > NAMED_ARCHIVES:
+        return F.lit(True)
+    found = F.lit(False)
+    for r in spans:
+        found |= (F.col("archive") == r["archive"]) & F.col("offset").between(r["a"] * range_bytes, (r["b"] + 1) * range_bytes - 1)
+    return found
+
+
+def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, seen: list[int] | None = None) -> DataFrame:
     """Records of two replicas that differ: ``archive, offset, kind, record_id, left_digest, right_digest``.
 
-    ``kind`` is changed (both have a record there), missing (only the left) or extra (only the right).
+    ``kind`` is changed (both have a record there), missing (only the left) or extra (only the right). ``seen`` gets the number of nodes that are compared at each
+    level from the roots down, and last the number of records.
     """
-    records = [records_of(left), records_of(right)]
+    records = [stored(records_of(r), "records") for r in (left, right)]
     levels = [[stored(leaves(r, range_bytes), "leaves") for r in records]]
     span = levels[0][0].unionByName(levels[0][1]).agg(F.min("node"), F.max("node")).first()
     low, high = (span[0] or 0), (span[1] or 0)
     while low != high or low not in (0, -1):  # up to the level where an archive has one node
-        levels.append([parents(x, fanout) for x in levels[-1]])
+        levels.append([stored(parents(x, fanout), "level") for x in levels[-1]])
         low, high = low // fanout, high // fanout
         if (low, high) == (-1, 0):  # records without an offset keep a root of their own
             break
-    bad = stored(_differing(*levels[-1]), "roots")
+    def noted(sides: list[DataFrame]) -> list[DataFrame]:
+        if seen is not None:
+            seen.append(sum(x.count() for x in sides))
+        return sides
+
+    bad = stored(_differing(*noted(levels[-1])), "roots")
     for level in reversed(levels[:-1]):
         above = bad.withColumnRenamed("node", "above")
         below = [x.withColumn("above", _place("node", fanout)).join(above, ["archive", "above"], "left_semi").drop("above") for x in level]
-        bad = stored(_differing(*below), "nodes")
-    inside = [r.withColumn("node", _place("offset", range_bytes)).join(bad, ["archive", "node"], "left_semi") for r in records]
+        bad = stored(_differing(*noted(below)), "nodes")
+    within = _within(bad, range_bytes)
+    inside = noted([r.filter(within).withColumn("node", _place("offset", range_bytes)).join(bad, ["archive", "node"], "left_semi") for r in records])
     rows = _side(inside[0], "a").unionByName(_side(inside[1], "b"))
     one_sided = rows.groupBy("archive", "offset", "length", "digest").agg(
         F.min("side").alias("side"), F.max("side").alias("other"), F.min("record_id").alias("record_id")).filter("side = other")

@@ -68,3 +68,20 @@ def test_records_of_pages(spark):
     got = {(r.record_id, r.kind) for r in kinds.collect()}
     gone = {k for k in range(3000) if k % 211 == 1}
     assert got == {(k, "missing") for k in gone} | {(k, "changed") for k in range(3000) if k % 97 == 13 and k not in gone} | {(k, "extra") for k in range(3000) if k % 307 == 2}
+
+
+def test_what_is_read_below_the_roots_follows_the_damage(spark, monkeypatch):
+    left = [(k, f"a{k % 3}", (k // 3) * 1000, 900, f"d{k}") for k in range(6000)]
+    counts = []
+    for damaged in (0, 1, 10):
+        seen = []
+        right = [(i, a, o, n, d + "!" if i in range(0, 600 * damaged, 600) else d) for i, a, o, n, d in left]
+        sides = [spark.createDataFrame(x, SCHEMA) for x in (left, right)]
+        assert fixity.audit(*sides, range_bytes=4000, fanout=4, seen=seen).count() == damaged
+        counts.append(seen)
+    none, one, ten = counts
+    assert none[0] == one[0] == ten[0] == 6 and sum(none[1:]) == 0
+    assert all(n <= 2 * 4 for n in one[1:]) and sum(one[1:]) < sum(ten[1:]) <= 10 * sum(one[1:]) < 600
+    monkeypatch.setattr(fixity, "NAMED_ARCHIVES", 1)
+    sides = [spark.createDataFrame(x, SCHEMA) for x in (left, left[6:])]
+    assert fixity.audit(*sides, range_bytes=4000, fanout=4).count() == 6
