@@ -1,14 +1,19 @@
-"""Text corpora and tuning data: duplicates, filters, reports, sampling, chat turns. Plain DataFrame expressions throughout."""
+"""Text corpora and tuning data: duplicates, filters, reports, sampling, chat turns. DataFrame expressions, but for the search for n-grams."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import words
+from lumenframe.operators.pairs import holds, marked, spot
+from lumenframe.operators.passages import runs, word_hashes
 from lumenframe.operators.scaling import exact_quantiles, join_nullsafe, ranked, with_totals
+from lumenframe.session import cut_lineage
 
 # Frequent short words that tell languages apart.
 STOP_WORDS = {
@@ -122,17 +127,35 @@ def redact_personal(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out
 
 
-def ngram_hits(docs: DataFrame, key: str, text: str, items: DataFrame, item_text: str, n: int) -> DataFrame:
-    """Number of distinct word n-grams that a document shares with any item; only documents with some."""
-    def runs(w):
-        each = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) >= n, F.array_distinct(each))
+#: Bits of the filter that n-grams of the items leave before texts are searched for them.
+GRAM_BITS = 24
 
-    def grams(df, column, *by):
-        # the outer transform splits a text once; inside the inner one the words are a variable
-        return df.select(*by, F.explode(F.flatten(F.array_compact(F.transform(F.array(words(F.lower(column))), runs)))).alias("gram"))
 
-    return grams(docs, text, key).join(grams(items, item_text).distinct(), "gram", "left_semi").groupBy(key).agg(F.count("*").alias("hits"))
+def ngram_hits(docs: DataFrame, key: str, text: str, items: DataFrame, item_text: str, n: int) -> DataFrame:
+    """Number of distinct word n-grams that a document shares with any item; only documents with some.
+
+    The items' n-grams set bits in a filter of fixed size. A task hashes the runs of words of its texts, and only those that the filter lets pass leave it, as written, and
+    are joined with the items' own.
+    """
+    def grams(column: str, bits=None, kind: str = "key string"):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, found, at = [], [], []
+                for k, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist()):
+                    w = (t or "").encode().split()
+                    spots = spot(runs(word_hashes(t or ""), n), GRAM_BITS)
+                    for place in range(len(spots)) if bits is None else np.flatnonzero(holds(bits.value, spots)).tolist():
+                        keys.append(k)
+                        found.append(b" ".join(w[place : place + n]))
+                        at.append(int(spots[place]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column("key").type), pa.array(found, pa.binary()), pa.array(at, pa.int64())], names=["key", "gram", "at"])
+
+        return lambda df, k: df.select(k.alias("key"), F.lower(F.col(column)).alias("t")).mapInArrow(run, f"{kind}, gram binary, at long")
+
+    wanted = cut_lineage(grams(item_text)(items, F.lit("")).select("gram", "at").distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(marked(wanted, "at", GRAM_BITS))
+    seen = grams(text, bits, f"key {docs.schema[key].dataType.simpleString()}")(docs, F.col(key))
+    return seen.join(wanted.select("gram"), "gram", "left_semi").distinct().groupBy(F.col("key").alias(key)).agg(F.count("*").alias("hits"))
 
 
 def mix_report(docs: DataFrame, by: Sequence[str], text: str) -> DataFrame:

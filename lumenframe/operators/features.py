@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from lumenframe.functions.scalars import clip, cyclical, is_weekend, safe_divide, seconds_between, weekday
 from lumenframe.operators.aggregates import corr_pairs, value_counts
-from lumenframe.operators.scaling import (attach_row, join_nullsafe, neighbours, quantile_values, running, spread,
+from lumenframe.operators.scaling import (attach_row, join_nullsafe, neighbours, quantile_values, running, split_join, spread,
                                           trailing, with_totals)
+from lumenframe.session import cut_lineage
 
 # numeric
 
@@ -207,13 +208,12 @@ def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def tfidf(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``tf / document length * ln(N / df)``."""
-    counts = term_counts(df, id_col, text)
-    lengths = df.select(id_col, F.size(terms(F.col(text))).alias("_len"))
-    seen = counts.groupBy("term").agg(F.count("*").alias("_df"))
+    """``tf / document length * ln(N / df)``. A text is split once; its length travels with its terms, and terms of very many texts meet their counts by a broadcast."""
+    split = spread(df.select(id_col, text)).select(id_col, terms(F.col(text)).alias("_w")).select(id_col, F.size("_w").alias("_len"), F.explode("_w").alias("term"))
+    counts = cut_lineage(split.groupBy(id_col, "_len", "term").agg(F.count("*").alias("tf")))
+    seen = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("_df")))
     n = df.count()
-    return (counts.join(seen, "term").join(lengths, id_col)
-            .select(id_col, "term", (F.col("tf") / F.col("_len") * F.log(F.lit(float(n)) / F.col("_df"))).alias("tfidf")))
+    return split_join(counts, seen, ["term"], "_df").select(id_col, "term", (F.col("tf") / F.col("_len") * F.log(F.lit(float(n)) / F.col("_df"))).alias("tfidf"))
 
 
 def word_ngrams(text: Column, n: int) -> Column:

@@ -212,6 +212,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: f
 
 def _score_block(k: int, scored):
     def best_of(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        scores = np.round(scores, 10)  # equal texts tie, whatever the order of their sums
         at = np.flatnonzero(scores > 0)
         if len(at) > k:
             at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k]]
@@ -258,7 +259,7 @@ def _score_block(k: int, scored):
                 top = best_of(total[: len(ids)], ids)
                 out[0].append(np.full(len(top), qid))
                 out[1].append(ids[top])
-                out[2].append(total[top])
+                out[2].append(np.round(total[top], 10))
         cols = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, (np.int64, np.int64, np.float64))]
         return pd.DataFrame(dict(zip(("query_id", "item_id", "score"), cols)))
 
@@ -343,15 +344,26 @@ def position_ctr(shown: DataFrame, rank: str, clicked: Column) -> DataFrame:
     return attach_row(r, top).select(rank, "shown", "ctr", safe_divide(F.col("_top"), F.col("ctr")).alias("weight"))
 
 
-def shared_attribute_components(edges: DataFrame, entity: str, attribute: str, max_rounds: int = 50) -> DataFrame:
+def hashed_terms(docs: DataFrame, buckets: int = 128) -> DataFrame:
+    """``id, vector``: how often terms of each hash bucket (CRC-32) stand in a text."""
+    places = F.transform(terms(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.crc32(w.cast("binary")) % buckets)
+
+    @F.pandas_udf("array<double>")
+    def counted(found: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(np.asarray(x, np.int64), minlength=buckets).astype(float) for x in found])
+
+    return docs.select("id", counted(places).alias("vector"))
+
+
+def shared_attribute_components(edges: DataFrame, entity: str, attribute: str) -> DataFrame:
     """Entities linked through shared attributes get the smallest linked entity as ``component``.
 
     Labels flow entity to attribute to entity (two partial aggregations, no pair list), then every
-    label is replaced by its own label, which halves long chains.
+    label is replaced by its own label, which halves long chains. It ends when no label changes.
     """
     e = cut_lineage(edges.select(entity, attribute).where(F.col(attribute).isNotNull()).distinct())
     labels = e.select(entity).distinct().withColumn("component", F.col(entity))
-    for _ in range(max_rounds):
+    while True:
         via = e.join(labels, entity).groupBy(attribute).agg(F.min("component").alias("_m"))
         low = e.join(via, attribute).groupBy(entity).agg(F.min("_m").alias("_m"))
         step = labels.join(low, entity).select(entity, F.least("component", "_m").alias("_c"), F.col("component").alias("_old"))
@@ -360,7 +372,4 @@ def shared_attribute_components(edges: DataFrame, entity: str, attribute: str, m
         done = nxt.where(F.col("component") != F.col("_old")).isEmpty()
         labels = nxt.drop("_old")
         if done:
-            break
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
-    return labels
+            return labels

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from lumenframe.functions import scalars as fn
 from lumenframe.operators import retrieval as rt
 from lumenframe.operators.neighbours import nearest
+from lumenframe.plans.hashing import crc32
 from lumenframe.plans.registry import plan
 from lumenframe.plans.scoring import NEAR, vectors
 
@@ -16,7 +16,7 @@ def _r(df, digits, *keep):
 W = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 BM25 = f"""d AS (SELECT doc_id, {W} AS w FROM documents), dl AS (SELECT doc_id, len(w) AS len, avg(len(w)) OVER () AS avgdl, count(*) OVER () AS n FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT DISTINCT item_id AS qid, unnest({W}) AS term FROM benchmark),
-  s AS (SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS s FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id) GROUP BY ALL),
+  s AS (SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 10) AS s FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id) GROUP BY ALL),
   b AS (SELECT qid AS query_id, doc_id AS item_id, s AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS rank FROM s QUALIFY rank <= 10)"""
 
 
@@ -24,9 +24,9 @@ def _docs(t):
     return t.documents.select(F.col("doc_id").alias("id"), "text"), t.benchmark.select(F.col("item_id").alias("id"), "text")
 
 
-@plan("U01", f"WITH {BM25} SELECT query_id, rank, round(score, 5) AS score FROM b")
+@plan("U01", f"WITH {BM25} SELECT query_id, item_id, rank, round(score, 5) AS score FROM b")
 def bm25_topk(t):
-    return rt.bm25_topk(*_docs(t), 10).select("query_id", "rank", F.round("score", 5).alias("score"))
+    return rt.bm25_topk(*_docs(t), 10).select("query_id", "item_id", "rank", F.round("score", 5).alias("score"))
 
 
 @plan("U01", f"WITH d AS (SELECT doc_id, unnest({W}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM d GROUP BY ALL) SELECT term, count(*) AS docs, sum(tf)::BIGINT AS uses FROM p GROUP BY term ORDER BY docs DESC, term LIMIT 200")
@@ -91,17 +91,18 @@ def knn_regress(t):
     return _r(rt.knn_regress(v, v, "label", 5), 6, "query_id")
 
 
-@plan("U04")
+@plan("U04", f"""WITH {BM25.replace("rank <= 10", "rank <= 20")}, t AS (SELECT term, {crc32("term")} % 128 AS bkt FROM (SELECT DISTINCT unnest({W}) AS term FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark))),
+  x AS (SELECT doc_id AS id, bkt, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest({W}) AS term FROM documents) JOIN t USING (term) GROUP BY ALL), y AS (SELECT item_id AS id, bkt, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest({W}) AS term FROM benchmark) JOIN t USING (term) GROUP BY ALL),
+  xn AS (SELECT id, sqrt(sum(n * n)) AS len FROM x GROUP BY id), yn AS (SELECT id, sqrt(sum(n * n)) AS len FROM y GROUP BY id),
+  dots AS (SELECT y.id AS query_id, x.id AS item_id, sum(x.n * y.n) AS dot FROM x JOIN y USING (bkt) GROUP BY ALL),
+  v AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY dot / xn.len / yn.len DESC, item_id) AS rank FROM dots JOIN xn ON xn.id = item_id JOIN yn ON yn.id = query_id QUALIFY rank <= 20),
+  f AS (SELECT query_id, item_id, sum(1 / (60 + rank)) AS score FROM (SELECT query_id, item_id, rank FROM b UNION ALL SELECT query_id, item_id, rank FROM v) GROUP BY ALL)
+  SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f QUALIFY rank <= 10""")
 def hybrid_search(t):
-    """Keyword list and document-length-vector list of the same queries, fused."""
+    """Keyword list and list by vectors of hashed terms of the same queries, fused."""
     docs, queries = _docs(t)
-    words = rt.bm25_topk(docs, queries, 20)
-
-    def shape(df):
-        x = F.col("text")
-        return df.select("id", F.array(fn.text_length(x).cast("double"), fn.word_count(x).cast("double"), fn.unique_words(x).cast("double")).alias("vector"))
-
-    return rt.fuse_ranks(words, rt.cosine_topk(shape(queries), shape(docs), 20), 10)
+    near = nearest(rt.hashed_terms(queries), rt.hashed_terms(docs), 20, skip_self=False)
+    return rt.fuse_ranks(rt.bm25_topk(docs, queries, 20), near, 10).select("query_id", "item_id", F.round("score", 9).alias("score"), "rank")
 
 
 def co_bought(t):
@@ -167,10 +168,9 @@ def position_bias_ctr(t):
     return _r(rt.position_ctr(t.events.withColumn("rank", 1 + F.col("event_id") % 10), "rank", F.col("event_type") == "click"), 6, "rank", "shown")
 
 
-@plan("U12", """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS u, CAST(props->>'$.k' AS BIGINT) // 7 * 1000 + event_id // 2000 AS a FROM events WHERE event_type = 'error'), n AS (SELECT DISTINCT x.u AS a, y.u AS b FROM e x JOIN e y ON x.a = y.a),
+@plan("U12", """WITH RECURSIVE n AS (SELECT DISTINCT x.user_id AS a, y.user_id AS b FROM events x JOIN events y ON x.value = y.value AND x.props = y.props),
   r AS (SELECT a AS s, a AS v FROM n UNION SELECT s, b FROM r JOIN n ON n.a = r.v) SELECT s AS user_id, min(v) AS component FROM r GROUP BY s""")
 def shared_attribute_components(t):
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    a = (F.floor(k / 7) * 1000 + F.floor(F.col("event_id") / 2000)).cast("bigint")
-    e = t.events.where(F.col("event_type") == "error").select("user_id", a.alias("a"))
+    """Users who have an event of the same properties and value in common."""
+    e = t.events.where("value IS NOT NULL AND props IS NOT NULL").select("user_id", F.struct("value", "props").alias("a"))
     return rt.shared_attribute_components(e, "user_id", "a")
