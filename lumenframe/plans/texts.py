@@ -214,6 +214,16 @@ def algorithm_mentions(t):
     return ct.algorithm_mentions(noted(t), "doc_id", "text").select("doc_id", "name", "description", "n_steps", "big_o")
 
 
+_CODE = [f"contains(lower(text), '{m}')::INT" for m in ct.ALGORITHM_MARKS]
+
+
+@plan("T25", f"""SELECT conv_id, turn, left(text, 50) AS name, md5(text) AS digest, {" + ".join(_CODE)} AS n_marks FROM conversations WHERE {" + ".join(_CODE)} >= 3""")
+def algorithms_in_code(t):
+    """Turns that read like code."""
+    b = t.conversations.select(F.struct("conv_id", "turn").alias("k"), "text")
+    return ct.algorithms_in_code(b, "k", F.col("text"), F.col("text")).select("k.conv_id", "k.turn", "name", F.md5("pseudocode").alias("digest"), "n_marks")
+
+
 LIBRARY_SQL = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}', 1)) AS m FROM n" for p in ct.LIBRARY)
 
 

@@ -198,3 +198,10 @@ def test_bootstrap_near_closed_form(spark):
     half = 1.96 * s[1] / math.sqrt(4000)
     assert abs(r["low"] - (s[0] - half)) < 0.3 * half and abs(r["high"] - (s[0] + half)) < 0.3 * half
     assert r == st.bootstrap_ci(d.repartition(7), "x", rounds=400, seed=3).first()
+
+
+def test_algorithms_in_code(spark):
+    rows = [(1, "def f(x):\n  for y in x:\n    return y", "Sorting by hand " + "x" * 60), (2, "while true: loop", ""), (3, "IF a THEN b ELSE c\nRETURN d", None), (4, "x = 1", "none"), (5, None, None)]
+    b = spark.createDataFrame(rows, "id long, code string, said string")
+    got = {r.id: (r.name, r.description, r.n_marks) for r in ct.algorithms_in_code(b, "id", F.col("code"), F.col("said")).collect()}
+    assert got == {1: (("Sorting by hand " + "x" * 60)[:50], "Sorting by hand " + "x" * 60, 3), 3: ("Detected Algorithm", "Algorithm from code", 3)}
