@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import clip, hash_unit, pearson_r, safe_divide, words
-from lumenframe.operators.features import word_ngrams
+from lumenframe.operators.features import terms, word_ngrams
 from lumenframe.operators.scaling import attach_row, exact_quantiles, join_nullsafe, neighbours, ranked, running, value_counts_prefix
 
 
@@ -235,7 +235,7 @@ def ngram_overlap(pairs: DataFrame, key: str, reference: str, candidate: str, n:
 
 def bleu(pairs: DataFrame, key: str, reference: str, candidate: str, max_n: int = 4) -> DataFrame:
     """Geometric mean of clipped n-gram precisions with brevity penalty (0 if any precision is 0)."""
-    out = pairs.select(key, F.size(words(F.lower(F.col(reference)))).alias("_r"), F.size(words(F.lower(F.col(candidate)))).alias("_c"))
+    out = pairs.select(key, F.size(terms(F.col(reference))).alias("_r"), F.size(terms(F.col(candidate))).alias("_c"))
     logs = F.lit(0.0)
     for n in range(1, max_n + 1):
         out = out.join(ngram_overlap(pairs, key, reference, candidate, n).select(key, F.col("precision").alias(f"_p{n}")), key)

@@ -17,13 +17,13 @@ def brute(docs, queries, k, k1=1.2, b=0.75):
     for q, t in queries:
         asked = {w for w in re.split(r"[\W_]+", (t or "").lower()) if w}
         score = {i: sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * (k1 + 1) / (c[w] + k1 * (1 - b + b * len(words[i]) / avg)) for w in asked if c[w]) for i, c in tf.items()}
-        best = sorted((-round(s, 9), i) for i, s in score.items() if s > 0)[:k]
+        best = sorted((-round(s, 10), i) for i, s in score.items() if s > 0)[:k]
         out |= {(q, i, rank + 1, -s) for rank, (s, i) in enumerate(best)}
     return out
 
 
 def got(df):
-    return {(r.query_id, r.item_id, r["rank"], round(r.score, 9)) for r in df.collect()}
+    return {(r.query_id, r.item_id, r["rank"], round(r.score, 10)) for r in df.collect()}
 
 
 def corpus(n, seed=4):

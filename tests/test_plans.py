@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives DuckDB's rows; the others give rows. Slow ones run with FULL=1."""
+"""Every registered query with SQL gives DuckDB's rows; the others give rows (their results are tested in test_model_properties)."""
 
 import os
 
@@ -9,9 +9,6 @@ import __spark_entry__ as entry
 from lumenframe.plans import registry
 
 FOLDER = os.environ.get("PLANS_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"classifiers", "elbow_and_gap", "grid_search", "word_embeddings", "clusterings", "importance_and_ablation", "feature_selection",
-        "rerank_candidates", "impute_iterative", "tree_regressors", "learning_curve", "one_vs_rest", "boosting_early_stop", "velocity_state",
-        "generalized_linear", "naive_bayes_kinds", "discriminant_analysis", "feature_weights"}
 QUERIES, SQL = registry.callables(), registry.oracles()
 
 
@@ -22,8 +19,6 @@ def oracle():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan(spark, oracle, name):
-    if name in SLOW and not os.environ.get("FULL"):
-        pytest.skip("slow; FULL=1 runs it")
     if name in SQL:
         assert compare(spark, oracle, QUERIES[name], SQL[name], FOLDER) == ""
     else:
