@@ -182,50 +182,103 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
 
 
 class _Velocity(StatefulProcessor):
-    """Keeps the events of the last day per key; an event's counts are sent once the watermark has passed it.
+    """Trailing counts and sums of a key's events, sent once the watermark has passed an event.
 
-    Timers sit on whole minutes. The first timer that fires sends everything the watermark has passed;
-    the others of the same moment see that in ``sent`` and return at once.
+    The events of each minute are an entry of their own in a map state; a small value state has every minute's count and sum. Whole minutes of a frame are added up from those; only the event's own
+    minute and the two that the frames begin in are read row by row, so a step reads three minutes of rows however long the day is, and new rows rewrite their own minutes only. Minutes that no later
+    frame reaches are removed. Timers sit on whole minutes. The first timer that fires sends everything the watermark has passed; the others of the same moment see that in ``sent`` and return at once.
     """
 
-    HOUR, DAY = 3_600_000_000, 86_400_000_000
+    MINUTE, HOUR_MINUTES, DAY_MINUTES = 60_000_000, 60, 1440
     OUT = {"user_id": "int64", "event_id": "int64", "n_1h": "int64", "n_24h": "int64", "s_24h": "float64"}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", "us bigint, event_id bigint, value double")
+        self.rows = handle.getMapState("rows", "minute bigint", "us array<bigint>, ids array<bigint>, vals array<double>")
+        self.totals = handle.getValueState("totals", "minutes array<bigint>, n array<bigint>, s array<double>")
         self.sent = handle.getValueState("sent", "us bigint")
 
+    def _held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.totals.get() if self.totals.exists() else ([], [], [])
+        return tuple(np.array(x, kind) for x, kind in zip(found, (np.int64, np.int64, np.float64)))
+
+    @staticmethod
+    def _none() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def _minute(self, minute: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Times in order, ids and values of a minute."""
+        us, ids, values = (np.array(x, kind) for x, kind in zip(self.rows.getValue((minute,)), (np.int64, np.int64, np.float64)))
+        order = np.argsort(us, kind="stable")
+        return us[order], ids[order], values[order]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        minutes = set()
+        minutes, n, s = self._held()
+        count, total = dict(zip(minutes.tolist(), n.tolist())), dict(zip(minutes.tolist(), s.tolist()))
         for pdf in rows:
-            us = pdf["us"].astype("int64")
-            self.events.appendList([(int(u), int(e), float(v)) for u, e, v in zip(us, pdf["event_id"], pdf["value"])])
-            minutes.update(int(m) for m in (us // 60_000_000 + 1).unique())
-        for m in minutes:
-            self.handle.registerTimer(m * 60_000)
+            us = pdf["us"].to_numpy(np.int64)
+            at = us // self.MINUTE
+            for minute in np.unique(at).tolist():
+                mine = at == minute
+                fresh = (us[mine], pdf["event_id"].to_numpy(np.int64)[mine], pdf["value"].to_numpy(np.float64)[mine])
+                if minute in count:
+                    fresh = tuple(np.concatenate([np.array(old), new]) for old, new in zip(self.rows.getValue((minute,)), fresh))
+                self.rows.updateValue((minute,), tuple(x.tolist() for x in fresh))
+                count[minute] = len(fresh[0])
+                total[minute] = float(fresh[2].sum())
+                self.handle.registerTimer((minute + 1) * 60_000)
+        order = sorted(count)
+        self.totals.update((order, [count[m] for m in order], [total[m] for m in order]))
         yield pd.DataFrame(columns=list(self.OUT)).astype(self.OUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
         done = self.sent.get()[0] if self.sent.exists() else -1
-        out = pd.DataFrame(columns=list(self.OUT)).astype(self.OUT)
+        out = [pd.DataFrame(columns=list(self.OUT)).astype(self.OUT)]
         if done < upto:
-            held = sorted(self.events.get())
-            us = np.array([e[0] for e in held], dtype=np.int64)
-            sums = np.concatenate([[0.0], np.cumsum([e[2] for e in held])])
-            due = np.flatnonzero((us >= done) & (us < upto))
-            last = np.searchsorted(us, us[due], side="right")
-            hour, day = (np.searchsorted(us, us[due] - h, side="left") for h in (self.HOUR, self.DAY))
-            out = pd.DataFrame({"user_id": int(key[0]), "event_id": [held[i][1] for i in due], "n_1h": last - hour,
-                                "n_24h": last - day, "s_24h": sums[last] - sums[day]}).astype(self.OUT)
-            kept = [e for e in held if e[0] >= upto - self.DAY]
-            if kept:
-                self.events.put(kept)
-            else:
-                self.events.clear()
+            minutes, n, s = self._held()
+            before_n, before_s = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(s)])
+
+            def whole(minute: int, back: int) -> tuple[int, float]:
+                """Count and sum of the minutes between the one a frame begins in and the event's own."""
+                a, b = np.searchsorted(minutes, [minute - back + 1, minute])
+                return before_n[b] - before_n[a], before_s[b] - before_s[a]
+
+            known, read = set(minutes.tolist()), {}
+            none = self._none()
+
+            def rows_of(minute: int):
+                """A minute's rows; those of the last hour are not read again."""
+                if minute not in known:
+                    return none
+                if minute not in read:
+                    read[minute] = self._minute(minute)
+                    for gone in [m for m in read if m < minute - 2 * self.HOUR_MINUTES] if len(read) > 256 else ():
+                        del read[gone]
+                return read[minute]
+
+            first = np.searchsorted(minutes, done // self.MINUTE)
+            for minute in minutes[first : np.searchsorted(minutes, upto // self.MINUTE, side="right")].tolist():
+                us, ids, values = rows_of(minute)
+                due = (us >= done) & (us < upto)
+                if not due.any():
+                    continue
+                own = np.searchsorted(us, us[due], side="right")
+                counts, sums = {}, None
+                for back in (self.HOUR_MINUTES, self.DAY_MINUTES):
+                    edge, _, edge_values = rows_of(minute - back)
+                    at = np.searchsorted(edge, us[due] - back * self.MINUTE, side="left")
+                    between_n, between_s = whole(minute, back)
+                    counts[back] = own + between_n + len(edge) - at
+                    behind = np.concatenate([[0.0], np.cumsum(edge_values)])
+                    sums = np.concatenate([[0.0], np.cumsum(values)])[own] + between_s + behind[-1] - behind[at]
+                out.append(pd.DataFrame({"user_id": int(key[0]), "event_id": ids[due], "n_1h": counts[self.HOUR_MINUTES], "n_24h": counts[self.DAY_MINUTES], "s_24h": sums}).astype(self.OUT))
+            old = minutes < upto // self.MINUTE - self.DAY_MINUTES
+            for minute in minutes[old].tolist():
+                self.rows.removeKey((minute,))
+            self.totals.update(tuple(x[~old].tolist() for x in (minutes, n, s)))
             self.sent.update((int(upto),))
-        yield out
+        yield pd.concat(out) if len(out) > 1 else out[0]
 
     def close(self) -> None:
         pass

@@ -49,3 +49,26 @@ def test_one_write_makes_all_files_in_order(spark, monkeypatch):
     assert len(files) >= 25 and len({f.changed for f in files}) == len(files)
     assert all(x.b <= y.a or (x.a, x.b, x.n) == (y.a, y.b, y.n) for x, y in zip(files, files[1:]))
     assert sum(f.n for f in files) > tables.events.count() == seen.select("event_id").distinct().count()
+
+
+def test_a_very_active_key(spark, tmp_path):
+    """A hundred events a minute of one key, beside a quiet one: equal to the batch frames."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lumenframe.streaming import jobs
+
+    n = 30_000
+    e = spark.range(n + 50).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 600_000 + F.col("id") % 7).alias("ts"),
+        F.when(F.col("id") % 9999 == 0, 2).otherwise(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 10).cast("double").alias("value"), F.lit("{}").alias("props"))
+    staged, path = str(tmp_path / "staged"), str(tmp_path / "stream")
+    e.repartitionByRange(6, "ts").write.parquet(staged)
+    jobs.publish_in_order(spark, staged, path)
+    got = jobs.with_rocksdb(spark, lambda: jobs.collect_stream(jobs.velocity(jobs.stream_source(spark, path, files_per_trigger=2)), "append"))
+    us = F.unix_micros("ts")
+    frame = lambda h: Window.partitionBy("user_id").orderBy(us).rangeBetween(-h * 3_600_000_000, 0)
+    want = e.select("event_id", F.count("*").over(frame(1)).alias("a"), F.count("*").over(frame(24)).alias("b"), F.sum("value").over(frame(24)).alias("c"))
+    both = got.join(want, "event_id")
+    assert both.count() >= 0.95 * n
+    assert both.where("n_1h <> a OR n_24h <> b OR abs(s_24h - c) > 1e-6").count() == 0
