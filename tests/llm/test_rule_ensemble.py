@@ -1,7 +1,10 @@
 import math
+import re
 import zlib
 
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lumenframe.llm import rule_ensemble
@@ -85,3 +88,38 @@ def test_the_bound_on_labelled_rows_holds(spark, tables):
     docs, labels = tables
     e = rule_ensemble.fit(docs, labels, settings=rule_ensemble.Settings(most_rows=300))
     assert e.rules
+
+
+def by_hand(text):
+    """The statistics, from their names."""
+    text = text or ""
+    words, lines = [w for w in re.split("[ \t-\r]+", text) if w], text.split("\n")
+    n_words, size = max(len(words), 1), max(len(text), 1)
+    share = lambda pattern: len(regex.findall(pattern, text)) / size
+    return {
+        "words": len(words), "word_length": len(text) / n_words, "distinct_words": len(set(words)) / n_words, "distinct_lines": len(set(lines)) / len(lines),
+        "line_words": len(words) / len(lines), "symbols": sum(text.count(c) for c in "#*$%&|<>{}\\^~=+") / size, "bangs": (text.count("!") + text.count("?")) / size,
+        "capitals": share(r"\p{Lu}"), "digits": sum(c in "0123456789" for c in text) / size, "stops": text.count(".") / size, "commas": sum(text.count(c) for c in ",;:") / size,
+        "other": sum(not regex.match(r"[\p{L}\p{N}]", c) and c not in " \t\n\x0b\f\r.,;:!?#*$%&|<>{}\\^~=+-" for c in text) / size,
+    }
+
+
+def test_statistics_by_hand(spark, tables, odd_docs):
+    for df in (tables[0].filter("doc_id < 300").select("doc_id", "text"), odd_docs.filter("doc_id is not null").select("doc_id", "text").distinct()):
+        texts = {r.doc_id: r.text for r in df.collect()}
+        for r in rule_ensemble.with_statistics(df).collect():
+            assert {k: r[k] for k in rule_ensemble.statistics()} == pytest.approx(by_hand(texts[r.doc_id]), rel=1e-9), r.doc_id
+
+
+def test_weights_are_the_optimum_of_the_lasso(tables, fitted):
+    """At the optimum the loss falls along each kept rule as fast as the penalty rises, and not at all along the intercept."""
+    docs, labels = tables
+    rows = docs.join(labels, "doc_id").filter(~rule_ensemble.held_out(F.col("doc_id"))).select("text", "quality").collect()
+    assert 1000 < len(rows) < rule_ensemble.Settings().most_rows
+    stats = [by_hand(r.text) for r in rows]
+    holds = np.array([[all((s[c.statistic] > c.threshold) == c.above for c in rule) for rule, _ in fitted.rules] for s in stats], float)
+    weights, y = np.array([w for _, w in fitted.rules]), np.array([r.quality for r in rows], float)
+    miss = 1 / (1 + np.exp(-(fitted.intercept + holds @ weights))) - y
+    penalty = rule_ensemble.Settings().penalty
+    assert abs(miss.mean()) < 0.1 * penalty
+    assert (holds.T @ miss / len(y)).tolist() == pytest.approx((-penalty * np.sign(weights)).tolist(), abs=0.25 * penalty)
