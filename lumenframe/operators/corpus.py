@@ -235,8 +235,8 @@ def tuning_checks(pairs: DataFrame, least: int = 2, most: int = 400) -> DataFram
 
 
 def preference_pairs(answers: DataFrame, prompt: str, answer: str, score: str) -> DataFrame:
-    """Best and worst answer of a prompt, if they differ in score, with the loss of ranking them by that difference."""
+    """Best and worst answer of a prompt (the first of equal ones by id), if they differ in score, with the loss of ranking them by that difference."""
     g = answers.where(F.col(score).isNotNull()).groupBy(prompt).agg(
-        F.max(F.struct(score, (-F.col(answer)).alias("i"))).alias("hi"), F.min(F.struct(score, F.col(answer).alias("i"))).alias("lo"))
-    delta = F.col(f"hi.{score}") - F.col(f"lo.{score}")
-    return g.where(delta > 0).select(prompt, (-F.col("hi.i")).alias("chosen"), F.col("lo.i").alias("rejected"), F.log1p(F.exp(-delta.cast("double"))).alias("loss"))
+        F.min(F.struct((-F.col(score)).alias("s"), F.col(answer).alias("i"))).alias("hi"), F.min(F.struct(F.col(score).alias("s"), F.col(answer).alias("i"))).alias("lo"))
+    delta = -F.col("hi.s") - F.col("lo.s")
+    return g.where(delta > 0).select(prompt, F.col("hi.i").alias("chosen"), F.col("lo.i").alias("rejected"), F.log1p(F.exp(-delta.cast("double"))).alias("loss"))

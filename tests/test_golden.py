@@ -205,3 +205,10 @@ def test_algorithms_in_code(spark):
     b = spark.createDataFrame(rows, "id long, code string, said string")
     got = {r.id: (r.name, r.description, r.n_marks) for r in ct.algorithms_in_code(b, "id", F.col("code"), F.col("said")).collect()}
     assert got == {1: (("Sorting by hand " + "x" * 60)[:50], "Sorting by hand " + "x" * 60, 3), 3: ("Detected Algorithm", "Algorithm from code", 3)}
+
+
+def test_preference_pairs_take_any_answer_id(spark):
+    from lumenframe.operators import corpus
+
+    a = spark.createDataFrame([("p", "b", 2.0), ("p", "a", 2.0), ("p", "c", 1.0), ("p", "d", 1.0), ("q", "x", 1.0), ("q", "y", 1.0), ("q", "z", None)], "prompt string, answer string, score double")
+    assert [(r.prompt, r.chosen, r.rejected, round(r.loss, 9)) for r in corpus.preference_pairs(a, "prompt", "answer", "score").collect()] == [("p", "a", "c", round(math.log1p(math.exp(-1)), 9))]
