@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.scalars import words
 from lumenframe.operators.pairs import holds, marked, spot
 from lumenframe.operators.passages import runs, word_hashes
-from lumenframe.operators.scaling import exact_quantiles, join_nullsafe, ranked, with_totals
+from lumenframe.operators.scaling import exact_quantiles, join_nullsafe, ranked, split_join, with_totals
 from lumenframe.session import cut_lineage
 
 # Frequent short words that tell languages apart.
@@ -56,12 +56,12 @@ def exact_dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
-    """Texts without the lines that stand in at least ``least`` documents, and the number of lines dropped."""
+    """Texts without the lines that stand in at least ``least`` documents, and the number of lines dropped. Very frequent lines, empty ones too, stay in their tasks (``split_join``)."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     told = docs.select(F.explode(F.array_distinct(F.transform(lines, F.trim))).alias("line")).where("line <> ''")
-    often = told.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("line")
+    often = cut_lineage(told.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("line", F.lit(True).alias("often")))
     each = docs.select(key, F.posexplode(lines).alias("pos", "raw")).withColumn("line", F.trim("raw"))
-    marked = each.join(often.withColumn("often", F.lit(True)), "line", "left")
+    marked = split_join(each, often, ["line"])
     kept = F.filter(F.array_sort(F.collect_list(F.struct("pos", "raw", F.coalesce("often", F.lit(False)).alias("often")))), lambda x: ~x["often"])
     return marked.groupBy(key).agg(F.array_join(F.transform(kept, lambda x: x["raw"]), "\n").alias("text"), F.count_if("often").alias("dropped"))
 
@@ -85,10 +85,10 @@ def perplexity(docs: DataFrame, key: str, text: str, good: DataFrame) -> DataFra
     def counted(df, *by):
         return df.select(*by, F.explode(words(F.lower(text))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
 
-    model = counted(good)
-    size = model.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
+    model = cut_lineage(counted(good).withColumnRenamed("n", "seen"))
+    size = model.agg(F.sum("seen").alias("total"), F.count("*").alias("kinds")).first()
     total, kinds = size["total"] or 0, size["kinds"] or 0
-    mine = counted(docs, key).join(model.withColumnRenamed("n", "seen"), "word", "left")
+    mine = split_join(cut_lineage(counted(docs, key)), model, ["word"])
     p = (F.coalesce("seen", F.lit(0)) + 1) / F.lit(float(total + kinds + 1))
     return mine.groupBy(key).agg(F.exp(-F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("perplexity"))
 
