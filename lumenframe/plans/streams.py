@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lumenframe.operators.scaling import attach_row
 from lumenframe.plans.registry import plan
 from lumenframe.session import scratch_path
 from lumenframe.streaming import jobs
@@ -52,12 +53,17 @@ def sliding_window(t):
 
 @plan("I05 O01", """WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
   s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g), f AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS e, count(*) AS n FROM s GROUP BY user_id, sid)
-  SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n FROM f WHERE e < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+  SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n FROM f WHERE e < (SELECT max(ts) FROM events)""")
 def session_window(t):
-    s = jobs.watermark(jobs.stream_source(t.spark, event_files(t)), "ts", DELAY)
+    """All sessions that are over when the last event comes. A row far behind it ends the stream, so that the delay and the watermark's whole milliseconds hold none of them back."""
+    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    end = e.agg(F.max("ts").alias("_end"))
+    last = end.where("_end IS NOT NULL").select((F.col("_end") + F.expr(f"interval {DELAY}") + F.expr("interval 1 hour")).alias("ts"))
+    path = in_time_order(t, e.unionByName(last, allowMissingColumns=True), scratch_path(t.spark, "events-stream"))
+    s = jobs.watermark(jobs.stream_source(t.spark, path), "ts", DELAY)
     w = jobs.sessions(s, ["user_id"], "ts", "30 minutes", [F.count("*").alias("n")])
-    # sessions still open, or not past the delay, at the end of the stream are not sent yet
-    return jobs.collect_stream(w, "append").select("user_id", stamp("start").alias("start"), "n")
+    over = attach_row(jobs.collect_stream(w, "append"), end).where(F.col("end") < F.col("_end"))
+    return over.select("user_id", stamp("start").alias("start"), "n")
 
 
 @plan("I06 E06", """SELECT event_id, count(*) OVER h AS n_1h, count(*) OVER d AS n_24h, round(sum(value) OVER d, 2) AS s_24h FROM events WINDOW h AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW),

@@ -72,3 +72,19 @@ def test_a_very_active_key(spark, tmp_path):
     both = got.join(want, "event_id")
     assert both.count() >= 0.95 * n
     assert both.where("n_1h <> a OR n_24h <> b OR abs(s_24h - c) > 1e-6").count() == 0
+
+
+def test_sessions_over_in_the_last_hour_are_sent(spark, tmp_path):
+    """All sessions that end before the last event count, also one that ended less than a millisecond before it."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from lumenframe.plans import streams
+
+    at = [(1, 0), (1, 600_000_000), (2, 3_600_000_000), (1, 3_700_000_000), (2, 5_500_000_000 - 1), (3, 7_300_000_000)]
+    rows = [(i, u, 1_704_067_200_000_000 + us) for i, (u, us) in enumerate(at)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, us long").select(
+        "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    found = sorted((r.user_id, r.start[11:], r.n) for r in streams.session_window(SimpleNamespace(spark=spark, events=e)).collect())
+    assert found == [(1, "00:00:00", 2), (1, "01:01:40", 1), (2, "01:00:00", 1), (2, "01:31:39", 1)]
