@@ -94,7 +94,8 @@ def perplexity(docs: DataFrame, key: str, text: str, good: DataFrame) -> DataFra
 
 
 def two_sided(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
-    """Adds ``keep``: the value lies between two quantiles of its column."""
+    """Adds ``keep``: the value lies between two quantiles of its column. The rows are made once, not again for the quantiles."""
+    df = cut_lineage(df)
     edges = exact_quantiles(df, [column], [low, high]).first()[column]
     return df.withColumn("keep", F.col(column).between(*edges) if edges else F.lit(True))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import words
-from lumenframe.operators.scaling import split_join, spread
+from lumenframe.operators.scaling import ranked, split_join, spread
 from lumenframe.session import scratch_path
 
 #: Stands before the first word; no word is empty.
@@ -41,21 +41,43 @@ def bigram_perplexity(docs: DataFrame, key: str, text: str, good: DataFrame, k:
     """``key, perplexity`` of each text with words under a bigram model of the texts of ``good`` (same columns).
 
     A word's share behind another is (count of the pair + k * share of the word alone) / (count of the other + k); the share alone is smoothed by one, and serves for first words and after
-    words that ``good`` doesn't have. Each distinct pair of the texts is scored once. Words that stand in very many pairs, and pairs at very many places, meet
-    their counts by a small broadcast (``split_join``), all others by a shuffle, so a word in a third of all places fills no task. Rows with one key are one text.
+    words that ``good`` doesn't have. A place's logarithm is that of an unseen pair, which needs the two words alone, plus a ``gain`` if ``good`` has the pair. So the words meet a small broadcast,
+    and only pairs of known words are shuffled, as one number of the words' ranks beside the key; a pair at very many places is left to Spark's skew join. Rows with one key are one text.
     """
-    rows = _stored(_bigrams(spread(docs.select(key, text)), text, key), "bigram-places")
-    model = _stored(_bigrams(spread(good.select(text)), text).groupBy("before", "word").agg(F.count("*").alias("n")), "bigram-model")
-    alone = _stored(model.groupBy("word").agg(F.sum("n").alias("n_word")), "bigram-words")
-    size = alone.agg(F.sum("n_word").alias("total"), F.count("*").alias("kinds")).first()
-    share = (F.coalesce("n_word", F.lit(0)) + 1) / F.lit(float((size["total"] or 0) + size["kinds"] + 1))
-    inner = model.where(F.col("before") != START)
-    behind = _stored(inner.groupBy("before").agg(F.sum("n").alias("n_before")), "bigram-befores")
-    pairs = rows.groupBy("before", "word").agg(F.count("*").alias("places")).join(inner.withColumnRenamed("n", "n_pair"), ["before", "word"], "left")
-    counted = split_join(split_join(_stored(pairs, "bigram-pairs"), alone, ["word"], small=SMALL_WORDS), behind, ["before"], small=SMALL_WORDS)
-    p = (F.coalesce("n_pair", F.lit(0)) + k * share) / (F.coalesce("n_before", F.lit(0)) + k)
-    scored = _stored(counted.select("before", "word", "places", F.log(p).alias("log_p")), "bigram-scores")
-    return split_join(rows, scored, ["before", "word"], "places").groupBy(key).agg(F.exp(-F.avg("log_p")).alias("perplexity"))
+    known = _stored(_bigrams(spread(good.select(text)), text).groupBy("word").agg(F.count("*").alias("n_word")), "bigram-words")
+    size = known.agg(F.sum("n_word").alias("total"), F.count("*").alias("kinds")).first()
+    smooth = F.lit(float((size["total"] or 0) + size["kinds"] + 1))
+    ids = _stored(ranked(known, [], ["-n_word", "word"], {"id": "row_number"}).select("word", F.col("id").cast("long").alias("id"), "n_word"), "bigram-ids")
+
+    def numbered(rows: DataFrame, words: DataFrame, *more: str) -> DataFrame:
+        """With the ids of both words and their other columns; null where ``good`` lacks the word. Of many words, the most frequent are broadcast, and only places of others are looked up by a shuffle."""
+        common = words.where(F.col("id") <= SMALL_WORDS)
+
+        def of(table: DataFrame, column: str, mark: str) -> DataFrame:
+            return table.select(F.col("word").alias(column), *[F.col(c).alias(mark + c) for c in ("id", *more)])
+
+        met = rows.join(F.broadcast(of(common, "word", "w_")), "word", "left").join(F.broadcast(of(common, "before", "b_")), "before", "left")
+        if size["kinds"] <= SMALL_WORDS:
+            return met
+        done = F.col("w_id").isNotNull() & (F.col("b_id").isNotNull() | (F.col("before") == START))
+        rare = _stored(met.where(~done).select(rows.columns), "bigram-rare")
+        looked = split_join(split_join(rare, of(words, "word", "w_"), ["word"], small=SMALL_WORDS), of(words, "before", "b_"), ["before"], small=SMALL_WORDS)
+        return met.where(done).unionByName(looked)
+
+    pair = F.shiftleft("b_id", 32).bitwiseOR(F.col("w_id")).alias("pair")
+    model = numbered(_bigrams(spread(good.select(text)), text), ids).where("b_id IS NOT NULL").select(pair).groupBy("pair").agg(F.count("*").alias("n_pair"))
+    model = _stored(model, "bigram-model")
+    behind = model.groupBy(F.shiftright("pair", 32).alias("id")).agg(F.sum("n_pair").alias("n_before"))
+    words_of = _stored(ids.join(behind, "id", "left").select("word", "id", "n_word", F.coalesce("n_before", F.lit(0)).alias("n_before")), "bigram-counts")
+    share = lambda n: (F.coalesce(n, F.lit(0)) + 1) / smooth
+    unseen = F.log(k * share("w_n_word") / (F.coalesce("b_n_before", F.lit(0)) + k))
+    places = numbered(_bigrams(spread(docs.select(key, text)), text, key), words_of, "n_word", "n_before")
+    alone = places.groupBy(key).agg(F.sum(unseen).alias("log_p"), F.count("*").alias("places"))
+    counted = split_join(model.withColumn("id", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))), ids.select("id", "n_word"), ["id"], small=SMALL_WORDS)
+    gains = counted.select("pair", F.log1p(F.col("n_pair") / (k * share("n_word"))).alias("gain"))
+    gained = places.where("b_id IS NOT NULL AND w_id IS NOT NULL").select(key, pair).join(gains, "pair").groupBy(key).agg(F.sum("gain").alias("log_p"), F.lit(0).cast("long").alias("places"))
+    total = alone.unionByName(gained).groupBy(key).agg(F.sum("log_p").alias("log_p"), F.sum("places").alias("places"))
+    return total.select(key, F.exp(-F.col("log_p") / F.col("places")).alias("perplexity"))
 
 
 # Languages by characters ---------------------------------------------------------------------------
