@@ -101,3 +101,33 @@ def test_a_third_of_the_rows_alike(spark):
     seen = spark.sparkContext.accumulator(0)
     near = got(neighbours.nearest(t, t, 2, "euclidean", cells=SMALL, compared=seen))
     assert near == brute(m, m, 2, "euclidean", range(900), range(900)) and seen.value < 0.2 * 900**2
+
+
+def test_a_query_travels_once_to_a_group_of_cells(spark):
+    from pyspark.sql import functions as F
+
+    """Without structure every cell stays possible; copies are then counted by groups, not by cells."""
+    r = np.random.default_rng(5)
+    x = spark.createDataFrame([(i, r.normal(size=24).tolist()) for i in range(600)], "id long, vector array<double>")
+    v = neighbours._directed(x, "cosine")
+    pivots, n = neighbours.fit_pivots(v, Cells(cell_rows=20))
+    placed = neighbours._placed(v, spark.sparkContext.broadcast(pivots), "t")
+    rows = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most")).collect()
+    known = neighbours._Map(pivots, rows, 200)
+    sizes = np.bincount(known.group, weights=known.n)
+    assert len(pivots) == 30 and len(sizes) < 10 and sizes.max() <= 200
+    sent = neighbours._sent(v.withColumn("reach", F.lit(float("inf"))), spark.sparkContext.broadcast(known), 6, 1, True)
+    assert sent.count() <= 600 * len(sizes) and sent.agg(F.sum(F.size("cells"))).first()[0] >= 600 * 25
+
+
+def test_blocks_of_the_plain_join_grow_with_the_rows(spark, monkeypatch):
+    """Two thousand rows in blocks of five: some twenty blocks a side, not four hundred, and the same neighbours."""
+    from pyspark.sql import functions as F
+
+    x = table(spark, np.random.default_rng(8).normal(size=(2000, 4)))
+    copies = []
+    real = F.sequence
+    monkeypatch.setattr(F, "sequence", lambda a, b, *c: (copies.append(b), real(a, b, *c))[1])
+    near = retrieval.knn_join(x, x, 3, "euclidean", block_rows=5)
+    assert len(copies) == 2 and all(spark.range(1).select(c.alias("n")).first()["n"] < 25 for c in copies)
+    assert got(near) == got(retrieval.knn_join(x, x, 3, "euclidean", block_rows=4096))
