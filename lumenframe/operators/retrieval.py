@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -39,6 +40,10 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+#: Rows of a block at most, some tens of megabytes, and queries that a task scores at a time.
+MOST_BLOCK_ROWS, QUERY_ROWS = 16_384, 512
+
+
 def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", keys: Sequence[str] = (),
              skip_self: bool = True, earlier_only: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest items per query: ``(query_id, item_id, score, rank)``.
@@ -46,14 +51,19 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine
     Both inputs have ``id`` and ``vector`` (and the columns of ``keys``; only rows with equal keys are
     compared). Both sides are cut into blocks; a task sees one query block and one item block and
     returns k rows per query, so no pair list ever exists. Euclidean scores are negative distances.
+    Each row is copied to all blocks of the other side, so blocks grow with the root of the rows, from ``block_rows`` up to ``MOST_BLOCK_ROWS``.
     """
     keys = list(keys)
 
+    def block_of(n):
+        return F.greatest(F.lit(block_rows), F.least(F.lit(MOST_BLOCK_ROWS), F.ceil(F.sqrt(n * F.lit(block_rows)))))
+
     def blocks(df, side):
         if not keys:
-            n = -(-df.count() // block_rows) or 1
+            count = df.count()
+            n = -(-count // max(block_rows, min(MOST_BLOCK_ROWS, math.ceil(math.sqrt(count * block_rows))))) or 1
             return df.withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), F.lit(n)
-        sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(f"_n{side}"))
+        sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block_of(F.count("*"))).cast("int").alias(f"_n{side}"))
         return df.join(sizes, keys).withColumn("_blk", F.pmod(F.xxhash64("id"), F.col(f"_n{side}")).cast("int")), sizes
 
     cols = ("id", "vector", *keys)
@@ -72,19 +82,21 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": "int64", "item_id": "int64"})
         qi, ii = left["id"].to_numpy(), right["id"].to_numpy()
-        if metric == "cosine":
-            s = _unit(left["vector"]) @ _unit(right["vector"]).T
-        else:
-            a, b = np.stack(left["vector"]).astype(float), np.stack(right["vector"]).astype(float)
-            s = -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
-        if skip_self:
-            s[qi[:, None] == ii[None]] = -np.inf
-        if earlier_only:
-            s[qi[:, None] <= ii[None]] = -np.inf
-        picks = _best(s, ii, k)
-        rows = np.repeat(np.arange(len(qi)), [len(p) for p in picks])
-        cols = np.concatenate(picks) if picks else np.array([], dtype=int)
-        return pd.DataFrame({"query_id": qi[rows], "item_id": ii[cols], "score": s[rows, cols]})
+        form = _unit if metric == "cosine" else (lambda v: np.stack(v).astype(float))
+        a, b = form(left["vector"]), form(right["vector"])
+        out = []
+        for at in range(0, len(qi), QUERY_ROWS):
+            x, mine = a[at : at + QUERY_ROWS], qi[at : at + QUERY_ROWS]
+            s = x @ b.T if metric == "cosine" else -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * x @ b.T, 0))
+            if skip_self:
+                s[mine[:, None] == ii[None]] = -np.inf
+            if earlier_only:
+                s[mine[:, None] <= ii[None]] = -np.inf
+            picks = _best(s, ii, k)
+            rows = np.repeat(np.arange(len(mine)), [len(p) for p in picks])
+            cols = np.concatenate(picks) if picks else np.array([], dtype=int)
+            out.append((mine[rows], ii[cols], s[rows, cols]))
+        return pd.DataFrame(dict(zip(("query_id", "item_id", "score"), (np.concatenate(c) for c in zip(*out)))))
 
     def named(df):  # new column identities: both sides may come from one table
         return df.select(*[F.col(c).alias(c) for c in ("id", "vector", *on)])
