@@ -227,10 +227,39 @@ def word_ngrams(text: Column, n: int) -> Column:
     return F.element_at(F.transform(F.array(terms(text)), grams), 1)
 
 
+#: Hash buckets that rows are counted in before their items, and buckets that are sent to every task at most.
+COUNT_BUCKETS, MOST_SENT_BUCKETS = 1 << 22, 1_000_000
+
+
+def most_frequent(rows: DataFrame, item: str, key: str, top: int) -> DataFrame:
+    """``item, n, keys``: the ``top`` items with most rows, ties to the smaller, with their rows and different keys.
+
+    All rows are counted by hash buckets first. The items of the largest buckets give a number that the last of the ``top`` has at least; an item of a bucket with fewer rows than that can't be among
+    them, so only the other buckets' items are shuffled. Without frequent items that is all of them.
+    """
+    hashed = rows.withColumn("_b", F.pmod(F.xxhash64(item), F.lit(COUNT_BUCKETS)))
+    held = cut_lineage(hashed.groupBy("_b").agg(F.count("*").alias("_n")))
+    largest = held.orderBy(F.desc("_n"), "_b").limit(4 * top).select("_b")
+    sure = hashed.join(F.broadcast(largest), "_b", "left_semi").groupBy(item).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(top).agg(F.min("n"), F.count("*")).first()
+    kept = held.where(F.col("_n") >= F.lit(sure[0])).select("_b") if sure[1] == top else held.select("_b")
+    if kept.count() <= min(MOST_SENT_BUCKETS, held.count() // 2):
+        hashed = hashed.join(F.broadcast(kept), "_b", "left_semi")
+    per = hashed.groupBy(item, key).agg(F.count("*").alias("c"))
+    return per.groupBy(item).agg(F.sum("c").alias("n"), F.count("*").alias("keys")).orderBy(F.desc("n"), item).limit(top)
+
+
+#: Characters of text that one task trains word vectors on.
+TRAIN_CHARS = 16_000_000
+
+
 def mean_word_vectors(df: DataFrame, text: str, size: int = 16, min_count: int = 5, seed: int = 1, iterations: int = 1) -> DataFrame:
-    """Word2Vec trained on the texts; each row gets the mean of its word vectors."""
+    """Word2Vec trained on the texts; each row gets the mean of its word vectors.
+
+    All texts are trained on, about ``TRAIN_CHARS`` characters in a task; what several tasks learned, Spark averages, so that vectors of more text than that differ from those of one long task.
+    """
     rows = df.withColumn("_w", terms(F.col(text)))
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=iterations, inputCol="_w", outputCol="_v").fit(rows)
+    parts = max(1, -(-(df.agg(F.sum(F.length(text))).first()[0] or 0) // TRAIN_CHARS))
+    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=iterations, numPartitions=parts, inputCol="_w", outputCol="_v").fit(rows.select("_w"))
     return model.transform(rows).withColumn("vector", vector_to_array("_v")).drop("_w", "_v")
 
 

@@ -154,8 +154,7 @@ def word_embeddings(t):
   SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 100""")
 def top_ngrams(t):
     g = t.documents.select("doc_id", F.explode(ft.word_ngrams(F.col("text"), 3)).alias("gram"))
-    per = g.groupBy("gram", "doc_id").agg(F.count("*").alias("c"))
-    return per.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "gram").limit(100)
+    return ft.most_frequent(g, "gram", "doc_id", 100).withColumnRenamed("keys", "docs")
 
 
 @plan("M20", "SELECT p_partkey, p_size::DOUBLE AS x, (p_size * p_size)::DOUBLE AS xx FROM part")

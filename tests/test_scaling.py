@@ -195,3 +195,40 @@ def test_components_chain(spark):
     rows = [(i, f"a{i}") for i in range(40)] + [(i + 1, f"a{i}") for i in range(39)] + [(100, "z"), (101, "z")]
     got = {r["e"]: r["component"] for r in retrieval.shared_attribute_components(spark.createDataFrame(rows, "e int, a string"), "e", "a").collect()}
     assert {got[i] for i in range(40)} == {0} and got[100] == got[101] == 100
+
+
+def test_most_frequent_shuffles_items_of_large_buckets_only(spark):
+    """Equal to counting all items, with ties and repeated keys, and few of the rare items are counted one by one."""
+    from lumenframe.operators import features as ft
+
+    rows = spark.range(20_000).select(F.concat(F.lit("x"), F.when(F.col("id") % 2 == 0, F.col("id") % 40).otherwise(F.col("id"))).alias("item"), (F.col("id") % 7).alias("key"))
+    whole = rows.groupBy("item").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys")).orderBy(F.desc("n"), "item")
+    for top in (5, 20, 50):
+        found = ft.most_frequent(rows, "item", "key", top)
+        assert found.collect() == whole.limit(top).collect()
+    plan = ft.most_frequent(rows, "item", "key", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    assert ft.most_frequent(rows.limit(0), "item", "key", 5).collect() == []
+
+
+def test_unigram_perplexity_with_few_words_sent(spark, monkeypatch):
+    from lumenframe.operators import corpus as cp
+
+    d = spark.createDataFrame([(i, " ".join(["a"] * (i % 3) + [f"w{j}" for j in range(i % 9)])) for i in range(60)] + [(60, None), (3, "a z")], "id long, text string")
+    want = {r.id: round(r.perplexity, 9) for r in cp.perplexity(d, "id", "text", d.where("id < 30")).collect()}
+    monkeypatch.setattr(cp, "SENT_WORDS", 2)
+    got = {r.id: round(r.perplexity, 9) for r in cp.perplexity(d, "id", "text", d.where("id < 30")).collect()}
+    assert got == want and len(got) == 60 - 7  # seven without words
+
+
+def test_word_vectors_are_trained_in_several_tasks(spark, monkeypatch):
+    from lumenframe.operators import features as ft
+
+    seen = []
+    real = ft.Word2Vec
+    monkeypatch.setattr(ft, "Word2Vec", lambda **k: (seen.append(k["numPartitions"]), real(**k))[1])
+    d = spark.createDataFrame([(f"one two three four {i % 9}",) for i in range(200)], "text string")
+    assert ft.mean_word_vectors(d, "text").count() == 200
+    monkeypatch.setattr(ft, "TRAIN_CHARS", 1000)
+    assert ft.mean_word_vectors(d, "text").count() == 200
+    assert seen == [1, 4]
