@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.scalars import words
 from lumenframe.operators.pairs import holds, marked, spot
 from lumenframe.operators.passages import runs, word_hashes
-from lumenframe.operators.scaling import exact_quantiles, join_nullsafe, ranked, split_join, with_totals
+from lumenframe.operators.scaling import exact_quantiles, join_nullsafe, ranked, split_join, spread, with_totals
 from lumenframe.session import cut_lineage
 
 # Frequent short words that tell languages apart.
@@ -80,15 +80,25 @@ def language_bucket(docs: DataFrame, key: str, text: str) -> DataFrame:
     return scored.select(key, F.when(best > 0, pick).alias("language"), best.alias("hits"))
 
 
+#: Words of a model that are sent to every task, the most frequent ones.
+SENT_WORDS = 500_000
+
+
 def perplexity(docs: DataFrame, key: str, text: str, good: DataFrame) -> DataFrame:
     """Unigram perplexity with add-one smoothing; the model counts the texts of ``good`` (same columns)."""
-    def counted(df, *by):
-        return df.select(*by, F.explode(words(F.lower(text))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+    def places(df, *by):
+        return spread(df.select(*by, text)).select(*by, F.explode(words(F.lower(text))).alias("word"))
 
-    model = cut_lineage(counted(good).withColumnRenamed("n", "seen"))
+    model = cut_lineage(places(good).groupBy("word").agg(F.count("*").alias("seen")))
     size = model.agg(F.sum("seen").alias("total"), F.count("*").alias("kinds")).first()
     total, kinds = size["total"] or 0, size["kinds"] or 0
-    mine = split_join(cut_lineage(counted(docs, key)), model, ["word"])
+    # a small model meets the places where they are; for a large one, the frequent words do, and a text's other words are counted before they travel
+    common = cut_lineage(model.orderBy(F.desc("seen"), "word").limit(SENT_WORDS)) if kinds > SENT_WORDS else model
+    met = places(docs, key).join(F.broadcast(common), "word", "left")
+    mine = met.groupBy(key, "seen").agg(F.count("*").alias("n"))
+    if kinds > SENT_WORDS:
+        rare = met.where("seen IS NULL").groupBy(key, "word").agg(F.count("*").alias("n"))
+        mine = mine.where("seen IS NOT NULL").unionByName(split_join(cut_lineage(rare), model, ["word"]).select(key, "seen", "n"))
     p = (F.coalesce("seen", F.lit(0)) + 1) / F.lit(float(total + kinds + 1))
     return mine.groupBy(key).agg(F.exp(-F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("perplexity"))
 
