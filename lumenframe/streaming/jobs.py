@@ -181,112 +181,154 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
     return a.withColumnRenamed(key, f"l_{key}").join(b.withColumnRenamed(key, f"r_{key}"), cond)
 
 
+class _Held:
+    """What a key keeps in its value state: a table of the full chunks, the newest rows themselves, and how far rows were sent."""
+
+    SCHEMA = ("chunk array<bigint>, last array<bigint>, n array<bigint>, s array<double>, known array<bigint>, us array<bigint>, ids array<bigint>, vals array<double>, "
+              "fresh bigint, sent bigint, timer bigint")
+
+    def __init__(self, found: tuple | None):
+        chunk, last, n, s, known, us, ids, vals, self.fresh, self.sent, self.timer = found or ([], [], [], [], [], [], [], [], 0, -(1 << 62), None)
+        self.chunks = list(zip(chunk, last, n, s, known))
+        self.tail = (np.array(us, np.int64), np.array(ids, np.int64), np.array(vals, np.float64))
+
+    def record(self) -> tuple:
+        return (*([c[i] for c in self.chunks] for i in range(5)), *(x.tolist() for x in self.tail), self.fresh, self.sent, self.timer)
+
+
 class _Velocity(StatefulProcessor):
     """Trailing counts and sums of a key's events, sent once the watermark has passed an event.
 
-    The events of each minute are an entry of their own in a map state; a small value state has every minute's count and sum. Whole minutes of a frame are added up from those; only the event's own
-    minute and the two that the frames begin in are read row by row, so a step reads three minutes of rows however long the day is, and new rows rewrite their own minutes only. Minutes that no later
-    frame reaches are removed. Timers sit on whole minutes. The first timer that fires sends everything the watermark has passed; the others of the same moment see that in ``sent`` and return at once.
+    A key's rows are held in order of time. The newest, fewer than CHUNK, lie in its value state, so a quiet key costs one read and one write a step; older ones are cut into chunks of CHUNK rows, each
+    an entry of a map state, and the value state has every chunk's last time, count and sum. Whole chunks of a frame are added up from those; only the chunks in which an event and the edges of its
+    frames lie are read, however long the day is. Rows that come out of order rewrite the chunks they fall into. Chunks that no later frame reaches are removed. A key has one timer,
+    for its first event not yet sent; it sends everything the watermark has passed and sets the next.
     """
 
-    MINUTE, HOUR_MINUTES, DAY_MINUTES = 60_000_000, 60, 1440
-    OUT = {"user_id": "int64", "event_id": "int64", "n_1h": "int64", "n_24h": "int64", "s_24h": "float64"}
+    HOUR, DAY, CHUNK, TAKEN, READ = 3_600_000_000, 86_400_000_000, 4096, 2_000_000, 16
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "minute bigint", "us array<bigint>, ids array<bigint>, vals array<double>")
-        self.totals = handle.getValueState("totals", "minutes array<bigint>, n array<bigint>, s array<double>")
-        self.sent = handle.getValueState("sent", "us bigint")
-
-    def _held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = self.totals.get() if self.totals.exists() else ([], [], [])
-        return tuple(np.array(x, kind) for x, kind in zip(found, (np.int64, np.int64, np.float64)))
+        self.rows = handle.getMapState("rows", "chunk bigint", "us array<bigint>, ids array<bigint>, vals array<double>")
+        self.held = handle.getValueState("held", _Held.SCHEMA)
 
     @staticmethod
-    def _none() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-
-    def _minute(self, minute: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Times in order, ids and values of a minute."""
-        us, ids, values = (np.array(x, kind) for x, kind in zip(self.rows.getValue((minute,)), (np.int64, np.int64, np.float64)))
-        order = np.argsort(us, kind="stable")
-        return us[order], ids[order], values[order]
+    def _in_order(*parts: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        whole = [np.concatenate(x) for x in zip(*parts)]
+        order = np.argsort(whole[0], kind="stable")
+        return tuple(x[order] for x in whole)
+
+    def _chunk(self, number: int) -> tuple[np.ndarray, ...]:
+        return tuple(np.array(x, kind) for x, kind in zip(self.rows.getValue((number,)), (np.int64, np.int64, np.float64)))
+
+    def _put(self, held: _Held, rows: tuple[np.ndarray, ...]) -> tuple:
+        number, held.fresh = held.fresh, held.fresh + 1
+        self.rows.updateValue((number,), tuple(x.tolist() for x in rows))
+        return number, int(rows[0][-1]), len(rows[0]), float(np.nansum(rows[2])), int((~np.isnan(rows[2])).sum())
+
+    def _take(self, held: _Held, rows: tuple[np.ndarray, ...]) -> None:
+        """Puts rows in their places: those before the end of a chunk into it, the others to the newest."""
+        rows = self._in_order(rows)
+        chunks = []
+        for chunk in held.chunks:
+            before = np.searchsorted(rows[0], chunk[1])
+            if not before:
+                chunks.append(chunk)
+                continue
+            merged = self._in_order(self._chunk(chunk[0]), tuple(x[:before] for x in rows))
+            rows = tuple(x[before:] for x in rows)
+            self.rows.removeKey((chunk[0],))
+            parts = max(1, len(merged[0]) // self.CHUNK)
+            chunks += [self._put(held, part) for part in zip(*(np.array_split(x, parts) for x in merged))]
+        tail = self._in_order(held.tail, rows)
+        while len(tail[0]) >= self.CHUNK:
+            chunks.append(self._put(held, tuple(x[: self.CHUNK] for x in tail)))
+            tail = tuple(x[self.CHUNK :] for x in tail)
+        held.chunks, held.tail = chunks, tail
+
+    def _wait(self, held: _Held, us: int) -> None:
+        """A timer for the moment after an event."""
+        held.timer = int(us) // 1000 + 1
+        self.handle.registerTimer(held.timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        minutes, n, s = self._held()
-        count, total = dict(zip(minutes.tolist(), n.tolist())), dict(zip(minutes.tolist(), s.tolist()))
+        held, waiting, n, first = _Held(self.held.get()), [], 0, None
         for pdf in rows:
-            us = pdf["us"].to_numpy(np.int64)
-            at = us // self.MINUTE
-            for minute in np.unique(at).tolist():
-                mine = at == minute
-                fresh = (us[mine], pdf["event_id"].to_numpy(np.int64)[mine], pdf["value"].to_numpy(np.float64)[mine])
-                if minute in count:
-                    fresh = tuple(np.concatenate([np.array(old), new]) for old, new in zip(self.rows.getValue((minute,)), fresh))
-                self.rows.updateValue((minute,), tuple(x.tolist() for x in fresh))
-                count[minute] = len(fresh[0])
-                total[minute] = float(fresh[2].sum())
-                self.handle.registerTimer((minute + 1) * 60_000)
-        order = sorted(count)
-        self.totals.update((order, [count[m] for m in order], [total[m] for m in order]))
-        yield pd.DataFrame(columns=list(self.OUT)).astype(self.OUT)
+            waiting.append((pdf["us"].to_numpy(np.int64), pdf["event_id"].to_numpy(np.int64), pdf["value"].to_numpy(np.float64)))
+            if not len(pdf):
+                continue
+            n, low = n + len(pdf), waiting[-1][0].min()
+            first = low if first is None else min(first, low)
+            if n >= self.TAKEN:
+                self._take(held, self._in_order(*waiting))
+                waiting, n = [], 0
+        if n:
+            self._take(held, self._in_order(*waiting))
+        if first is not None and (held.timer is None or int(first) // 1000 + 1 < held.timer):
+            self._wait(held, first)
+        self.held.update(held.record())
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        done = self.sent.get()[0] if self.sent.exists() else -1
-        out = [pd.DataFrame(columns=list(self.OUT)).astype(self.OUT)]
-        if done < upto:
-            minutes, n, s = self._held()
-            before_n, before_s = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(s)])
-
-            def whole(minute: int, back: int) -> tuple[int, float]:
-                """Count and sum of the minutes between the one a frame begins in and the event's own."""
-                a, b = np.searchsorted(minutes, [minute - back + 1, minute])
-                return before_n[b] - before_n[a], before_s[b] - before_s[a]
-
-            known, read = set(minutes.tolist()), {}
-            none = self._none()
-
-            def rows_of(minute: int):
-                """A minute's rows; those of the last hour are not read again."""
-                if minute not in known:
-                    return none
-                if minute not in read:
-                    read[minute] = self._minute(minute)
-                    for gone in [m for m in read if m < minute - 2 * self.HOUR_MINUTES] if len(read) > 256 else ():
-                        del read[gone]
-                return read[minute]
-
-            first = np.searchsorted(minutes, done // self.MINUTE)
-            for minute in minutes[first : np.searchsorted(minutes, upto // self.MINUTE, side="right")].tolist():
-                us, ids, values = rows_of(minute)
-                due = (us >= done) & (us < upto)
-                if not due.any():
-                    continue
-                own = np.searchsorted(us, us[due], side="right")
-                counts, sums = {}, None
-                for back in (self.HOUR_MINUTES, self.DAY_MINUTES):
-                    edge, _, edge_values = rows_of(minute - back)
-                    at = np.searchsorted(edge, us[due] - back * self.MINUTE, side="left")
-                    between_n, between_s = whole(minute, back)
-                    counts[back] = own + between_n + len(edge) - at
-                    behind = np.concatenate([[0.0], np.cumsum(edge_values)])
-                    sums = np.concatenate([[0.0], np.cumsum(values)])[own] + between_s + behind[-1] - behind[at]
-                out.append(pd.DataFrame({"user_id": int(key[0]), "event_id": ids[due], "n_1h": counts[self.HOUR_MINUTES], "n_24h": counts[self.DAY_MINUTES], "s_24h": sums}).astype(self.OUT))
-            old = minutes < upto // self.MINUTE - self.DAY_MINUTES
-            for minute in minutes[old].tolist():
-                self.rows.removeKey((minute,))
-            self.totals.update(tuple(x[~old].tolist() for x in (minutes, n, s)))
-            self.sent.update((int(upto),))
-        yield pd.concat(out) if len(out) > 1 else out[0]
+        upto, held = timerValues.getCurrentWatermarkInMs() * 1000, _Held(self.held.get())
+        if held.sent >= upto:
+            return
+        sizes = [*held.chunks, (None, held.tail[0][-1] if len(held.tail[0]) else np.iinfo(np.int64).max, 0, 0.0, 0)]
+        last = np.array([c[1] for c in sizes], np.int64)
+        before = [np.concatenate([[0], np.cumsum([c[i] for c in sizes])]) for i in (2, 3, 4)]  # rows, sum and known values ahead of a chunk
+        read = {}
+
+        def chunk(at: int) -> tuple:
+            """Rows of a chunk, and the running sum and count of its known values."""
+            if at not in read:
+                us, ids, vals = held.tail if at == len(held.chunks) else self._chunk(held.chunks[at][0])
+                if len(read) >= self.READ:
+                    del read[next(iter(read))]
+                read[at] = us, ids, np.concatenate([[0.0], np.cumsum(np.nan_to_num(vals, nan=0.0))]), np.concatenate([[0], np.cumsum(~np.isnan(vals))])
+            read[at] = read.pop(at)  # the longest unused goes first
+            return read[at]
+
+        def ahead(us: np.ndarray, side: str) -> list[np.ndarray]:
+            """Rows, sum and known values of all held rows ahead of each of these times."""
+            place = np.minimum(np.searchsorted(last, us, side), len(held.chunks))
+            out = [x[place] for x in before]
+            for at in np.unique(place).tolist():
+                mine = place == at
+                times, _, total, known = chunk(at)
+                row = np.searchsorted(times, us[mine], side)
+                for x, more in zip(out, (row, total[row], known[row])):
+                    x[mine] += more
+            return out
+
+        for at in range(int(np.searchsorted(last, held.sent)), len(sizes)):
+            us, ids, _, _ = chunk(at)
+            a, b = np.searchsorted(us, [held.sent, upto])
+            if a < b:
+                own, total, known = ahead(us[a:b], "right")
+                hour, (day, less, unknown) = ahead(us[a:b] - self.HOUR, "left")[0], ahead(us[a:b] - self.DAY, "left")
+                user = pd.array([key[0]] * (b - a), "Int64")
+                yield pd.DataFrame({"user_id": user, "event_id": ids[a:b], "n_1h": own - hour, "n_24h": own - day, "s_24h": np.where(known > unknown, total - less, np.nan)})
+            if b < len(us):
+                self._wait(held, us[b])
+                break
+        else:
+            held.timer = None
+        old = upto - self.DAY
+        for c in held.chunks:
+            if c[1] < old:
+                self.rows.removeKey((c[0],))
+        held.chunks = [c for c in held.chunks if c[1] >= old]
+        held.tail = tuple(x[held.tail[0] >= old] for x in held.tail)
+        held.sent = int(upto)
+        self.held.update(held.record())
 
     def close(self) -> None:
         pass
 
 
 def velocity(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Exact trailing 1 h and 24 h counts and sums per event of a key, in event time."""
-    timed = stream.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    """Exact trailing 1 h and 24 h counts and sums per event of a key, in event time; rows without a time are in no frame."""
+    timed = stream.where(F.col("ts").isNotNull()).withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
     return timed.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=_Velocity(), outputStructType="user_id bigint, event_id bigint, n_1h bigint, n_24h bigint, s_24h double",
         outputMode="append", timeMode="EventTime")

@@ -88,3 +88,95 @@ def test_sessions_over_in_the_last_hour_are_sent(spark, tmp_path):
         "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
     found = sorted((r.user_id, r.start[11:], r.n) for r in streams.session_window(SimpleNamespace(spark=spark, events=e)).collect())
     assert found == [(1, "00:00:00", 2), (1, "01:01:40", 1), (2, "01:00:00", 1), (2, "01:31:39", 1)]
+
+
+class _Kept:
+    """Map and value state of one key in memory, counting the calls."""
+
+    def __init__(self):
+        self.calls, self.entries, self.timers = 0, {}, []
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.append(ms)
+
+    def get(self):
+        self.calls += 1
+        return self.entries.get(None)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.entries[key]
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.entries[key]
+
+
+def _steps(processor, steps):
+    """Rows that a key's processor sends: each step brings a table and then moves the watermark to its last time."""
+    import pandas as pd
+
+    kept, out, mark = _Kept(), [], -1
+    processor.init(kept)
+    for rows in steps:
+        cut = max(1, len(rows) // 2)
+        processor.handleInputRows((7,), (rows[i : i + cut] for i in range(0, len(rows), cut)), None)
+        mark = max(mark, int(rows["us"].max()) // 1000)
+        while due := [t for t in kept.timers if t < mark]:
+            kept.timers.remove(min(due))
+            out += processor.handleExpiredTimer((7,), type("", (), {"getCurrentWatermarkInMs": lambda self: mark})(), None)
+    return pd.concat(out), kept, mark * 1000
+
+
+@pytest.mark.parametrize("chunk", [4, 50, 4096])
+def test_velocity_of_rows_in_no_order(monkeypatch, chunk):
+    """Chunks of any size, ties, rows out of order inside and between steps, missing values: the frames over all rows."""
+    import numpy as np
+    import pandas as pd
+
+    from lumenframe.streaming import jobs
+
+    monkeypatch.setattr(jobs._Velocity, "CHUNK", chunk)
+    monkeypatch.setattr(jobs._Velocity, "TAKEN", 60)
+    monkeypatch.setattr(jobs._Velocity, "READ", 2)
+    r = np.random.default_rng(chunk)
+    us = np.sort(r.integers(0, 4 * 1440, 700)) * 60_000_000 + 1_704_067_200_000_000
+    e = pd.DataFrame({"us": us, "event_id": np.arange(700), "value": np.where(r.random(700) < 0.3, np.nan, r.integers(-9, 99, 700))})
+    e.loc[(e["us"] // 3_600_000_000) % 48 >= 20, "value"] = np.nan
+    steps = [e[i : i + 140].sample(frac=1, random_state=1) for i in range(0, 700, 140)]
+    got, kept, upto = _steps(jobs._Velocity(), steps)
+    want = []
+    for t, i in zip(e["us"], e["event_id"]):
+        frame = lambda back: e[(e["us"] >= t - back) & (e["us"] <= t)]["value"]  # noqa: B023, E731
+        if t < upto:
+            want.append((i, len(frame(3_600_000_000)), len(frame(86_400_000_000)), frame(86_400_000_000).sum(min_count=1)))
+    assert [x[:3] for x in want] == list(got.sort_values("event_id")[["event_id", "n_1h", "n_24h"]].itertuples(index=False, name=None))
+    np.testing.assert_allclose(got.sort_values("event_id")["s_24h"].to_numpy(float), [x[3] for x in want], atol=1e-9)
+    assert any(np.isnan(x[3]) for x in want)
+    assert len(kept.entries) <= 700 // chunk + 2
+
+
+def test_velocity_calls_its_state_a_few_times_a_step(monkeypatch):
+    """A quiet key's events, each in a minute of its own, come and go in a handful of calls."""
+    import numpy as np
+    import pandas as pd
+
+    from lumenframe.streaming import jobs
+
+    e = pd.DataFrame({"us": np.arange(400) * 7_300_000_000 + 1_704_067_200_000_000, "event_id": np.arange(400), "value": 1.0})
+    got, kept, _ = _steps(jobs._Velocity(), [e[:200], e[200:]])
+    assert len(got) == 399 and kept.calls < 20
