@@ -8,12 +8,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import pvalues as pv
 from lumenframe.functions.scalars import pearson_r, safe_divide
-from lumenframe.operators.scaling import BLOCK_ROWS_DEFAULT, BLOCK_ROWS_KEY, attach_row, exact_quantiles, quantile_values, running, value_counts_prefix, with_totals
+from lumenframe.operators.scaling import BLOCK_ROWS_DEFAULT, BLOCK_ROWS_KEY, attach_row, exact_quantiles, quantile_values, value_counts_prefix
 from lumenframe.session import cut_lineage
 
 
@@ -166,28 +166,45 @@ def inversions(y: np.ndarray, n: np.ndarray) -> int:
 def discordant_pairs(cells: DataFrame) -> int:
     """Weight of the pairs of rows ``x, y, n`` with a larger ``x`` and a smaller ``y``.
 
-    The rows are cut by ``x`` and ``y`` into ranges of about ``lumenframe.blockRows`` rows. A task counts inside its range; then neighbouring halves are merged level by level: a running sum along
-    ``y`` tells how much of the lower half a row of the upper one has not passed. Levels grow with the logarithm of the number of ranges.
+    The rows are cut by ``x`` and ``y`` into blocks of about ``lumenframe.blockRows`` rows, and a task counts inside its block. Pairs of different blocks are told by block and ``y``: the rows are cut
+    once more, by ``y`` and block, into as many bands, and a task counts inside its band. For pairs that differ in both, the weights of block and band are enough. So rows move twice, however many there are.
     """
     rows = int(cells.sparkSession.conf.get(BLOCK_ROWS_KEY, str(BLOCK_ROWS_DEFAULT)))
     blocks = max(1, -(-cells.count() // rows))
     cut = cut_lineage(cells.repartitionByRange(blocks, "x", "y").sortWithinPartitions("x", "y").withColumn("block", F.spark_partition_id()))
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+        held = [b for b in batches if b.num_rows]
+        return pa.Table.from_batches(held) if held else None
+
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        table = whole(batches)
         found = inversions(table["y"].to_numpy(), table["n"].to_numpy()) if table else 0
         yield pa.RecordBatch.from_pydict({"found": [str(found)]})
 
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs found in a band, beside the weight of each block in it."""
+        table = whole(batches)
+        if table:
+            block, n = table["block"].to_numpy(), table["n"].to_numpy()
+            names, place = np.unique(block, return_inverse=True)
+            weight = np.zeros(len(names), np.int64)
+            np.add.at(weight, place, n)
+            found = [str(inversions(block, n)), *["0"] * (len(names) - 1)]
+            yield pa.RecordBatch.from_pydict({"block": names.astype(np.int64), "band": np.full(len(names), table["band"][0].as_py(), np.int64), "n": weight, "found": found})
+
     exact = "decimal(38,0)"
     total = int(cut.select("y", "n").mapInArrow(inside, "found string").agg(F.sum(F.col("found").cast(exact))).first()[0] or 0)
-    level = 0
-    while 1 << level < blocks:
-        half = F.shiftright("block", level + 1).alias("g"), F.shiftright("block", level).bitwiseAND(F.lit(1)).alias("right")
-        sums = cut.groupBy(*half, "y").agg(F.sum("n").alias("n")).withColumn("low", F.when(F.col("right") == 0, F.col("n")).otherwise(0))
-        passed = running(sums, ["g"], ["y", "right"], {"passed": ("sum", "low")})
-        above = with_totals(passed, ["g"], [F.sum("low").alias("all")]).where("right = 1")
-        total += int(above.agg(F.sum(F.col("n").cast(exact) * (F.col("all") - F.col("passed")))).first()[0] or 0)
-        level += 1
+    if blocks > 1:
+        bands = cut.select("y", "block", "n").repartitionByRange(blocks, "y", "block").sortWithinPartitions("y", "block").withColumn("band", F.spark_partition_id())
+        met = cut_lineage(bands.mapInArrow(across, "block bigint, band bigint, n bigint, found string"))
+        total += int(met.agg(F.sum(F.col("found").cast(exact))).first()[0] or 0)
+        every = cells.sparkSession.range(blocks * blocks).select(F.floor(F.col("id") / blocks).alias("block"), (F.col("id") % blocks).alias("band"))
+        grid = every.join(met.select("block", "band", "n"), ["block", "band"], "left").na.fill(0, ["n"])
+        ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        above = grid.withColumn("above", F.sum("n").over(ahead(Window.partitionBy("block").orderBy(F.desc("band")))))
+        worse = above.withColumn("worse", F.sum("above").over(ahead(Window.partitionBy("band").orderBy("block"))))
+        total += int(worse.agg(F.sum(F.col("n").cast(exact) * F.col("worse"))).first()[0] or 0)
     return total
 
 

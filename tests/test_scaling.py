@@ -232,3 +232,25 @@ def test_word_vectors_are_trained_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(ft, "TRAIN_CHARS", 1000)
     assert ft.mean_word_vectors(d, "text").count() == 200
     assert seen == [1, 4]
+
+
+def test_kendall_moves_rows_a_fixed_number_of_times(spark, monkeypatch):
+    """Thirty ranges take as many range partitionings as three."""
+    frame = type(spark.range(1))
+    moved, real = [], frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: (moved.append(a), real(self, *a))[1])
+    rnd = random.Random(8)
+    rows = [(rnd.randint(0, 40), rnd.randint(0, 200), rnd.randint(1, 3)) for _ in range(600)]
+    cells = spark.createDataFrame(rows, "x int, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    held = cells.collect()
+    want = sum(a.n * b.n for a in held for b in held if a.x < b.x and a.y > b.y)
+    seen = []
+    for block in ("20", "200", "1000000"):
+        spark.conf.set("lumenframe.blockRows", block)
+        try:
+            assert statistics.discordant_pairs(cells) == want
+        finally:
+            spark.conf.unset("lumenframe.blockRows")
+        seen.append(len(moved))
+        moved.clear()
+    assert seen == [2, 2, 1]
