@@ -26,6 +26,7 @@ from lumenframe.operators.evaluation import permute_column
 from lumenframe.operators.neighbours import nearest
 from lumenframe.operators.retrieval import shared_attribute_components
 from lumenframe.operators.scaling import quantile_values, top_per_group
+from lumenframe.session import cut_lineage
 
 REGRESSORS = {"linear": LinearRegression, "tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "boosting": GBTRegressor,
               "glm": GeneralizedLinearRegression}
@@ -128,8 +129,9 @@ def elbow(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 1, referenc
     ranges = df.agg(*[F.struct(F.min(F.col(vector)[i]), F.max(F.col(vector)[i])) for i in range(dim)]).first() if reference else None
     uniform = None
     if reference:
-        axes = [F.lit(float(ranges[i][0])) + hash_unit(F.lit(seed + i), F.col(vector)) * float(ranges[i][1] - ranges[i][0]) for i in range(dim)]
-        uniform = df.select(F.array(*axes).alias(vector))
+        # The vector's text, costly to write, is made once a row, and the drawn rows once for all k.
+        axes = [F.lit(float(ranges[i][0])) + hash_unit(F.lit(seed + i), F.col("_text")) * float(ranges[i][1] - ranges[i][0]) for i in range(dim)]
+        uniform = cut_lineage(df.select(F.col(vector).cast("string").alias("_text")).select(F.array(*axes).alias(vector)))
     for k in ks:
         model, out = cluster(df, vector, k, seed=seed)
         inertia = model.summary.trainingCost

@@ -155,3 +155,21 @@ def test_isolation_finds_what_stands_alone(spark):
     rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(r.normal(0, 1, (400, 2)))] + [(999, 12.0, -11.0)]
     scores = {x[0]: x.score for x in ml.isolation_forest(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"], trees=30).collect()}
     assert max(scores, key=scores.get) == 999 and scores[999] > 0.65
+
+
+def test_reference_data_of_the_gap_is_drawn_once(spark):
+    """The vectors are read for the size, the ranges and the drawing, and not once more for each k."""
+    from lumenframe.operators import learning
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def seen(x):
+        read.add(1)
+        return x
+
+    vectors = spark.range(200).select(F.array(F.rand(1), F.rand(2)).alias("v")).localCheckpoint().select(seen("v").alias("vector"))
+    learning.elbow(vectors, "vector", [2, 3, 4])
+    plain, n = read.value, 200
+    learning.elbow(vectors, "vector", [2, 3, 4], reference=True)
+    assert read.value - 2 * plain <= 4.5 * n
