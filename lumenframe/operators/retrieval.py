@@ -285,10 +285,21 @@ def fuse_ranks(a: DataFrame, b: DataFrame, k: int, offset: int = 60) -> DataFram
     return top_per_group(s, ["query_id"], ["-score", "item_id"], k, "rank")
 
 
+#: Candidates that one task of the reranker's training holds.
+TRAIN_ROWS = 200_000
+
+
 def fit_reranker(candidates: DataFrame, features: Sequence[str], label: str, seed: int = 1):
-    """Boosted trees on candidate features (position among them)."""
+    """Boosted trees on candidate features (position among them).
+
+    Every tree reads all rows several times from memory, in the partitions they come in. A grouping gives few of them, as its rows are small, so many rows are dealt out again.
+    """
+    rows = cut_lineage(candidates.select(*features, label))
+    parts = -(-rows.count() // TRAIN_ROWS)
+    if parts > rows.rdd.getNumPartitions():
+        rows = rows.repartition(parts)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_f"),
-                            GBTRegressor(featuresCol="_f", labelCol=label, predictionCol="_p", maxIter=10, maxDepth=3, seed=seed)]).fit(candidates)
+                            GBTRegressor(featuresCol="_f", labelCol=label, predictionCol="_p", maxIter=10, maxDepth=3, seed=seed)]).fit(rows)
 
 
 def rerank(model, candidates: DataFrame, k: int) -> DataFrame:

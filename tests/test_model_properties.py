@@ -173,3 +173,15 @@ def test_reference_data_of_the_gap_is_drawn_once(spark):
     plain, n = read.value, 200
     learning.elbow(vectors, "vector", [2, 3, 4], reference=True)
     assert read.value - 2 * plain <= 4.5 * n
+
+
+def test_reranker_trains_on_parts_that_follow_the_rows(spark, monkeypatch):
+    from lumenframe.operators import retrieval
+
+    c = spark.range(1000).select(F.col("id").alias("query_id"), (F.col("id") % 7).cast("double").alias("position"), (F.col("id") % 7 > 3).cast("double").alias("clicked")).coalesce(2)
+    seen, real = [], retrieval.Pipeline.fit
+    monkeypatch.setattr(retrieval.Pipeline, "fit", lambda self, df, *a: (seen.append((df.columns, df.rdd.getNumPartitions(), df.count())), real(self, df, *a))[1])
+    for rows, parts in ((100, 10), (1000, 2)):
+        monkeypatch.setattr(retrieval, "TRAIN_ROWS", rows)
+        retrieval.fit_reranker(c, ["position"], "clicked")
+        assert seen.pop() == (["position", "clicked"], parts, 1000)
