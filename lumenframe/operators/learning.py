@@ -368,6 +368,8 @@ def cross_validate(train: DataFrame, features: Sequence[str], label: str, kind:
         maps = [maps[i] for i in sorted(np.random.default_rng(seed).choice(len(maps), pick, replace=False))]
     evaluator = RegressionEvaluator(labelCol=label, metricName=metric) if regression else BinaryClassificationEvaluator(labelCol=label, metricName=metric)
     cv = CrossValidator(estimator=Pipeline(stages=[*assembler(features), model]), estimatorParamMaps=maps, evaluator=evaluator, seed=seed, parallelism=4)
+    # A fold's rows are kept in memory, for all settings: only the columns that are learned from, and a fold column is worked out once.
+    train = train.select(*features, label, *([folds] if isinstance(folds, str) else []))
     if isinstance(folds, str):
         n = train.agg(F.max(folds)).first()[0] + 1
         cv = cv.setFoldCol(folds).setNumFolds(n)

@@ -185,3 +185,14 @@ def test_reranker_trains_on_parts_that_follow_the_rows(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "TRAIN_ROWS", rows)
         retrieval.fit_reranker(c, ["position"], "clicked")
         assert seen.pop() == (["position", "clicked"], parts, 1000)
+
+
+def test_folds_hold_the_columns_that_are_learned_from(spark, monkeypatch):
+    from lumenframe.operators import learning
+
+    d = spark.range(200).select(F.col("id").cast("string").alias("k"), F.rand(3).alias("x"), (F.col("id") % 2).cast("double").alias("y"), (F.col("id") % 4 > 1).cast("int").alias("fold"))
+    seen, real = [], learning.CrossValidator.fit
+    monkeypatch.setattr(learning.CrossValidator, "fit", lambda self, df, *a: (seen.append(df.columns), real(self, df, *a))[1])
+    learning.cross_validate(d, ["x"], "y", "logistic", {"maxIter": [2]}, folds="fold")
+    learning.cross_validate(d, ["x"], "y", "logistic", {"maxIter": [2]}, folds=2)
+    assert seen == [["x", "y", "fold"], ["x", "y"]]
