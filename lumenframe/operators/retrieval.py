@@ -183,7 +183,7 @@ def inverted_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 #: Documents and queries that meet in one task, and documents under one maximum.
-DOC_BLOCK, QUERY_BLOCK, MAXIMA_BLOCK = 32_768, 4_096, 256
+DOC_BLOCK, QUERY_BLOCK, MAXIMA_BLOCK = 8_192, 4_096, 256
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:

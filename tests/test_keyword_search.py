@@ -56,3 +56,25 @@ def test_runs_that_cannot_win_are_skipped(spark, monkeypatch):
     near = retrieval.bm25_topk(d.coalesce(1), q, 5, doc_block=10_000, scored=seen).collect()
     assert len(near) == 100 and all(r.item_id // 400 == r.query_id for r in near)
     assert 0 < seen.value < 0.4 * 20 * 8000 * 3
+
+
+def test_a_task_meets_a_bounded_number_of_texts(spark, monkeypatch):
+    """70,000 texts are scored in nine blocks, however few tasks run at once."""
+    from pyspark.sql import functions as F
+
+    seen, real = spark.sparkContext.accumulator(0), retrieval._score_block
+
+    def counted(k, scored):
+        score = real(k, scored)
+
+        def block(postings, asked):
+            seen.add(1)
+            return score(postings, asked)
+
+        return block
+
+    monkeypatch.setattr(retrieval, "_score_block", counted)
+    docs = spark.range(70_000).select("id", F.concat(F.lit("the w"), F.col("id") % 50).alias("text"))
+    near = retrieval.bm25_topk(docs, spark.createDataFrame([(1, "the w7")], "id long, text string"), 3).collect()
+    assert [r.item_id for r in sorted(near, key=lambda r: r["rank"])] == [7, 57, 107]
+    assert seen.value >= 9
