@@ -16,6 +16,7 @@ from lumenframe.functions.scalars import clip, cyclical, is_weekend, safe_divide
 from lumenframe.operators.aggregates import corr_pairs, value_counts
 from lumenframe.operators.scaling import (attach_row, join_nullsafe, neighbours, quantile_values, running, split_join, spread,
                                           trailing, with_totals)
+from lumenframe.operators.word_vectors import known_words, mean_vectors
 from lumenframe.session import cut_lineage
 
 # numeric
@@ -248,17 +249,23 @@ def most_frequent(rows: DataFrame, item: str, key: str, top: int) -> DataFrame:
     return per.groupBy(item).agg(F.sum("c").alias("n"), F.count("*").alias("keys")).orderBy(F.desc("n"), item).limit(top)
 
 
-#: Characters of text that one task trains word vectors on.
-TRAIN_CHARS = 16_000_000
+#: Characters of text that one task trains word vectors on, and words that MLlib may hold on the driver, at about a kilobyte each.
+TRAIN_CHARS, DRIVER_WORDS = 16_000_000, 250_000
 
 
 def mean_word_vectors(df: DataFrame, text: str, size: int = 16, min_count: int = 5, seed: int = 1, iterations: int = 1) -> DataFrame:
     """Word2Vec trained on the texts; each row gets the mean of its word vectors.
 
     All texts are trained on, about ``TRAIN_CHARS`` characters in a task; what several tasks learned, Spark averages, so that vectors of more text than that differ from those of one long task.
+    MLlib holds all words of the model on the driver; more than ``DRIVER_WORDS`` are trained by ``word_vectors`` instead.
     """
     rows = df.withColumn("_w", terms(F.col(text)))
-    parts = max(1, -(-(df.agg(F.sum(F.length(text))).first()[0] or 0) // TRAIN_CHARS))
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    if chars > 2 * min_count * DRIVER_WORDS:  # fewer can't hold so many words
+        known = known_words(df, terms(F.col(text)), min_count)
+        if known.count() > DRIVER_WORDS:
+            return mean_vectors(df, terms(F.col(text)), known, size, seed, iterations, "vector")
+    parts = max(1, -(-chars // TRAIN_CHARS))
     model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=iterations, numPartitions=parts, inputCol="_w", outputCol="_v").fit(rows.select("_w"))
     return model.transform(rows).withColumn("vector", vector_to_array("_v")).drop("_w", "_v")
 
