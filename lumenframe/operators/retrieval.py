@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import safe_divide
 from lumenframe.operators.features import term_counts, terms
-from lumenframe.operators.neighbours import nearest
+from lumenframe.operators.neighbours import NEAR, QUERY_ROWS, Items, Search, matrix, nearest
 from lumenframe.operators.scaling import attach_row, spread, top_per_group
 from lumenframe.session import cut_lineage, scratch_path
 
@@ -41,7 +42,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 #: Rows of a block at most, some tens of megabytes, and queries that a task scores at a time.
-MOST_BLOCK_ROWS, QUERY_ROWS = 16_384, 512
+MOST_BLOCK_ROWS, STRIP_QUERIES = 16_384, 512
 
 
 def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", keys: Sequence[str] = (),
@@ -85,8 +86,8 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine
         form = _unit if metric == "cosine" else (lambda v: np.stack(v).astype(float))
         a, b = form(left["vector"]), form(right["vector"])
         out = []
-        for at in range(0, len(qi), QUERY_ROWS):
-            x, mine = a[at : at + QUERY_ROWS], qi[at : at + QUERY_ROWS]
+        for at in range(0, len(qi), STRIP_QUERIES):
+            x, mine = a[at : at + STRIP_QUERIES], qi[at : at + STRIP_QUERIES]
             s = x @ b.T if metric == "cosine" else -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * x @ b.T, 0))
             if skip_self:
                 s[mine[:, None] == ii[None]] = -np.inf
@@ -140,8 +141,8 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, max_queries: int =
     return top_per_group(near, ["query_id"], ["-score", "item_id"], k, "rank").select("query_id", "item_id", "score", "rank")
 
 
-def hyperplane_buckets(df: DataFrame, bands: int, bits: int, dim: int, seed: int = 0) -> DataFrame:
-    """One row per band with the sign pattern of ``bits`` random projections."""
+def _marked(df: DataFrame, bands: int, bits: int, dim: int, seed: int) -> DataFrame:
+    """With ``_s``, per band the sign pattern of ``bits`` random projections."""
     planes = np.random.default_rng(seed).standard_normal((bands, bits, dim))
 
     @F.pandas_udf("array<bigint>")
@@ -150,13 +151,54 @@ def hyperplane_buckets(df: DataFrame, bands: int, bits: int, dim: int, seed: int
         bit = (np.einsum("nd,pbd->npb", m, planes) >= 0).astype(np.int64)
         return pd.Series(list((bit << np.arange(bits)).sum(2)))
 
-    return df.withColumn("_s", signs("vector")).select(*df.columns, F.posexplode("_s").alias("band", "bucket"))
+    return df.withColumn("_s", signs("vector"))
+
+
+def hyperplane_buckets(df: DataFrame, bands: int, bits: int, dim: int, seed: int = 0) -> DataFrame:
+    """One row per band with the sign pattern of ``bits`` random projections."""
+    return _marked(df, bands, bits, dim, seed).select(*df.columns, F.posexplode("_s").alias("band", "bucket"))
+
+
+#: Numbers that the vectors of a block hold, rows of a block at least, and items that a query meets at a time.
+LSH_BLOCK, LSH_LEAST_ROWS, LSH_STRIP = 4_194_304, 1_024, 2_048
 
 
 def knn_lsh(queries: DataFrame, items: DataFrame, k: int, dim: int, bands: int = 12, bits: int = 5, seed: int = 0) -> DataFrame:
-    """Approximate k nearest by random hyperplanes; candidates are compared exactly, big buckets in blocks."""
-    return knn_join(hyperplane_buckets(queries, bands, bits, dim, seed), hyperplane_buckets(items, bands, bits, dim, seed),
-                    k, keys=["band", "bucket"])
+    """Approximate k nearest by random hyperplanes; candidates are compared exactly, big buckets in blocks.
+
+    Pairs that share several buckets would be compared in each of them. Where that comes to more than all pairs, as with few and large buckets, every pair is met once, and counts if it shares a bucket.
+    """
+    marked = [_stored(_marked(df.select("id", "vector"), bands, bits, dim, seed), "lsh-marks") for df in (queries, items)]
+    buckets = [df.select(F.posexplode("_s").alias("band", "bucket")).groupBy("band", "bucket").agg(F.count("*").alias(n)) for df, n in zip(marked, ("q", "i"))]
+    in_buckets = buckets[0].join(buckets[1], ["band", "bucket"]).agg(F.sum(F.col("q").cast("double") * F.col("i"))).first()[0] or 0.0
+    rows = [df.count() for df in marked]
+    if in_buckets <= rows[0] * rows[1]:
+        each = [df.select("id", "vector", F.posexplode("_s").alias("band", "bucket")) for df in marked]
+        return knn_join(*each, k, keys=["band", "bucket"])
+    most = max(LSH_LEAST_ROWS, LSH_BLOCK // dim)
+    i_blocks = -(-rows[1] // most)
+    q_blocks = max(-(-rows[0] // most), min(-(-2 * queries.sparkSession.sparkContext.defaultParallelism // i_blocks), -(-rows[0] // LSH_LEAST_ROWS)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = marked[0].select("id", "vector", "_s", own(q_blocks).alias("_qb")).withColumn("_ib", every(i_blocks))
+    i = marked[1].select("id", "vector", "_s", own(i_blocks).alias("_ib")).withColumn("_qb", every(q_blocks))
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return Search.of_nothing()
+        (qi, a, qs), (ii, b, si) = ((t.column("id").to_numpy(), matrix(t.column("vector").combine_chunks()), t.column("_s").combine_chunks()) for t in (left, right))
+        units = [np.divide(m, n, out=np.zeros_like(m), where=n > 0) for m in (a, b) for n in (np.linalg.norm(m, axis=1, keepdims=True),)]
+        marks = [s.flatten().to_numpy().astype(np.int32 if bits < 32 else np.int64).reshape(len(s), -1) for s in (qs, si)]
+        search = Search(qi, units[0], k, "cosine", True, False, np.full(len(qi), np.inf), marks=marks[0])
+        whole = Items(ii, units[1], "cosine", marks[1])
+        cuts = [0, *range(LSH_STRIP // 4, len(ii), LSH_STRIP), len(ii)]
+        for first in range(0, len(qi), QUERY_ROWS):
+            for x, y in zip(cuts, cuts[1:]):
+                search.meet(np.arange(first, min(first + QUERY_ROWS, len(qi))), whole.part(slice(x, y)))
+        return search.result()
+
+    near = q.groupBy("_qb", "_ib").cogroup(i.groupBy("_qb", "_ib")).applyInArrow(met, NEAR)
+    return top_per_group(near, ["query_id"], ["-score", "item_id"], k, "rank").select("query_id", "item_id", "score", "rank")
 
 
 def group_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -331,12 +373,21 @@ def with_fallback(users: DataFrame, user: str, segment: str, personal: DataFrame
     return j.select(user, F.coalesce("_p", "_s", "_o").alias(item), origin.alias("origin"))
 
 
-def semantic_cache(vectors: DataFrame, threshold: float, cost: float) -> DataFrame:
-    """Per query (``id`` grows with time) the nearest earlier one with a score of at least ``threshold``, a hit; misses have no item.
+def nearest_earlier(vectors: DataFrame, least: float) -> DataFrame:
+    """Per query (``id`` grows with time) the nearest earlier one with a score of at least ``least``.
 
     The threshold bounds the search from the start: a strict one leaves few cells possible.
     """
-    near = nearest(vectors, vectors, 1, earlier_only=True, least=threshold).select(F.col("query_id").alias("id"), "item_id", "score")
+    return nearest(vectors, vectors, 1, earlier_only=True, least=least)
+
+
+def semantic_cache(vectors: DataFrame, threshold: float, cost: float, near: DataFrame | None = None) -> DataFrame:
+    """Per query (``id`` grows with time) the nearest earlier one with a score of at least ``threshold``, a hit; misses have no item.
+
+    ``near`` takes the result of ``nearest_earlier`` on the same vectors with at most this threshold, which serves several thresholds: the nearest one either reaches a threshold or none does.
+    """
+    near = nearest_earlier(vectors, threshold) if near is None else near.where(F.col("score") >= threshold)
+    near = near.select(F.col("query_id").alias("id"), "item_id", "score")
     j = vectors.select("id").join(near, "id", "left")
     hit = F.col("item_id").isNotNull()
     return j.select("id", "item_id", "score", hit.alias("hit"), F.when(hit, F.lit(0.0)).otherwise(F.lit(cost)).alias("cost"))

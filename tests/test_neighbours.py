@@ -131,3 +131,84 @@ def test_blocks_of_the_plain_join_grow_with_the_rows(spark, monkeypatch):
     near = retrieval.knn_join(x, x, 3, "euclidean", block_rows=5)
     assert len(copies) == 2 and all(spark.range(1).select(c.alias("n")).first()["n"] < 25 for c in copies)
     assert got(near) == got(retrieval.knn_join(x, x, 3, "euclidean", block_rows=4096))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_a_few_queries_go_to_all_items_in_one_pass(spark, metric, monkeypatch):
+    """The same rows as by cells, with items and queries without direction, equal vectors and more queries than meet at a time; items are read once, and no pivots are fitted."""
+    m = np.round(clustered(900, 6, seed=9), 1)
+    m[50:90], m[200:210] = m[3], 0
+    t, q = table(spark, m), table(spark, m[::3], [k for k in range(900)][::3])
+    options = ({}, {"skip_self": False, "earlier_only": True, "least": 0.99 if metric == "cosine" else -1.0})
+    fit, fitted = neighbours.fit_pivots, []
+    monkeypatch.setattr(neighbours, "fit_pivots", lambda *a: (fitted.append(1), fit(*a))[1])
+    few = [got(neighbours.nearest(q, t, 4, metric, cells=SMALL, **o)) for o in options]
+    assert not fitted
+    monkeypatch.setattr(neighbours, "FEW_QUERIES", 10)
+    assert few == [got(neighbours.nearest(q, t, 4, metric, cells=SMALL, **o)) for o in options] and len(fitted) == 2
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    neighbours.nearest(q.limit(9), t.mapInArrow(counted, t.schema), 4, metric, cells=SMALL).collect()
+    assert read.value == 900
+
+
+def test_numbers_that_short_floats_cannot_hold(spark):
+    r = np.random.default_rng(4)
+    for scale in (1e-25, 1e25):
+        m = r.normal(size=(520, 5)) * scale
+        m[::50] *= 1e-4
+        t = table(spark, m)
+        for metric in ("cosine", "euclidean"):
+            assert got(neighbours.nearest(t, t, 3, metric, cells=SMALL)) == {(a, b, n + 1) for a in range(520) for n, b in enumerate(sorted((x for x in range(520) if x != a), key=lambda x, a=a: (_far(m, a, x, metric), x))[:3])}
+
+
+def _far(m, a, b, metric):
+    x, y = m[a], m[b]
+    return -float((x / np.linalg.norm(x)) @ (y / np.linalg.norm(y))) if metric == "cosine" else float(np.sqrt(((x - y) ** 2).sum()))
+
+
+def test_later_items_are_not_compared(spark):
+    """Of random vectors all cells stay possible; a search among earlier ones compares little more than half of the pairs."""
+    t = table(spark, np.random.default_rng(6).normal(size=(4000, 24)))
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    cells = Cells(cell_rows=400, item_block=4000, query_block=4000)
+    for x, earlier in zip(seen, (False, True)):
+        neighbours.nearest(t, t, 1, earlier_only=earlier, cells=cells, compared=x).collect()
+    assert seen[1].value < 0.75 * seen[0].value
+
+
+def test_a_length_is_worked_out_once_for_each_vector(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+    length = F.udf(lambda v: (seen.add(1), v)[1], "array<double>")
+    v = table(spark, np.ones((40, 50))).select("id", length.asNondeterministic()("vector").alias("vector"))
+    assert neighbours._directed(v, "cosine").agg(F.max(F.element_at("vector", 1))).first()[0] == pytest.approx(50**-0.5)
+    plan = neighbours._directed(v, "cosine")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_hyperplane_buckets_by_pairs_and_by_buckets(spark, monkeypatch):
+    """Few, large buckets: each pair is met once; the neighbours are those of joining by buckets."""
+    m = np.random.default_rng(3).normal(size=(500, 8))
+    m[40:50] = m[5]
+    t = table(spark, m)
+    buckets = {(r.id, r.band, r.bucket) for r in retrieval.hyperplane_buckets(t, 6, 2, 8).collect()}
+    by = {i: {x[1:] for x in buckets if x[0] == i} for i in range(500)}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = (unit[:, None] * unit[None]).sum(2)
+    want = {(a, b, n + 1) for a in range(500) for n, b in enumerate(sorted((x for x in range(500) if x != a and by[a] & by[x]), key=lambda x, a=a: (-round(s[a, x], 9), x))[:4])}
+    joined, real = [], retrieval.knn_join
+    monkeypatch.setattr(retrieval, "knn_join", lambda *a, **k: (joined.append(1), real(*a, **k))[1])
+    monkeypatch.setattr(retrieval, "LSH_LEAST_ROWS", 100)
+    monkeypatch.setattr(retrieval, "LSH_BLOCK", 1200)
+    monkeypatch.setattr(retrieval, "LSH_STRIP", 64)
+    assert got(retrieval.knn_lsh(t, t, 4, 8, 6, 2)) == want and not joined
+    near = {(a, b) for a, b, _ in got(retrieval.knn_lsh(t, t, 4, 8, 2, 6))}
+    assert joined and all(a != b for a, b in near)
+    assert retrieval.knn_lsh(t.limit(0), t, 4, 8, 6, 2).collect() == [] == retrieval.knn_lsh(t, t.limit(0), 4, 8, 6, 2).collect()
