@@ -193,6 +193,15 @@ def test_a_length_is_worked_out_once_for_each_vector(spark):
     assert plan.count("aggregate(") == 1
 
 
+def test_one_search_serves_all_thresholds(spark):
+    m = clustered(600, 6, seed=2)
+    t = table(spark, m)
+    near = retrieval.nearest_earlier(t, 0.4)
+    for x in (0.4, 0.9, 0.9999):
+        alone, shared = ({tuple(r) for r in retrieval.semantic_cache(t, x, 0.5, *n).collect()} for n in ((), (near,)))
+        assert alone == shared and 0 < sum(r[3] for r in alone) < 600
+
+
 def test_hyperplane_buckets_by_pairs_and_by_buckets(spark, monkeypatch):
     """Few, large buckets: each pair is met once; the neighbours are those of joining by buckets."""
     m = np.random.default_rng(3).normal(size=(500, 8))
