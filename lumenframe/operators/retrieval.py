@@ -8,8 +8,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,7 +168,7 @@ def knn_lsh(queries: DataFrame, items: DataFrame, k: int, dim: int, bands: int =
 
     Pairs that share several buckets would be compared in each of them. Where that comes to more than all pairs, as with few and large buckets, every pair is met once, and counts if it shares a bucket.
     """
-    marked = [_stored(_marked(df.select("id", "vector"), bands, bits, dim, seed), "lsh-marks") for df in (queries, items)]
+    marked = [stored(_marked(df.select("id", "vector"), bands, bits, dim, seed), "lsh-marks") for df in (queries, items)]
     buckets = [df.select(F.posexplode("_s").alias("band", "bucket")).groupBy("band", "bucket").agg(F.count("*").alias(n)) for df, n in zip(marked, ("q", "i"))]
     in_buckets = buckets[0].join(buckets[1], ["band", "bucket"]).agg(F.sum(F.col("q").cast("double") * F.col("i"))).first()[0] or 0.0
     rows = [df.count() for df in marked]
@@ -228,7 +228,8 @@ def inverted_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 DOC_BLOCK, QUERY_BLOCK, MAXIMA_BLOCK = 8_192, 4_096, 256
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once, for those who read it several times."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -245,10 +246,10 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: f
     qterms = queries.select(F.col("id").alias("qid"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     words = spread(docs.select("id", "text")).select("id", terms(F.col("text")).alias("w"))
     # No term is empty: the empty string stands once in each document and brings its length along.
-    vocabulary = _stored(qterms.select("term").unionByName(qterms.sparkSession.createDataFrame([("",)], "term string")).distinct().withColumn("t", F.when(F.col("term") != "", F.monotonically_increasing_id())), "bm25-terms")
+    vocabulary = stored(qterms.select("term").unionByName(qterms.sparkSession.createDataFrame([("",)], "term string")).distinct().withColumn("t", F.when(F.col("term") != "", F.monotonically_increasing_id())), "bm25-terms")
     each = F.explode(F.array_append(F.coalesce("w", F.array().cast("array<string>")), F.lit(""))).alias("term")
     held = words.select("id", F.coalesce(F.size("w"), F.lit(0)).alias("len"), each).join(vocabulary, "term").groupBy("id", "len", "t").agg(F.count("*").alias("tf"))
-    written = _stored(held, "bm25-postings")
+    written = stored(held, "bm25-postings")
     whole = written.where("t IS NULL").agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n, avg = whole["n"], whole["avg"] or 1.0
     postings = written.where("t IS NOT NULL")
@@ -327,21 +328,52 @@ def fuse_ranks(a: DataFrame, b: DataFrame, k: int, offset: int = 60) -> DataFram
     return top_per_group(s, ["query_id"], ["-score", "item_id"], k, "rank")
 
 
-#: Candidates that one task of the reranker's training holds.
-TRAIN_ROWS = 200_000
+#: Candidates that one task of the reranker's training holds, candidates that are trained on one by one, and bins of a feature, as the trees have them.
+TRAIN_ROWS, EACH_TRAIN_ROWS, BINS = 200_000, 2_000_000, 32
 
 
 def fit_reranker(candidates: DataFrame, features: Sequence[str], label: str, seed: int = 1):
     """Boosted trees on candidate features (position among them).
 
     Every tree reads all rows several times from memory, in the partitions they come in. A grouping gives few of them, as its rows are small, so many rows are dealt out again.
+    Trees see no more of a feature than its bin, so beyond ``EACH_TRAIN_ROWS`` candidates those of the same bins are counted first, see ``_fit_by_bins``; the candidates are read four times then.
     """
+    def trees(inputs: Sequence[str], **more):
+        return Pipeline(stages=[VectorAssembler(inputCols=list(inputs), outputCol="_f"), GBTRegressor(featuresCol="_f", labelCol=label, predictionCol="_p", maxIter=10, maxDepth=3, seed=seed, **more)])
+
+    if candidates.count() > EACH_TRAIN_ROWS:
+        return _fit_by_bins(candidates.select(*features, label), list(features), label, trees)
     rows = cut_lineage(candidates.select(*features, label))
+    return trees(features).fit(_dealt(rows))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
     parts = -(-rows.count() // TRAIN_ROWS)
-    if parts > rows.rdd.getNumPartitions():
-        rows = rows.repartition(parts)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_f"),
-                            GBTRegressor(featuresCol="_f", labelCol=label, predictionCol="_p", maxIter=10, maxDepth=3, seed=seed)]).fit(rows)
+    return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+
+
+def _fit_by_bins(rows: DataFrame, features: list[str], label: str, trees):
+    """Trees over one row for each combination of bins, with the mean label and the number of rows as its weight.
+
+    All rows of a combination get the same prediction, and squares around their mean are the same before and after any split, so every split gains what it gains over the rows. A bin is a
+    value where a feature has at most ``BINS``, else it lies between quantiles of all rows (to a thousandth of the rows).
+    """
+    seen = rows.agg(F.count_if(F.col(label).isNull() | F.isnan(label)).alias("_bad"), *[F.approx_count_distinct(f).alias(f"_d{j}") for j, f in enumerate(features)]).first()
+    if seen["_bad"]:
+        raise ValueError(f"{label} must not be null or NaN")
+    edges: dict[str, list[float]] = {}
+    for j, f in enumerate(features):
+        values = sorted(float(r[0]) for r in rows.where(F.col(f).isNotNull()).select(f).distinct().limit(BINS + 1).collect()) if seen[f"_d{j}"] <= 2 * BINS else []
+        if 0 < len(values) <= BINS:
+            edges[f] = [(x + y) / 2 for x, y in zip(values, values[1:])] or values
+    many = [f for f in features if f not in edges]
+    if many:
+        edges |= {f: sorted(set(q)) for f, q in zip(many, rows.approxQuantile(many, [n / BINS for n in range(1, BINS)], 0.001))}
+    bins = [f"_b{j}" for j in range(len(features))]
+    binned = Bucketizer(splitsArray=[[-math.inf, *edges[f], math.inf] for f in features], inputCols=features, outputCols=bins)
+    plain = [(F.col(b) + F.lit(0.0)).alias(b) for b in bins]  # without the note that they are categories; they have an order
+    cells = cut_lineage(binned.transform(rows).groupBy(*plain).agg(F.avg(label).alias(label), F.count("*").cast("double").alias("_n")))
+    return PipelineModel([binned, *trees(bins, weightCol="_n").fit(_dealt(cells)).stages])
 
 
 def rerank(model, candidates: DataFrame, k: int) -> DataFrame:

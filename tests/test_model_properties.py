@@ -187,6 +187,29 @@ def test_reranker_trains_on_parts_that_follow_the_rows(spark, monkeypatch):
         assert seen.pop() == (["position", "clicked"], parts, 1000)
 
 
+def test_reranker_learns_the_same_from_bins(spark, monkeypatch):
+    """With at most a value to a bin, the scores are those of training on every row; a handful of rows reaches the trees."""
+    from lumenframe.operators import retrieval
+
+    c = spark.range(6000).select(F.col("id").alias("query_id"), F.col("id").alias("item_id"), (F.col("id") % 13).cast("double").alias("a"), F.floor(F.sqrt(F.col("id"))).cast("double").alias("b"), F.lit(3.0).alias("c"))
+    c = c.withColumn("b", F.col("b") % 29 / 4).withColumn("y", ((F.xxhash64("item_id") % 10 + F.col("a") + F.col("b") > 9)).cast("double"))
+    seen, real = [], retrieval.Pipeline.fit
+    monkeypatch.setattr(retrieval.Pipeline, "fit", lambda self, df, *a: (seen.append(df.count()), real(self, df, *a))[1])
+    scores = []
+    for most in (6000, 100):
+        monkeypatch.setattr(retrieval, "EACH_TRAIN_ROWS", most)
+        model = retrieval.fit_reranker(c, ["a", "b", "c"], "y")
+        scores.append(np.array([r["_p"] for r in model.transform(c).orderBy("query_id").select("_p").collect()]))
+    assert seen[0] == 6000 and seen[1] <= 13 * 29
+    np.testing.assert_allclose(scores[0], scores[1], atol=1e-9)
+    assert len(np.unique(np.round(scores[1], 6))) > 20
+    fine = c.withColumn("a", F.rand(5)).withColumn("y", (F.col("a") > 0.7).cast("double"))
+    p = retrieval.fit_reranker(fine, ["a"], "y").transform(fine).agg(F.avg(F.abs(F.col("_p") - F.col("y")))).first()[0]
+    assert p < 0.05 and seen[-1] <= 32
+    with pytest.raises(ValueError):
+        retrieval.fit_reranker(c.withColumn("y", F.when(F.col("item_id") > 5, F.col("y"))), ["a"], "y")
+
+
 def test_folds_hold_the_columns_that_are_learned_from(spark, monkeypatch):
     from lumenframe.operators import learning
 
