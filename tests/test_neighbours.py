@@ -221,3 +221,21 @@ def test_hyperplane_buckets_by_pairs_and_by_buckets(spark, monkeypatch):
     near = {(a, b) for a, b, _ in got(retrieval.knn_lsh(t, t, 4, 8, 2, 6))}
     assert joined and all(a != b for a, b in near)
     assert retrieval.knn_lsh(t.limit(0), t, 4, 8, 6, 2).collect() == [] == retrieval.knn_lsh(t, t.limit(0), 4, 8, 6, 2).collect()
+
+
+def test_texts_are_read_once_for_a_few_queries(spark):
+    """The vectors of hybrid_search's texts are made once, not once for each step of a search by cells."""
+    d = spark.createDataFrame([(i, " ".join(f"w{j * j % (i + 7)}" for j in range(i % 11))) for i in range(300)], "id long, text string").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    v = {r.id: np.array(r.vector) for r in retrieval.hashed_terms(d).collect()}
+    near = neighbours.nearest(retrieval.hashed_terms(d.where("id % 30 < 2")), retrieval.hashed_terms(d.mapInArrow(counted, d.schema)), 5, skip_self=False)
+    some = [i for i in v if i % 30 < 2]
+    # ids divisible by 11 have no words: as a query they score 0 with everything, as an item with every query
+    assert any(not v[i].any() for i in some) and got(near) == brute(np.stack([v[i] for i in some]), np.stack([*v.values()]), 5, "cosine", some, [*v], skip_self=False)
+    assert read.value <= 2 * 300  # again for the smallest ids, as some queries have no direction
