@@ -171,7 +171,7 @@ def knn_lsh(queries: DataFrame, items: DataFrame, k: int, dim: int, bands: int =
     marked = [stored(_marked(df.select("id", "vector"), bands, bits, dim, seed), "lsh-marks") for df in (queries, items)]
     buckets = [df.select(F.posexplode("_s").alias("band", "bucket")).groupBy("band", "bucket").agg(F.count("*").alias(n)) for df, n in zip(marked, ("q", "i"))]
     in_buckets = buckets[0].join(buckets[1], ["band", "bucket"]).agg(F.sum(F.col("q").cast("double") * F.col("i"))).first()[0] or 0.0
-    rows = [df.count() for df in marked]
+    rows, same = zip(*[df.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first() for df in marked])
     if in_buckets <= rows[0] * rows[1]:
         each = [df.select("id", "vector", F.posexplode("_s").alias("band", "bucket")) for df in marked]
         return knn_join(*each, k, keys=["band", "bucket"])
@@ -189,7 +189,7 @@ def knn_lsh(queries: DataFrame, items: DataFrame, k: int, dim: int, bands: int =
         (qi, a, qs), (ii, b, si) = ((t.column("id").to_numpy(), matrix(t.column("vector").combine_chunks()), t.column("_s").combine_chunks()) for t in (left, right))
         units = [np.divide(m, n, out=np.zeros_like(m), where=n > 0) for m in (a, b) for n in (np.linalg.norm(m, axis=1, keepdims=True),)]
         marks = [s.flatten().to_numpy().astype(np.int32 if bits < 32 else np.int64).reshape(len(s), -1) for s in (qs, si)]
-        search = Search(qi, units[0], k, "cosine", True, False, np.full(len(qi), np.inf), marks=marks[0])
+        search = Search(qi, units[0], k * same[0] * same[1], "cosine", True, False, np.full(len(qi), np.inf), marks=marks[0])  # rows of one id count as one
         whole = Items(ii, units[1], "cosine", marks[1])
         cuts = [0, *range(LSH_STRIP // 4, len(ii), LSH_STRIP), len(ii)]
         for first in range(0, len(qi), QUERY_ROWS):
@@ -197,7 +197,7 @@ def knn_lsh(queries: DataFrame, items: DataFrame, k: int, dim: int, bands: int =
                 search.meet(np.arange(first, min(first + QUERY_ROWS, len(qi))), whole.part(slice(x, y)))
         return search.result()
 
-    near = q.groupBy("_qb", "_ib").cogroup(i.groupBy("_qb", "_ib")).applyInArrow(met, NEAR)
+    near = q.groupBy("_qb", "_ib").cogroup(i.groupBy("_qb", "_ib")).applyInArrow(met, NEAR).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
     return top_per_group(near, ["query_id"], ["-score", "item_id"], k, "rank").select("query_id", "item_id", "score", "rank")
 
 

@@ -218,6 +218,7 @@ def test_hyperplane_buckets_by_pairs_and_by_buckets(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "LSH_BLOCK", 1200)
     monkeypatch.setattr(retrieval, "LSH_STRIP", 64)
     assert got(retrieval.knn_lsh(t, t, 4, 8, 6, 2)) == want and not joined
+    assert got(twice := retrieval.knn_lsh(t.unionAll(t.where("id % 2 = 0")), t.unionAll(t.where("id < 300")), 4, 8, 6, 2)) == want and twice.count() == len(want)
     near = {(a, b) for a, b, _ in got(retrieval.knn_lsh(t, t, 4, 8, 2, 6))}
     assert joined and all(a != b for a, b in near)
     assert retrieval.knn_lsh(t.limit(0), t, 4, 8, 6, 2).collect() == [] == retrieval.knn_lsh(t, t.limit(0), 4, 8, 6, 2).collect()
@@ -239,3 +240,15 @@ def test_texts_are_read_once_for_a_few_queries(spark):
     # ids divisible by 11 have no words: as a query they score 0 with everything, as an item with every query
     assert any(not v[i].any() for i in some) and got(near) == brute(np.stack([v[i] for i in some]), np.stack([*v.values()]), 5, "cosine", some, [*v], skip_self=False)
     assert read.value <= 2 * 300  # again for the smallest ids, as some queries have no direction
+
+
+def test_null_vectors_are_treated_alike_by_cells_and_by_one_pass(spark, monkeypatch):
+    """Without a place under euclidean, without direction under cosine."""
+    m = clustered(120, 4, seed=8)
+    t = table(spark, m).unionAll(spark.createDataFrame([(500, None), (-1, None)], "id long, vector array<double>"))
+    for metric in ("cosine", "euclidean"):
+        both = []
+        for few in (512, 0):
+            monkeypatch.setattr(neighbours, "FEW_QUERIES", few)
+            both.append(got(neighbours.nearest(t, t, 3, metric, cells=SMALL)))
+        assert both[0] == both[1] and (500 in {r[0] for r in both[0]}) == (metric == "cosine")
